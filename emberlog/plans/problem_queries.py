@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.keys import folded, text_instant
-from emberlog.operators import orphans
+from emberlog.operators import exactly_once, orphans
 from emberlog.session import table
 
 #: child table, reference column, parent table
@@ -47,6 +47,20 @@ def p1_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def event_identifiers():
+    """Identifiers of a queue message: (agent_id, id), and the id inside event_data if that parses and has one."""
+    inner = F.lower(F.try_variant_get(F.try_parse_json("event_data"), "$.id", "string"))
+    return [exactly_once.identifier(F.col("agent_id"), F.col("id")), exactly_once.identifier(F.when(inner != "", inner))]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    queue = exactly_once.first_copies(table(spark, d, "event_queue"), "row_no", event_identifiers())
+    keys = exactly_once.first_copies(table(spark, d, "dedup_keys"), "row_no", [exactly_once.identifier(folded("key_hash"))])
+    return queue.select(F.lit("event_queue").alias("source_table"), F.col("row").alias("row_no")).unionByName(
+        keys.select(F.lit("dedup_keys").alias("source_table"), F.col("row").alias("row_no"))
+    )
+
+
 _KEY = "nullif(lower(trim({}, ' \t\r\n')), '')"
 _AT = "try_cast(replace(replace({}, 'T', ' '), 'Z', '') AS TIMESTAMP)"
 
@@ -63,12 +77,30 @@ def _p1_sql(select: str) -> str:
     return f"WITH o AS ({' UNION ALL '.join(arms)}) {select}"
 
 
+_P2_SQL = """
+WITH RECURSIVE q AS (
+  SELECT row_no, agent_id, id, lower(nullif(CASE WHEN json_valid(event_data) THEN json_extract_string(event_data, '$.id') END, '')) AS inner_id FROM event_queue
+), e AS (
+  SELECT row_no AS u, min(row_no) OVER (PARTITION BY agent_id, id) AS v FROM q WHERE agent_id IS NOT NULL AND id IS NOT NULL
+  UNION SELECT row_no, min(row_no) OVER (PARTITION BY inner_id) FROM q WHERE inner_id IS NOT NULL
+), both_ways AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
+reach AS (
+  SELECT u AS a, v AS b FROM both_ways
+  UNION SELECT r.a, w.v FROM reach r JOIN both_ways w ON r.b = w.u
+)
+SELECT DISTINCT 'event_queue' AS source_table, a AS row_no FROM reach WHERE b < a
+UNION ALL
+SELECT 'dedup_keys', row_no FROM (SELECT row_no, row_number() OVER (PARTITION BY lower(trim(key_hash, ' \t\r\n')) ORDER BY row_no) AS n FROM dedup_keys WHERE trim(key_hash, ' \t\r\n') <> '') WHERE n > 1
+"""
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month}
+    return {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _p1_sql("SELECT DISTINCT child_table, child_id FROM o WHERE child_id IS NOT NULL"),
         "p1_orphans_by_month": _p1_sql("SELECT child_table, CAST(date_trunc('month', born) AS DATE) AS period, count(*) AS orphans FROM o GROUP BY 1, 2"),
+        "p2_found": _P2_SQL,
     }
