@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import runs
+from emberlog.llm import packing, runs, tokens
 from emberlog.session import table
 
 
@@ -14,6 +14,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("n >= 2").selectExpr("first_id AS first_event_id", "n AS n_events", "duration_us")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.count_tokens(table(spark, d, "documents"))
+    kinds = [(r[0], r[1]) for r in table(spark, d, "containers").select("container_id", "capacity_tokens").orderBy("container_id").collect()]
+    return packing.pack_documents(sizes, "doc_id", "n_tokens", kinds)
+
+
 _P3_SQL = r"""
 WITH e AS (
   SELECT event_id, min(struct_pack(t := event_time, s := nullif(lower(trim(source, ' \t\r\n')), ''),
@@ -29,7 +39,7 @@ FROM r GROUP BY s, run_no HAVING count(*) >= 2
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found}
+    return {"p3_found": p3_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 
 def oracle_sql() -> dict[str, str]:
