@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.keys import folded, text_instant
-from emberlog.operators import exactly_once, orphans
+from emberlog.operators import exactly_once, orphans, shred
 from emberlog.session import table
 
 #: child table, reference column, parent table
@@ -61,6 +61,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return shred.shred_records(table(spark, d, "nested_records"), "record_id", "payload")
+
+
+def p5_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of alerts, a column a field."""
+    rows = shred.shred_records(table(spark, d, "nested_records"), "record_id", "payload", [e for e in shred.ENTITIES if e.name == "alert"], leaves=True)
+    field = lambda n: F.element_at("fields", n).alias(n)
+    return rows.select("record_id", "event_no", "item_no", field("action"), field("gid"), field("sid"), field("rule"), field("category"), field("severity"))
+
+
 _KEY = "nullif(lower(trim({}, ' \t\r\n')), '')"
 _AT = "try_cast(replace(replace({}, 'T', ' '), 'Z', '') AS TIMESTAMP)"
 
@@ -95,7 +106,7 @@ SELECT 'dedup_keys', row_no FROM (SELECT row_no, row_number() OVER (PARTITION BY
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found}
+    return {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found, "p5_found": p5_found, "p5_alerts": p5_alerts}
 
 
 def oracle_sql() -> dict[str, str]:
