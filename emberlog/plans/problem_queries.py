@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.keys import folded, text_instant
-from emberlog.operators import exactly_once, orphans, shred
+from emberlog.operators import exactly_once, instants, orphans, shred
 from emberlog.session import table
 
 #: child table, reference column, parent table
@@ -72,6 +72,16 @@ def p5_alerts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", "event_no", "item_no", field("action"), field("gid"), field("sid"), field("rule"), field("category"), field("severity"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The time stands in time_text; for audit stages it may follow the stage's name instead."""
+    r = table(spark, d, "stamped_records")
+    has_figures = F.col("time_text").rlike("[0-9]")
+    stage_text = F.regexp_extract("stage", r"(?s)^\s*[A-Za-z]+(?:\s+at\s+|\s*[@;,|]\s*|\s+)(.+)$", 1)
+    text = F.when(has_figures | (F.col("field_name") != "k8sAuditEvent.stage"), F.col("time_text")).otherwise(stage_text)
+    rows = r.select("record_id", "sensor_id", "received_at", text.alias("text"))
+    return instants.normalise_instants(rows, "record_id", "sensor_id", "text", "received_at", table(spark, d, "sensors"))
+
+
 _KEY = "nullif(lower(trim({}, ' \t\r\n')), '')"
 _AT = "try_cast(replace(replace({}, 'T', ' '), 'Z', '') AS TIMESTAMP)"
 
@@ -106,7 +116,7 @@ SELECT 'dedup_keys', row_no FROM (SELECT row_no, row_number() OVER (PARTITION BY
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found, "p5_found": p5_found, "p5_alerts": p5_alerts}
+    return {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found, "p5_found": p5_found, "p5_alerts": p5_alerts, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
