@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.keys import folded, text_instant
-from emberlog.operators import exactly_once, instants, orphans, shred
+from emberlog.operators import exactly_once, instants, loglines, orphans, shred
 from emberlog.session import table
 
 #: child table, reference column, parent table
@@ -61,6 +61,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return loglines.parse_entries(table(spark, d, "raw_lines"), "file_no", "line_no", "read_at", "raw", "fields", message=False).drop("message")
+
+
+def p4_entries(spark: SparkSession, d: str) -> DataFrame:
+    return loglines.parse_entries(table(spark, d, "raw_lines"), "file_no", "line_no", "read_at", "raw", "fields")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.shred_records(table(spark, d, "nested_records"), "record_id", "payload")
 
@@ -116,7 +124,7 @@ SELECT 'dedup_keys', row_no FROM (SELECT row_no, row_number() OVER (PARTITION BY
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found, "p5_found": p5_found, "p5_alerts": p5_alerts, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found, "p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found, "p5_alerts": p5_alerts, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
