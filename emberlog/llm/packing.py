@@ -26,7 +26,7 @@ def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, li
     while order:
         top = order[0]
         space = capacity - top
-        bits, stages = 1, []
+        bits, stages, mask = 1, [], (1 << space + 1) - 1
         for n in order:
             if bits >> space & 1:
                 break
@@ -36,9 +36,8 @@ def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, li
             while have > 0:
                 use = min(many, have)
                 stages.append((bits, n, use))
-                bits |= bits << n * use
+                bits |= bits << n * use & mask  # sums beyond the space never come back
                 have, many = have - use, many * 2
-        bits &= (1 << space + 1) - 1
         t, used = bits.bit_length() - 1, {top: 1}
         for was, n, use in reversed(stages):
             if not was >> t & 1:
