@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import packing, runs, tokens
+from emberlog.llm import language, packing, runs, tokens
 from emberlog.session import table
 
 
@@ -24,6 +24,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(sizes, "doc_id", "n_tokens", kinds)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    labelled = language.label_documents(table(spark, d, "documents"), table(spark, d, "lang_codes"))
+    return language.segments_of(labelled).drop("confidence")
+
+
+def p9_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Language, confidence and status of every document."""
+    return language.label_documents(table(spark, d, "documents"), table(spark, d, "lang_codes")).drop("segments")
+
+
 _P3_SQL = r"""
 WITH e AS (
   SELECT event_id, min(struct_pack(t := event_time, s := nullif(lower(trim(source, ' \t\r\n')), ''),
@@ -39,7 +49,7 @@ FROM r GROUP BY s, run_no HAVING count(*) >= 2
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p3_found": p3_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_labels": p9_labels}
 
 
 def oracle_sql() -> dict[str, str]:
