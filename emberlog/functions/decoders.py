@@ -82,6 +82,16 @@ def level_severity(level: Column) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value`` evaluated once: without the binding, every use of a parsed text would parse it again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def one_json_object(raw: Column) -> Column:
+    """The text is one whole JSON object; several, one a line, are not (the parser alone would take the first)."""
+    return F.ltrim(raw).startswith("{") & F.try_parse_json(raw).isNotNull() & ~raw.rlike(r"\}\s*[\r\n]\s*\{")
+
+
 def decode_apache(raw: Column) -> Column:
     g = lambda i: F.regexp_extract(raw, APACHE, i)
     status = parse_int(g(5))
@@ -121,10 +131,14 @@ def decode_windows(raw: Column) -> Column:
 
 def decode_json(raw: Column) -> Column:
     """A JSON object: every key a field (nested values as JSON text), whatever its case."""
-    whole = F.from_json(raw, "map<string,string>")
-    ok = F.try_parse_json(raw).isNotNull() & F.ltrim(raw).startswith("{") & whole.isNotNull()
+    return _let(F.from_json(F.when(one_json_object(raw), raw), "map<string,string>"), lambda whole: _json_event(raw, whole))
+
+
+def _json_event(raw: Column, whole: Column) -> Column:
+    ok = whole.isNotNull()
     get = lambda k: F.get(F.transform(F.filter(F.map_entries(whole), lambda e: e["key"] == k), lambda e: e["value"]), 0)
-    number = F.when(F.try_variant_get(F.try_parse_json(raw), "$.severity", "double").isNotNull() & get("severity").rlike(r"^-?[0-9.eE+]+$"), get("severity").try_cast("double").cast("int"))
+    # a number, not a text of figures
+    number = F.when(raw.rlike(r'"severity"\s*:\s*-?[0-9]'), get("severity").try_cast("double").cast("int"))
     text_level = get("level")
     sev = F.coalesce(number, F.when(text_level.isNotNull(), level_severity(text_level)), F.lit(0))
     ts = F.coalesce(iso_time(get("timestamp")), iso_time(get("time")), iso_time(F.concat(get("time"), F.lit("Z"))))
@@ -132,11 +146,31 @@ def decode_json(raw: Column) -> Column:
     return F.when(ok, F.struct(ts.alias("ts"), F.lit("decoder:json").alias("source"), F.map_filter(whole, lambda k, v: v.isNotNull()).alias("fields"), tags.alias("tags"), sev.cast("int").alias("severity")))
 
 
+AUDIT_JSON = (
+    "kind string, auditID string, verb string, level string, stage string, requestURI string, sourceIPs string, requestReceivedTimestamp string, user struct<username:string>, impersonatedUser struct<username:string>, "
+    "objectRef struct<resource:string,subresource:string,namespace:string,name:string,apiGroup:string,apiVersion:string>, responseStatus struct<code:string,reason:string>"
+)
+SENSOR_JSON = (
+    "event_type string, timestamp string, src_ip string, src_port string, dest_ip string, dest_port string, proto string, alert struct<action:string,rule:string,category:string,sid:string,severity:string>, "
+    "dns struct<type:string,query:string,rcode:string>, http struct<hostname:string,url:string,http_method:string,status:string>, tls struct<sni:string,subject:string>"
+)
+
+
 def decode_audit(raw: Column) -> Column:
     """Kubernetes audit events: JSON with kind Event and an audit id."""
-    g = lambda path: F.get_json_object(raw, f"$.{path}")
-    ok = F.ltrim(raw).startswith("{") & (F.contains(raw, F.lit('"kind":"Event"')) | F.contains(raw, F.lit('"kind": "Event"')))
-    ok = ok & F.try_parse_json(raw).isNotNull() & (g("kind") == "Event") & (F.coalesce(g("auditID"), F.lit("")) != "")
+    ok = (F.contains(raw, F.lit('"kind":"Event"')) | F.contains(raw, F.lit('"kind": "Event"')))
+    ok = ok & one_json_object(raw)
+    return _let(F.from_json(F.when(ok, raw), AUDIT_JSON), _audit_event)
+
+
+def _audit_event(x: Column) -> Column:
+    def g(path: str) -> Column:
+        out = x
+        for name in path.split("."):
+            out = out[name]
+        return out
+
+    ok = (g("kind") == "Event") & (F.coalesce(g("auditID"), F.lit("")) != "")
     sub = F.coalesce(g("objectRef.subresource"), F.lit(""))
     resource = F.coalesce(F.concat(g("objectRef.resource"), F.when(sub != "", F.concat(F.lit("/"), sub)).otherwise("")), F.lit(""))
     verb, code = F.coalesce(g("verb"), F.lit("")), g("responseStatus.code").try_cast("int")
@@ -167,10 +201,19 @@ def decode_audit(raw: Column) -> Column:
 
 def decode_sensor(raw: Column) -> Column:
     """Suricata EVE: JSON with an event_type."""
-    g = lambda path: F.get_json_object(raw, f"$.{path}")
+    return _let(F.from_json(F.when(one_json_object(raw), raw), SENSOR_JSON), _sensor_event)
+
+
+def _sensor_event(x: Column) -> Column:
+    def g(path: str) -> Column:
+        out = x
+        for name in path.split("."):
+            out = out[name]
+        return out
+
     kind = F.coalesce(g("event_type"), F.lit(""))
-    ok = F.try_parse_json(raw).isNotNull() & F.ltrim(raw).startswith("{") & (kind != "")
-    alert = F.coalesce(g("alert"), F.lit("")).startswith("{")
+    ok = kind != ""
+    alert = F.coalesce(g("alert").isNotNull(), F.lit(False))
     level = F.lit(1)
     for s, out in SENSOR_SEVERITY.items():
         level = F.when(g("alert.severity").try_cast("int") == s, out).otherwise(level)
@@ -186,13 +229,19 @@ def decode_sensor(raw: Column) -> Column:
     return _event(ok, "suricata", fields, tags, F.when(alert, level).otherwise(1), iso_time(g("timestamp")))
 
 
+_DATA = "struct<Data:array<struct<_Name:string,_VALUE:string>>>"
+EVENT_XML = f"System struct<Provider:struct<_Name:string>,EventID:string,Level:string,TimeCreated:struct<_SystemTime:string>,Execution:struct<_ProcessID:string>,Channel:string,Computer:string>, EventData {_DATA}, UserData {_DATA}"
+
+
 def decode_evtx(raw: Column) -> Column:
-    """Windows event XML: System, EventData and UserData."""
-    x = lambda path: F.expr("NULL")
+    """Windows event XML: System, EventData and UserData, parsed once."""
     ok = F.ltrim(raw).rlike(r"^<Event[\s>]") & F.trim(raw).endswith("</Event>")
-    safe = F.when(ok, raw)
-    x = lambda path: F.xpath_string(safe, F.lit(path))
-    eid, provider, channel = x("/Event/System/EventID"), x("/Event/System/Provider/@Name"), x("/Event/System/Channel")
+    return _let(F.from_xml(F.when(ok, F.regexp_replace(raw, r"<EventID [^>]*>", "<EventID>")), F.lit(EVENT_XML), {"mode": "PERMISSIVE"}), lambda x: _evtx_event(ok, x))
+
+
+def _evtx_event(ok: Column, x: Column) -> Column:
+    sys = x["System"]
+    eid, provider, channel = F.coalesce(sys["EventID"], F.lit("")), F.coalesce(sys["Provider"]["_Name"], F.lit("")), F.coalesce(sys["Channel"], F.lit(""))
     extra, sev = _tags(), F.lit(0)
     for i, (tag, s) in SYSMON.items():
         hit = (provider == "Microsoft-Windows-Sysmon") & (eid == i)
@@ -200,14 +249,21 @@ def decode_evtx(raw: Column) -> Column:
     by_id, least = _tags(), F.lit(0)
     for i, (names, s) in EVTX_IDS.items():
         by_id, least = F.when(eid == i, _tags(*names)).otherwise(by_id), F.when(eid == i, s).otherwise(least)
-    names = F.xpath(safe, F.lit("//EventData/Data/@Name | //UserData/Data/@Name"))
-    values = F.xpath(safe, F.lit("//EventData/Data/text() | //UserData/Data/text()"))
-    fields = [("event_id", eid), ("provider", provider), ("computer", x("/Event/System/Computer")), ("channel", channel), ("level_name", x("/Event/System/Level")), ("pid", x("/Event/System/Execution/@ProcessID"))]
-    base = _event(ok & (eid != ""), "decoder:evtx", fields, F.concat(F.array(F.lit("windows"), channel), extra, by_id), F.greatest(sev, least), iso_time(x("/Event/System/TimeCreated/@SystemTime")))
-    data = F.arrays_zip(names.alias("key"), values.alias("value"))
-    own = F.filter(F.map_entries(base["fields"]), lambda e: ~F.array_contains(names, e["key"]))
-    merged = F.when(F.size(names) == F.size(values), F.map_from_entries(F.concat(own, F.transform(data, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))))).otherwise(base["fields"])
-    return F.when(base.isNotNull(), F.struct(base["ts"].alias("ts"), base["source"].alias("source"), merged.alias("fields"), base["tags"].alias("tags"), base["severity"].alias("severity")))
+    fields = [("event_id", eid), ("provider", provider), ("computer", sys["Computer"]), ("channel", channel), ("level_name", sys["Level"]), ("pid", sys["Execution"]["_ProcessID"])]
+    none = F.array().cast("array<struct<_Name:string,_VALUE:string>>")
+    data = F.concat(F.coalesce(x["EventData"]["Data"], none), F.coalesce(x["UserData"]["Data"], none))
+    data = F.filter(data, lambda e: e["_Name"].isNotNull())
+    # of equal names the last value stays, and data wins over the header
+    pairs = F.concat(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields]), lambda e: e["value"].isNotNull()), F.transform(data, lambda e: F.struct(e["_Name"].alias("key"), e["_VALUE"].alias("value"))))
+    keys = F.transform(pairs, lambda e: e["key"])
+    last = F.filter(pairs, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys) + 1), e["key"]))
+    return F.when(
+        ok & (eid != ""),
+        F.struct(
+            iso_time(sys["TimeCreated"]["_SystemTime"]).alias("ts"), F.lit("decoder:evtx").alias("source"), F.map_from_entries(last).alias("fields"),
+            F.concat(F.array(F.lit("windows"), channel), extra, by_id).alias("tags"), F.greatest(sev, least).cast("int").alias("severity"),
+        ),
+    )
 
 
 def decode_csv(raw: Column, names: list[str]) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: Names an indicator's type may be given as.
 TYPE_NAMES = {"hash": "hash", "md5": "hash", "sha1": "hash", "sha256": "hash", "ip": "ip", "ipv4": "ip", "ipv6": "ip", "domain": "domain", "host": "domain", "url": "url", "uri": "url", "email": "email"}
@@ -54,18 +57,23 @@ def engine_verdict(malicious: Column, suspicious: Column, harmless: Column, unde
     return F.struct(total.alias("total"), verdict.alias("verdict"))
 
 
+@pandas_udf("double")
+def _entropy(texts: pd.Series) -> pd.Series:
+    out = np.zeros(len(texts))
+    for i, t in enumerate(texts):
+        if t:
+            _, n = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+            p = n / n.sum()
+            out[i] = -(p * np.log2(p)).sum()
+    return pd.Series(out)
+
+
 def text_entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits, over the whole text; empty and null are 0.
 
-    Counts per character without leaving the row: the sorted characters are folded into runs.
+    Arrow batches with numpy: folding sorted characters in the JVM took ten times as long.
     """
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    n = F.size(chars).cast("double")
-    zero = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("s"))
-    term = lambda k: F.when(k > 0, k * F.log2(k)).otherwise(0.0)
-    step = lambda a, c: F.when(a["c"] == c, F.struct(c.alias("c"), (a["k"] + 1).alias("k"), a["s"].alias("s"))).otherwise(F.struct(c.alias("c"), F.lit(1.0).alias("k"), (a["s"] + term(a["k"])).alias("s")))
-    folded = F.aggregate(chars, zero, step, lambda a: a["s"] + term(a["k"]))
-    return F.when(F.length(text) > 0, F.log2(n) - folded / n).otherwise(0.0)
+    return _entropy(text)
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

@@ -215,7 +215,7 @@ def alert_id(rule_id: Column, time: Column) -> Column:
 
 def map_controls(rules: DataFrame, controls: DataFrame) -> DataFrame:
     """(rule_id, framework, control_id): controls of each technique in the rule's comma list; without any, by severity."""
-    ids = rules.select("rule_id", "severity", F.explode(F.transform(F.split(F.coalesce("mitre", F.lit("")), ","), F.trim)).alias("technique"))
+    ids = rules.select("rule_id", "severity", F.explode(F.transform(F.split(F.coalesce("mitre", F.lit("")), ","), lambda t: F.trim(t))).alias("technique"))
     mapped = ids.join(controls, "technique").select("rule_id", "framework", "control_id")
     fallback = F.when(F.col("severity") >= 10, F.array(F.struct(F.lit("pci_dss_v4.0"), F.lit("6.2")), F.struct(F.lit("hipaa"), F.lit("164.312(a)(1)")), F.struct(F.lit("gdpr"), F.lit("Art.32"))))
     fallback = fallback.when(F.col("severity") >= 7, F.array(F.struct(F.lit("pci_dss_v4.0"), F.lit("6.2")), F.struct(F.lit("hipaa"), F.lit("164.308(a)(1)(i)"))))
