@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 #: Names an indicator's type may be given as.
 TYPE_NAMES = {"hash": "hash", "md5": "hash", "sha1": "hash", "sha256": "hash", "ip": "ip", "ipv4": "ip", "ipv6": "ip", "domain": "domain", "host": "domain", "url": "url", "uri": "url", "email": "email"}
@@ -57,7 +58,7 @@ def engine_verdict(malicious: Column, suspicious: Column, harmless: Column, unde
     return F.struct(total.alias("total"), verdict.alias("verdict"))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _entropy(texts: pd.Series) -> pd.Series:
     out = np.zeros(len(texts))
     for i, t in enumerate(texts):

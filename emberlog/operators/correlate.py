@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.operators.gate import gate_events
+from emberlog.operators.ordered import numbered, time_cells, with_halo
 
 #: Clamp of flood thresholds and the default where a type was not seen during warm-up.
 FLOOD_MIN, FLOOD_MAX, FLOOD_DEFAULT = 20, 5000, 100
@@ -27,13 +28,11 @@ def event_key(pid: Column, path: Column, ip: Column, port: Column, time: Column)
 
 def burst_alerts(events: DataFrame, time: str, tie: str, kind: str, name: str, kinds: list[str], window_s: int, threshold: int, severity: int, suppress_ms: int, about: str) -> DataFrame:
     """Events of ``kinds`` whose trailing count reaches ``threshold`` and whose score (count * severity div threshold) is 3 or more, then gated per ``about``."""
-    # the count is over all entities: cells of 64 windows are counted apart, the last window of each also in the next, so that no single task sees every event
-    hit = events.where(F.col(kind).isin(kinds)).withColumn("__us", _us(time))
+    # the count is over all entities, so it is split by time cells
     span = window_s * 1_000_000
-    cell = F.floor(F.col("__us") / (span * 64))
-    both = hit.withColumn("__cell", F.explode(F.when(F.pmod("__us", F.lit(span * 64)) >= span * 63, F.array(cell, cell + 1)).otherwise(F.array(cell)))).withColumn("__own", F.col("__cell") == cell)
-    n = both.withColumn("in_window", F.count("*").over(Window.partitionBy("__cell").orderBy("__us").rangeBetween(-(span - 1), 0))).where("__own")
-    fired = n.where(F.col("in_window") >= threshold).withColumn("score", F.expr(f"in_window * {severity} div {threshold}")).where("score >= 3").drop("__us", "__cell", "__own")
+    hit = time_cells(events.where(F.col(kind).isin(kinds)).withColumn("__us", _us(time)), "__us", span)
+    n = hit.withColumn("in_window", F.count("*").over(Window.partitionBy("cell").orderBy("__us").rangeBetween(-(span - 1), 0))).where("own")
+    fired = n.where(F.col("in_window") >= threshold).withColumn("score", F.expr(f"in_window * {severity} div {threshold}")).where("score >= 3").drop("__us", "cell", "own")
     return gate_events(fired, about, time, tie, suppress_ms * 1000).where("passes").withColumn("rule", F.lit(name)).drop("passes", "anchor_us")
 
 
@@ -44,10 +43,11 @@ def suppressed(alerts: DataFrame, rule: str, time: str, tie: str, suppress_s: in
 
 def create_then_delete(events: DataFrame, path: str, time: str, tie: str, created: Column, deleted: Column, within_s: int) -> DataFrame:
     """Deletions less than ``within_s`` after the latest creation of the same path since its last deletion."""
-    w = Window.partitionBy(path).orderBy(_us(time), tie)
-    seen = events.where(created | deleted).withColumns({"__c": created, "__us": _us(time)})
+    # nothing older than the span matters, so a busy path is split by time cells
+    seen = time_cells(events.where(created | deleted).withColumns({"__c": created, "__us": _us(time)}), "__us", within_s * 1_000_000)
+    w = Window.partitionBy(path, "cell").orderBy("__us", tie)
     prev = seen.withColumns({"was_created": F.lag("__c").over(w), "created_us": F.lag("__us").over(w)})
-    return prev.where(deleted & F.col("was_created") & (F.col("__us") - F.col("created_us") < within_s * 1_000_000)).drop("__c", "__us", "was_created")
+    return prev.where(F.col("own") & deleted & F.col("was_created") & (F.col("__us") - F.col("created_us") < within_s * 1_000_000)).drop("__c", "__us", "was_created", "cell", "own")
 
 
 def first_seen(events: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
@@ -97,8 +97,8 @@ def throttled(dismissals: DataFrame, rule: str, process: str, time: str, thresho
 
 def flapping(changes: DataFrame, path: str, time: str, tie: str, quiet_from: int = 3, reset_after: int = 10) -> DataFrame:
     """Changes with ``suppressed``: the fourth to tenth change of a path are, then counting starts anew."""
-    n = F.row_number().over(Window.partitionBy(path).orderBy(time, tie))
-    return changes.withColumn("suppressed", F.pmod(n - 1, F.lit(reset_after + 1)) + 1 > quiet_from)
+    n = numbered(changes, path, [time, tie], "__row")
+    return n.withColumn("suppressed", F.pmod(F.col("__row") - 1, F.lit(reset_after + 1)) + 1 > quiet_from).drop("__row")
 
 
 def zscore_anomalies(samples: DataFrame, group: str, value: str, order: list[str], last: int = 100, z_limit: float = 3.0, ceiling: float = 7.0) -> DataFrame:
@@ -106,8 +106,11 @@ def zscore_anomalies(samples: DataFrame, group: str, value: str, order: list[str
 
     With fewer than three samples before it or a deviation under 0.1 the sample is anomalous above ``ceiling``.
     """
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(-last, -1)
-    s = samples.withColumns({"n": F.count(value).over(w), "mean": F.avg(value).over(w), "sd": F.stddev_pop(value).over(w)})
+    # a group is split into cells that repeat the ``last`` rows of the cell before
+    cells = with_halo(numbered(samples, group, order, "__row"), "__row", last)
+    w = Window.partitionBy(group, "cell").orderBy("__row").rowsBetween(-last, -1)
+    s = cells.withColumns({"n": F.count(value).over(w), "mean": F.avg(value).over(w), "sd": F.stddev_pop(value).over(w)})
+    s = s.where("own").drop("__row", "cell", "own")
     usable = (F.col("n") >= 3) & (F.col("sd") >= 0.1)
     z = F.when(usable, F.abs(F.col(value) - F.col("mean")) / F.col("sd")).otherwise(0.0)
     return s.withColumn("z", z).withColumn("anomalous", F.when(usable, F.col("z") > z_limit).otherwise(F.col(value) > ceiling)).drop("n", "mean", "sd")

@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from emberlog.session import materialise
 
 
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
@@ -30,3 +37,56 @@ def stitch_borders(pieces: DataFrame, keys: Sequence[str], joins: Column, part:
     goes_on = F.coalesce((F.col(f"prev_{part}") < F.col(part)) & F.col(f"prev_{is_last}") & F.col(is_first) & joins, F.lit(False))
     numbered = lagged.withColumn("goes_on", goes_on).withColumn("group_no", F.sum((~F.col("goes_on")).cast("long")).over(w))
     return numbered.groupBy(*keys, "group_no").agg(*aggs).drop("group_no")
+
+
+def numbered(df: DataFrame, key: str, order: Sequence[str], name: str = "row_no", parts: int | None = None) -> DataFrame:
+    """``df`` with the row's number, from 1, within its ``key`` in ``order`` (which should be total).
+
+    A window would put a key into one task. Here partitions are numbered by themselves, and one row a partition, what
+    its first key has in the partitions before it, is broadcast. Null is a key of its own.
+    """
+    keyed = df.withColumn("__k", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    placed = chunked(keyed, ["__k"], order, parts)
+
+    def count(batches):
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column("__k")
+            new = np.concatenate([[k[0].as_py() != last], pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)])
+            at = np.arange(b.num_rows)
+            begin = np.maximum.accumulate(np.where(new, at, -1))
+            local = np.where(begin >= 0, at - begin + 1, at + n + 1)
+            last, n = k[b.num_rows - 1].as_py(), int(local[-1])
+            yield b.append_column("__part", pa.array(np.full(b.num_rows, part, np.int32))).append_column("__n", pa.array(local.astype(np.int64)))
+
+    schema = T.StructType([*placed.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__n", T.LongType())])
+    held = materialise(placed.mapInArrow(count, schema), "numbered")
+    ends = held.groupBy("__part").agg(F.min("__k").alias("a"), F.max("__k").alias("z"), F.max_by("__n", F.struct("__k", "__n")).alias("n"))
+    offsets, key_now, total = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["__part"]):  # one row a partition
+        offsets.append((r["__part"], r["a"], total if r["a"] == key_now else 0))
+        total = (total if r["a"] == key_now and r["a"] == r["z"] else 0) + r["n"]
+        key_now = r["z"]
+    before = df.sparkSession.createDataFrame(offsets, "__part int, __k string, __before long")
+    out = held.join(F.broadcast(before), ["__part", "__k"], "left").withColumn(name, F.col("__n") + F.coalesce("__before", F.lit(0)))
+    return out.drop("__part", "__k", "__n", "__before")
+
+
+def with_halo(df: DataFrame, number: str, rows: int, cell_rows: int = 100_000) -> DataFrame:
+    """Cells of ``cell_rows`` consecutive rows a key; the last ``rows`` of a cell are repeated in the next, with ``own`` false."""
+    cell = F.floor((F.col(number) - 1) / cell_rows)
+    tail = F.pmod(F.col(number) - 1, F.lit(cell_rows)) >= cell_rows - rows
+    return df.withColumn("cell", F.explode(F.when(tail, F.array(cell, cell + 1)).otherwise(F.array(cell)))).withColumn("own", F.col("cell") == cell)
+
+
+def time_cells(df: DataFrame, us: str, span_us: int, spans: int = 64) -> DataFrame:
+    """Cells of ``spans`` windows of time; the last window of a cell is repeated in the next, with ``own`` false.
+
+    Whatever looks back at most ``span_us`` gets all it needs within its cell, so a key is not bound to one task.
+    """
+    size = span_us * spans
+    cell = F.floor(F.col(us) / size)
+    tail = F.pmod(F.col(us), F.lit(size)) >= size - span_us
+    return df.withColumn("cell", F.explode(F.when(tail, F.array(cell, cell + 1)).otherwise(F.array(cell)))).withColumn("own", F.col("cell") == cell)

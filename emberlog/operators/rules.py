@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.ordered import time_cells
+
 #: Rules whose count is kept by address, else host name; all others count as a whole.
 KEYED_RULES = ("MULTIPLE_FAILED_LOGINS", "HTTP_4XX_BURST")
 
@@ -181,10 +183,12 @@ def threshold_alerts(matches: DataFrame, time: str, by: list[str], threshold: Co
     """
     us = F.unix_micros(F.col(time).cast("timestamp"))
     if isinstance(window_s, int):
-        w = Window.partitionBy(*by).orderBy("__us").rangeBetween(-(window_s * 1_000_000 - 1), 0)
-        counted = matches.withColumn("__us", us).withColumn("in_window", F.count("*").over(w))
+        # by time cells too: most rules count all events under one key
+        cells = time_cells(matches.withColumn("__us", us), "__us", window_s * 1_000_000)
+        w = Window.partitionBy(*by, "cell").orderBy("__us").rangeBetween(-(window_s * 1_000_000 - 1), 0)
+        counted = cells.withColumn("in_window", F.count("*").over(w)).where("own").drop("cell", "own")
     else:
-        lengths = [r[0] for r in matches.select(window_s.alias("w")).distinct().limit(1000).collect()]
+        lengths = [r[0] for r in matches.select(window_s.alias("w")).distinct().collect()]  # at most one a rule
         parts = [threshold_alerts(matches.where(window_s == n), time, by, 0, int(n or 0) or 1) for n in lengths]
         counted = reduce(DataFrame.unionByName, parts) if parts else matches.withColumns({"__us": us, "in_window": F.lit(0).cast("long")})
         return counted.where(F.col("in_window") >= threshold).drop("__us")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.keys import text_instant
+from emberlog.operators.ordered import numbered
 
 
 def recent(df: DataFrame, at: str, tie: str, limit: int) -> DataFrame:
@@ -97,4 +98,4 @@ def link_once(links: DataFrame, left: str, right: str) -> DataFrame:
 
 def timeline(df: DataFrame, entity: str, at: Column, tie: str) -> DataFrame:
     """Events of each entity numbered in order."""
-    return df.withColumn("step", F.row_number().over(Window.partitionBy(entity).orderBy(at, tie)))
+    return numbered(df.withColumn("__at", at), entity, ["__at", tie], "step").drop("__at")
