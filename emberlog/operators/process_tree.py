@@ -42,14 +42,13 @@ def ancestors(edges: DataFrame, node: str, parent: str, max_rounds: int = 64) ->
     e = edges.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("up"))
     known = e.select(F.col("node").alias("up"), F.lit(True).alias("known"))
     state = materialise(e.join(known, "up", "left").select("node", F.when(F.col("known"), F.col("up")).alias("up"), F.when(F.col("known"), F.lit(1).cast("long")).otherwise(0).alias("dist"), F.when(F.col("known"), F.col("up")).otherwise(F.col("node")).alias("top")), "ancestors")
+    nodes = state.count()
     for _ in range(max_rounds):
         far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("top").alias("top2"))
         state = materialise(state.join(far, "up", "left").select("node", F.col("up2").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.coalesce("top2", "top").alias("top")), "ancestors")
         open_ = state.where(F.col("up").isNotNull()).agg(F.count("*"), F.max("dist")).first()
-        if not open_[0]:
-            break
-        if open_[1] > 1 << 40:
-            break  # longer than any chain of rows: cycles
+        if not open_[0] or open_[1] > nodes:
+            break  # all at their top, or longer than any chain of rows: cycles
     cyclic = F.col("up").isNotNull()
     return state.select("node", F.when(~cyclic, F.col("dist")).alias("depth"), F.when(~cyclic, F.col("top")).alias("root"))
 
