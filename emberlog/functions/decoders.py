@@ -6,7 +6,7 @@ whole-stage code generation. Times without a zone are UTC; ``ts`` is null where
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 APACHE = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+\S+"\s+(\d+)\s+(\d+|-)'
@@ -87,23 +87,35 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _groups(raw: Column, pattern: str, n: int) -> Column:
+    """The ``n`` groups of a pattern anchored at both ends by one pass of the regex; an array of another size if it does not match."""
+    return F.split(F.regexp_replace(raw, pattern, "\x1f".join(f"${i}" for i in range(1, n + 1))), "\x1f", n + 1)
+
+
 def one_json_object(raw: Column) -> Column:
     """The text is one whole JSON object; several, one a line, are not (the parser alone would take the first)."""
     return F.ltrim(raw).startswith("{") & F.try_parse_json(raw).isNotNull() & ~raw.rlike(r"\}\s*[\r\n]\s*\{")
 
 
 def decode_apache(raw: Column) -> Column:
-    g = lambda i: F.regexp_extract(raw, APACHE, i)
-    status = parse_int(g(5))
+    return _let(_groups(raw, APACHE + r"[\s\S]*$", 6), lambda p: _let(parse_int(F.get(p, F.lit(4))), lambda status: _apache_event(p, status)))
+
+
+def _apache_event(p: Column, status: Column) -> Column:
+    g = lambda i: F.get(p, F.lit(i - 1))
     tag = F.when(status >= 500, "http_error").when(status >= 400, "http_client_error").when(status >= 300, "http_redirect").otherwise("http_success")
     fields = [("client_ip", g(1)), ("method", g(3)), ("path", g(4)), ("status", status), ("bytes", parse_int(g(6))), ("event_type", F.lit("http_request"))]
-    return _event(raw.rlike(APACHE), "decoder:apache", fields, F.array(tag), F.when(status >= 500, 3).when(status >= 400, 2).otherwise(0), utc_time(g(2), "dd/MMM/yyyy:HH:mm:ss Z"))
+    return _event(F.size(p) == 6, "decoder:apache", fields, F.array(tag), F.when(status >= 500, 3).when(status >= 400, 2).otherwise(0), utc_time(g(2), "dd/MMM/yyyy:HH:mm:ss Z"))
 
 
 def decode_syslog(raw: Column, year: int | None = None, strict: bool = False) -> Column:
     """Any text that is not in the layout is its own message, unless ``strict``. ``year`` is put into the yearless time."""
-    g = lambda i: F.regexp_extract(raw, SYSLOG, i)
-    hit, low = raw.rlike(SYSLOG), F.lower(F.regexp_extract(raw, SYSLOG, 5))
+    return _let(_groups(raw, SYSLOG, 5), lambda p: _let(F.lower(F.get(p, F.lit(4))), lambda low: _syslog_event(raw, p, low, year, strict)))
+
+
+def _syslog_event(raw: Column, p: Column, low: Column, year: int | None, strict: bool) -> Column:
+    g = lambda i: F.get(p, F.lit(i - 1))
+    hit = F.size(p) == 5
     auth, ok = _any(low, ["failed password", "authentication failure"]), _any(low, ["accepted password"])
     err, warn = _any(low, ["error", "panic"]), _any(low, ["warn"])
     tags = F.when(auth, _tags("auth_failure", "security")).when(ok, _tags("auth_success", "security")).when(err, _tags("error")).when(warn, _tags("warning")).otherwise(_tags())
@@ -115,8 +127,12 @@ def decode_syslog(raw: Column, year: int | None = None, strict: bool = False) ->
 
 
 def decode_windows(raw: Column) -> Column:
-    g = lambda i: F.regexp_extract(raw, WINDOWS, i)
-    message, low = g(4), F.lower(g(4))
+    return _let(_groups(raw, WINDOWS, 4), lambda p: _let(F.lower(F.get(p, F.lit(3))), lambda low: _windows_event(p, low)))
+
+
+def _windows_event(p: Column, low: Column) -> Column:
+    g = lambda i: F.get(p, F.lit(i - 1))
+    message = g(4)
     tags, sev = F.when(_any(low, ["error"]), _tags("error")).otherwise(_tags()), F.when(_any(low, ["error"]), 2).otherwise(0)
     for words, tag, s in reversed(WINDOWS_WORDS):
         tags, sev = F.when(_any(low, words), _tags("security", tag)).otherwise(tags), F.when(_any(low, words), s).otherwise(sev)
@@ -126,7 +142,7 @@ def decode_windows(raw: Column) -> Column:
     after = lambda word, tag: F.when(has_two & first(tag), F.regexp_extract(message, rf"(?i){word}: *([^, \n]+)", 1))
     fields = [("date", g(1)), ("time", g(2)), ("source", g(3)), ("message", message), ("logontype", logon), ("process_path", after("process", "process_creation")), ("file_path", after("file", "malware_detection"))]
     stamp = F.concat(F.regexp_replace(g(1), "/", "-"), F.lit("T"), g(2), F.lit("Z"))
-    return _event(raw.rlike(WINDOWS), "decoder:windows_event", fields, tags, sev, iso_time(stamp))
+    return _event(F.size(p) == 4, "decoder:windows_event", fields, tags, sev, iso_time(stamp))
 
 
 def decode_json(raw: Column) -> Column:
@@ -307,3 +323,12 @@ def decode_tree(raw: Column, program: Column, decoders: list[dict]) -> Column:
             inner = F.when(cond, emit([root, child])).otherwise(inner)
         out = F.coalesce(out, F.when(hit, inner))
     return out
+
+
+def decode_rows(df: DataFrame, decoder: Column, name: str = "e") -> DataFrame:
+    """``df`` with the decoded event, rows that do not match left out.
+
+    The generator evaluates the decoder once a row; as a plain column it would be repeated in the filter and in every
+    use of one of its fields.
+    """
+    return df.withColumn(name, F.explode(F.filter(F.array(decoder), lambda e: e.isNotNull())))

@@ -48,10 +48,6 @@ def tag_text(c: Column) -> Column:
 # ---------------------------------------------------------------- decoders
 
 
-def decoded(df: DataFrame, struct: Column) -> DataFrame:
-    return df.withColumn("e", struct).where(F.col("e").isNotNull())
-
-
 def by_outcome(df: DataFrame) -> DataFrame:
     return df.groupBy(tag_text(F.col("e.tags")).alias("tags"), F.col("e.severity").alias("severity")).agg(F.count("*").alias("n"))
 
@@ -65,7 +61,7 @@ SELECT regexp_replace(app, '\[.*$', '') AS app, CASE WHEN m LIKE '%failed passwo
   CAST(CASE WHEN m LIKE '%failed password%' OR m LIKE '%authentication failure%' THEN 3 WHEN m LIKE '%accepted password%' THEN 0 WHEN m LIKE '%error%' OR m LIKE '%panic%' THEN 2 WHEN m LIKE '%warn%' THEN 1 ELSE 0 END AS INTEGER) AS severity, count(*) AS n
 FROM l GROUP BY 1, 2, 3""")
 def decode_syslog_auth(spark, d):
-    e = decoded(table(spark, d, "raw_lines").select("raw"), D.decode_syslog(F.col("raw"), strict=True))
+    e = D.decode_rows(table(spark, d, "raw_lines").select("raw"), D.decode_syslog(F.col("raw"), strict=True))
     app = F.regexp_replace(F.element_at("e.fields", "app"), r"\[.*$", "")
     return e.groupBy(app.alias("app"), tag_text(F.col("e.tags")).alias("tags"), F.col("e.severity").alias("severity")).agg(F.count("*").alias("n"))
 
@@ -79,14 +75,14 @@ def decode_apache_status(spark, d):
         F.lit("10.0."), (F.col("o_custkey") % 256).cast("string"), F.lit(".1 - - ["), F.date_format("o_orderdate", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /o/'), F.col("o_orderkey").cast("string"),
         F.lit(' HTTP/1.1" '), (200 + 100 * (F.col("o_orderkey") % 4) + F.col("o_orderkey") % 5).cast("string"), F.lit(" "), F.when(F.col("o_custkey") % 7 == 0, F.lit("-")).otherwise(F.col("o_custkey").cast("string")),
     )
-    e = decoded(table(spark, d, "orders").select(line.alias("raw")), D.decode_apache(F.col("raw")))
+    e = D.decode_rows(table(spark, d, "orders").select(line.alias("raw")), D.decode_apache(F.col("raw")))
     month = F.date_trunc("month", F.col("e.ts")).cast("timestamp_ntz")
     return e.groupBy(tag_text(F.col("e.tags")).alias("tags"), F.col("e.severity").alias("severity"), month.alias("month")).agg(F.count("*").alias("n"), F.sum(F.element_at("e.fields", "bytes").cast("long")).alias("bytes"))
 
 
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def decode_json_props(spark, d):
-    e = decoded(table(spark, d, "events").select("event_type", "props"), D.decode_json(F.col("props")))
+    e = D.decode_rows(table(spark, d, "events").select("event_type", "props"), D.decode_json(F.col("props")))
     return e.groupBy("event_type", F.element_at("e.fields", "k").alias("k")).agg(F.count("*").alias("n"))
 
 
@@ -104,7 +100,7 @@ SELECT 'k8s,kubernetes' || ['', ',k8s:exec', ',k8s:secret-access', ',k8s:secret-
 
 @query(_AUDIT_SQL)
 def decode_k8s_audit(spark, d):
-    return by_outcome(decoded(table(spark, d, "nested_records").select("payload"), D.decode_audit(F.col("payload"))))
+    return by_outcome(D.decode_rows(table(spark, d, "nested_records").select("payload"), D.decode_audit(F.col("payload"))))
 
 
 @query("""
@@ -113,7 +109,7 @@ f AS (SELECT coalesce(json_extract_string(p, '$.event_type'), '') AS kind, start
 SELECT 'nids,' || kind || CASE WHEN alert THEN ',alert' ELSE '' END AS tags, CAST(CASE WHEN NOT alert THEN 1 WHEN s = 1 THEN 7 WHEN s = 2 THEN 5 WHEN s = 3 THEN 3 ELSE 1 END AS INTEGER) AS severity, count(*) AS n
 FROM f WHERE kind <> '' GROUP BY 1, 2""")
 def decode_suricata(spark, d):
-    return by_outcome(decoded(table(spark, d, "nested_records").select("payload"), D.decode_sensor(F.col("payload"))))
+    return by_outcome(D.decode_rows(table(spark, d, "nested_records").select("payload"), D.decode_sensor(F.col("payload"))))
 
 
 _KINDS = {"error": "An account failed logon, Logon Type: 10", "click": "process creation Process: C:\\\\x.exe, done", "view": "registry value set", "purchase": "Defender found File: /tmp/a b", "signup": "nothing of note"}
@@ -129,7 +125,7 @@ def decode_windows_text(spark, d):
     for k, v in _KINDS.items():
         words = F.when(F.col("event_type") == k, F.lit(v)).otherwise(words)
     line = F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" (Security) "), words)
-    e = decoded(table(spark, d, "events").select(line.alias("raw")), D.decode_windows(F.col("raw")))
+    e = D.decode_rows(table(spark, d, "events").select(line.alias("raw")), D.decode_windows(F.col("raw")))
     detail = F.coalesce(*[F.get(F.map_values(F.map_filter("e.fields", lambda k, v: k.isin("logontype", "process_path", "file_path"))), 0)])
     return e.groupBy(tag_text(F.col("e.tags")).alias("tags"), F.col("e.severity").alias("severity"), detail.alias("detail")).agg(F.count("*").alias("n"), F.max(F.col("e.ts").cast("timestamp_ntz")).alias("last_ts"))
 
@@ -143,14 +139,14 @@ def decode_evtx_xml(spark, d):
         F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="Audit"/><EventID>'), eid,
         F.lit("</EventID><Level>0</Level><Channel>Security</Channel><Computer>h</Computer></System><EventData><Data Name=\"TargetUser\">"), F.col("user_id").cast("string"), F.lit("</Data></EventData></Event>"),
     )
-    e = decoded(table(spark, d, "events").select(xml.alias("raw")), D.decode_evtx(F.col("raw")))
+    e = D.decode_rows(table(spark, d, "events").select(xml.alias("raw")), D.decode_evtx(F.col("raw")))
     return e.groupBy(tag_text(F.col("e.tags")).alias("tags"), F.col("e.severity").alias("severity"), F.element_at("e.fields", "TargetUser").alias("target")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CAST(n_regionkey AS VARCHAR) AS field_2 FROM nation")
 def decode_csv_fields(spark, d):
     line = F.concat_ws(", ", F.col("n_nationkey").cast("string"), "n_name", F.concat(F.col("n_regionkey").cast("string"), F.lit("\n")))
-    e = decoded(table(spark, d, "nation").select(line.alias("raw")), D.decode_csv(F.col("raw"), ["key", "name"]))
+    e = D.decode_rows(table(spark, d, "nation").select(line.alias("raw")), D.decode_csv(F.col("raw"), ["key", "name"]))
     return e.select(*[F.element_at("e.fields", k).alias(k) for k in ("key", "name", "field_2")])
 
 
@@ -169,7 +165,7 @@ SELECT CASE WHEN program LIKE 'sshd%' THEN CASE WHEN raw LIKE '%refused password
 FROM l WHERE program LIKE 'sshd%' OR raw LIKE 'disk at%' GROUP BY 1, 2""")
 def decode_program_tree(spark, d):
     raw = F.col("raw")
-    e = decoded(table(spark, d, "siem_events").where(raw.isNotNull()).select("raw"), D.decode_tree(raw, F.regexp_extract(raw, "^([A-Za-z_-]+)", 1), TREE))
+    e = D.decode_rows(table(spark, d, "siem_events").where(raw.isNotNull()).select("raw"), D.decode_tree(raw, F.regexp_extract(raw, "^([A-Za-z_-]+)", 1), TREE))
     return e.groupBy(tag_text(F.col("e.tags")).alias("tags"), F.element_at("e.fields", "user").alias("username")).agg(F.count("*").alias("n"))
 
 
@@ -181,7 +177,7 @@ SELECT CASE WHEN o IS NOT NULL AND (contains(raw, '"kind":"Event"') OR contains(
   WHEN regexp_matches(raw, '^(\d{4}/\d{2}/\d{2})\s+(\d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+\(([^)]+)\)\s+(.*)$') THEN 'decoder:windows_event' ELSE 'decoder:syslog' END AS source, count(*) AS n FROM j GROUP BY 1""")
 def decode_chain_first_match(spark, d):
     lines = table(spark, d, "siem_events").select("raw").union(table(spark, d, "raw_lines").select("raw")).union(table(spark, d, "events").select("props")).union(table(spark, d, "nested_records").select("payload"))
-    return decoded(lines, D.decode_first(F.col("raw"))).groupBy(F.col("e.source").alias("source")).agg(F.count("*").alias("n"))
+    return D.decode_rows(lines, D.decode_first(F.col("raw"))).groupBy(F.col("e.source").alias("source")).agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- rules
@@ -267,7 +263,7 @@ def line_alerts(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     text = F.when(F.col("event_type") == "error", "Failed password for root").when(F.col("event_type") == "signup", "error in unit").otherwise("session opened")
     line = F.concat(F.lit("<34>"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host-"), (F.col("user_id") % 40).cast("string"), F.lit(" sshd "), text)
-    events = decoded(e.select("event_id", "ts", line.alias("raw")), D.decode_syslog(F.col("raw"), 2024)).select("event_id", "ts", F.col("e.tags").alias("tags"), F.col("e.fields").alias("fields"), F.col("e.severity").alias("severity"))
+    events = D.decode_rows(e.select("event_id", "ts", line.alias("raw")), D.decode_syslog(F.col("raw"), 2024)).select("event_id", "ts", F.col("e.tags").alias("tags"), F.col("e.fields").alias("fields"), F.col("e.severity").alias("severity"))
     return rules.threshold_alerts(rules.match_rules(events, LINE_RULES), "ts", ["rule_id", "corr_key"], F.col("threshold"), F.col("window_s"))
 
 
