@@ -1,11 +1,11 @@
 """Semi-structured log lines into timestamp, level, component and message.
 
 A fixed-depth template tree: the leading tokens of a line are masked (dates, clocks, levels, numbers, ...), the
-line is routed by their count and its first two masks to a leaf, and merged there into the most similar template.
-A template's masks are mapped once to the positions of the fields; lines then give their fields by position. Lines
-whose template has no header belong to the entry before, lines of one file are read in order, and files are cut
-into range partitions whose border pieces are stitched, so that a file with a third of all lines spreads over many
-tasks.
+line is routed by the count of all its tokens and its first two masks to a leaf, and merged there into the most
+similar template. The positions of the fields are derived once from a template's masks, by their kinds and not from a
+list of layouts; lines then give their fields by position. Lines whose template has no header belong to the entry
+before, lines of one file are read in order, and files are cut into range partitions whose border pieces are stitched,
+so that a file with a third of all lines spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -45,12 +45,20 @@ TEXT_KEYS = ("msg", "message", "text")
 _WORD = "|".join(k for k in LEVELS if len(k) > 1)
 _MON = "|".join(MONTHS)
 _ISO = r"\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:[Zz]|[+-]\d\d:?\d\d)?"
+_DATE = r"\d{4}[-/.]\d\d[-/.]\d\d"
+_TIME = r"\d\d:\d\d:\d\d(?:[.,]\d+)?"
+_SHIFT = r"(?:[Zz]|[+-]\d\d:?\d\d)"
 MASKS = [
     ("PRI5", r"<\d{1,3}>\d{1,2}"),
     ("PRI3", rf"<\d{{1,3}}>(?:{_MON})"),
     ("ISO", _ISO),
-    ("DATE", r"\d{4}[-/.]\d\d[-/.]\d\d"),
-    ("TIME", r"\d\d:\d\d:\d\d(?:[.,]\d+)?"),
+    ("ISOBOX", rf"\[{_ISO}\]"),
+    ("DATE", _DATE),
+    ("DATEOPEN", rf"\[{_DATE}"),
+    ("TIME", _TIME),
+    ("ZTIME", _TIME + _SHIFT),
+    ("TIMESHUT", rf"{_TIME}(?:{_SHIFT})?\]"),
+    ("SHIFT", rf"{_SHIFT}|utc|gmt"),
     ("GLOG", r"[A-Z](?:0[1-9]|1[0-2])[0-3]\d"),
     ("DAYOPEN", r"\[(?:mon|tue|wed|thu|fri|sat|sun)"),
     ("MON", _MON),
@@ -63,6 +71,7 @@ MASKS = [
     ("NAMELEVEL", rf"\[[^\s\]]+:(?:{_WORD})\]"),
     ("LEVELCOLON", rf"(?:{_WORD}):"),
     ("LEVEL", _WORD),
+    ("LEVELBOX", rf"\[(?:{_WORD})\]"),
     ("PAREN", r"\([^\s()]+\)"),
     ("BRACKET", r"\[[^\s\[\]]+\]"),
     ("NAMELINE", r"[^\s:\]]+:\d+\]"),
@@ -112,91 +121,173 @@ def _latest(month: int, day: int, clock, read_us: int | None) -> int:
     raise ValueError("no year fits")
 
 
-# Each of these takes the tokens of a line and its reading time and gives (ts_us, level, component, tokens before the message).
+def _date_time(date: str, clock: str, shift: str = "") -> int:
+    return iso_us(f"{date[:4]}-{date[5:7]}-{date[8:10]}T{clock}{'' if shift.upper() in ('Z', 'UTC', 'GMT') else shift}")
 
 
-def _bracket_date(t, at):
-    name, _, level = t[5][1:-1].rpartition(":")
-    ts = _utc(dt.datetime(int(t[4][:-1]), MONTHS[t[1][:3].lower()], int(t[2]), *_clock(t[3])))
-    return ts, LEVELS[level.lower()], name, 8 if len(t) > 6 and t[6] == "[pid" else 6
+def _day_first(t, i, at):
+    return _utc(dt.datetime(int(t[i + 4][:-1]), MONTHS[t[i + 1][:3].lower()], int(t[i + 2]), *_clock(t[i + 3])))
 
 
-def _glog(t, at):
-    return _latest(int(t[0][1:3]), int(t[0][3:5]), _clock(t[1]), at), LEVELS.get(t[0][0].lower()), t[3].rpartition(":")[0], 4
-
-
-def _syslog5(t, at):
-    pri = int(t[0][1 : t[0].index(">")])
-    return iso_us(t[1]), SYSLOG[pri & 7], None if t[3] == "-" else t[3], 7
-
-
-def _syslog3(t, at):
-    shut = t[0].index(">")
-    ts = _latest(MONTHS[t[0][shut + 1 : shut + 4].lower()], int(t[1]), _clock(t[2]), at)
-    return ts, SYSLOG[int(t[0][1:shut]) & 7], t[4].rstrip(":").partition("[")[0], 5
-
-
-def _access(t, at):
-    day, mon, rest = t[0][1:].split("/")
+def _access(t, i, at):
+    day, mon, rest = t[i][1:].split("/")
     year, _, clock = rest.partition(":")
-    off = t[1][:-1]
+    off = t[i + 1][:-1]
     shift = dt.timedelta(hours=int(off[1:3]), minutes=int(off[3:5])) * (1 if off[0] == "+" else -1)
-    ts = _utc(dt.datetime(int(year), MONTHS[mon.lower()], int(day), *_clock(clock), tzinfo=dt.timezone(shift)))
-    return ts, LEVELS[t[2].lower()], None, 4
-
-
-def _date_time(t):
-    return _utc(dt.datetime(int(t[0][:4]), int(t[0][5:7]), int(t[0][8:10]), *_clock(t[1])))
-
-
-def _name_level(t, at):
-    return _date_time(t), LEVELS[t[3].rstrip(":").lower()], t[2][1:-1], 4
+    return _utc(dt.datetime(int(year), MONTHS[mon.lower()], int(day), *_clock(clock), tzinfo=dt.timezone(shift)))
+
+
+#: Masks that make a time, and what reads it from the tokens at a position; the first that fits counts.
+TIMES = [
+    (("<DAYOPEN>", "<MON>", "<NUM>", "<TIME>", "<YEARSHUT>"), _day_first),
+    (("<GLOG>", "<TIME>"), lambda t, i, at: _latest(int(t[i][1:3]), int(t[i][3:5]), _clock(t[i + 1]), at)),
+    (("<PRI5>", "<ISO>"), lambda t, i, at: iso_us(t[i + 1])),
+    (("<PRI3>", "<NUM>", "<TIME>"), lambda t, i, at: _latest(MONTHS[t[i].partition(">")[2][:3].lower()], int(t[i + 1]), _clock(t[i + 2]), at)),
+    (("<ACCESS>", "<SHIFTSHUT>"), _access),
+    (("<ISO>",), lambda t, i, at: iso_us(t[i])),
+    (("<ISOBOX>",), lambda t, i, at: iso_us(t[i][1:-1])),
+    (("<DATE>", "<TIME>", "<SHIFT>"), lambda t, i, at: _date_time(t[i], t[i + 1], t[i + 2])),
+    (("<DATE>", "<TIME>"), lambda t, i, at: _date_time(t[i], t[i + 1])),
+    (("<DATE>", "<ZTIME>"), lambda t, i, at: _date_time(t[i], t[i + 1])),
+    (("<DATEOPEN>", "<TIMESHUT>"), lambda t, i, at: _date_time(t[i][1:], t[i + 1][:-1])),
+    (("<MON>", "<NUM>", "<TIME>"), lambda t, i, at: _latest(MONTHS[t[i].lower()], int(t[i + 1]), _clock(t[i + 2]), at)),
+]
 
+_value = lambda token: token.partition("=")[2]
+_bare = lambda name: re.sub(r":\d+$", "", name)  # noqa: E731 - without source line
+_severity = lambda token: SYSLOG[int(token[1 : token.index(">")]) & 7]
+_of_word = lambda token: LEVELS[token.strip("[]:").lower()]
+
+#: What reads a level or a name from its token, by kind of slot.
+LEVEL_OF = {
+    "<LEVEL>": _of_word, "<LEVELCOLON>": _of_word, "<LEVELBOX>": _of_word,
+    "<KEYLEVEL>": lambda x: LEVELS[_value(x).lower()],
+    "<NAMELEVEL>": lambda x: LEVELS[x[1:-1].rpartition(":")[2].lower()],
+    "<GLOG>": lambda x: LEVELS.get(x[0].lower()), "<PRI5>": _severity, "<PRI3>": _severity,
+}
+NAME_OF = {
+    "<BRACKET>": lambda x: _bare(x[1:-1]), "<LEVELBOX>": lambda x: x[1:-1], "<PAREN>": lambda x: _bare(x[1:-1]),
+    "<TAG>": lambda x: x.rstrip(":").partition("[")[0], "<KEYNAME>": _value,
+    "<NAMELEVEL>": lambda x: x[1:-1].rpartition(":")[0], "<NAMELINE>": lambda x: x.rpartition(":")[0],
+    "<PRI5>": lambda x: None if x == "-" else x, ANY: _bare,
+}
+_LEVEL_MASKS = ("<LEVEL>", "<LEVELCOLON>", "<LEVELBOX>")
 
-def _level_name(t, at):
-    return _date_time(t), LEVELS[t[2].lower()], t[3][1:-1], 4
 
+def _time_at(masks: list[str], i: int) -> int:
+    return next((k for k, (head, _) in enumerate(TIMES) if tuple(masks[i : i + len(head)]) == head), -1)
 
-LAYOUTS = [
-    (("<DAYOPEN>", "<MON>", "<NUM>", "<TIME>", "<YEARSHUT>", "<NAMELEVEL>"), _bracket_date),
-    (("<GLOG>", "<TIME>", "<NUM>", "<NAMELINE>"), _glog),
-    (("<PRI5>", "<ISO>", ANY, ANY, ANY, ANY), _syslog5),
-    (("<PRI3>", "<NUM>", "<TIME>", ANY, "<TAG>"), _syslog3),
-    (("<ACCESS>", "<SHIFTSHUT>", "<LEVEL>"), _access),
-    (("<DATE>", "<TIME>", "<PAREN>", "<LEVELCOLON>"), _name_level),
-    (("<DATE>", "<TIME>", "<LEVEL>", "<BRACKET>"), _level_name),
-]
 
+def slots(masks: list[str]) -> tuple | None:
+    """(time's kind, its position, level's kind and position, name's kind and position, tokens before the message).
 
-def _keyed(masks: list[str]):
-    """Fields by position for key=value headers, whatever their order."""
-    if "<KEYTIME>" not in masks:
-        return None
-    at, level, name = (masks.index(m) if m in masks else -1 for m in ("<KEYTIME>", "<KEYLEVEL>", "<KEYNAME>"))
-    if masks[0] not in ("<KEYTIME>", "<KEYLEVEL>", "<KEYNAME>"):
+    Whatever the layout: a header begins with a time, or with a level or a bracketed name right before one, and has a
+    level or a name (a word, tag, bracket, parenthesis or key=value) in the tokens that follow. Null if it has none.
+    """
+    n = len(masks)
+    mask = lambda i: masks[i] if i < n else ""
+    word = lambda i: i < n and (masks[i] in (ANY, "<VAR>") or masks[i][0] != "<" and any(c.isalnum() for c in masks[i]))
+    if "<KEYTIME>" in masks and masks[0] in ("<KEYTIME>", "<KEYLEVEL>", "<KEYNAME>"):
+        at, level, name = (masks.index(m) if m in masks else -1 for m in ("<KEYTIME>", "<KEYLEVEL>", "<KEYNAME>"))
+        return "<KEYTIME>", at, "<KEYLEVEL>" if level >= 0 else None, level, "<KEYNAME>" if name >= 0 else None, name, max(at, level, name) + 1
+    level = name = None
+    level_at = name_at = -1
+    i = 0
+    while (kind := _time_at(masks, i)) < 0:
+        if level is None and mask(i) in ("<LEVEL>", "<LEVELBOX>"):
+            level, level_at = mask(i), i
+        elif name is None and mask(i) == "<BRACKET>":
+            name, name_at = mask(i), i
+        else:
+            return None
+        i += 1
+    first, i = i, i + len(TIMES[kind][0])
+    opening = mask(first)
+    if opening == "<PRI5>":  # version, host, program, process, message's kind, structured data
+        return (kind, first, opening, first, opening, first + 3, first + 7) if n >= first + 6 else None
+    if opening in ("<PRI3>", "<GLOG>"):
+        level, level_at = opening, first
+    if opening == "<GLOG>":
+        return (kind, first, level, level_at, "<NAMELINE>", i + 1, i + 2) if mask(i) == "<NUM>" and mask(i + 1) == "<NAMELINE>" else None
+    if opening in ("<PRI3>", "<MON>"):  # host and tag
+        if mask(i + 1) == "<TAG>":
+            i += 1
+        elif opening == "<PRI3>":
+            return None
+    lead = name_at  # a bracket before the level may be a thread
+    while i < n:
+        m = mask(i)
+        if m == "<NAMELEVEL>" and level is None and name is None:
+            level, level_at, name, name_at, i = m, i, m, i, i + 1
+            i += 2 if mask(i) == "[pid" else 0
+            break
+        if m == "<KEYLEVEL>" and level is None:
+            level, level_at = m, i
+        elif m == "<KEYNAME>" and name is None:
+            name, name_at = m, i
+        elif m in _LEVEL_MASKS and level is None:
+            level, level_at = m, i
+            if m == "<LEVELCOLON>":
+                i += 1
+                break
+        elif level is None and m in ("<NUM>", "-", "|"):
+            pass  # process, thread or separator
+        elif m in ("-", "|"):
+            if m == "|" and name is None and word(i + 1) and mask(i + 2) in ("-", "|"):
+                name, name_at, i = ANY, i + 1, i + 2
+            i += 1
+            break
+        elif m in ("<BRACKET>", "<LEVELBOX>", "<PAREN>") and name is None:
+            name, name_at = m, i
+            lead = i if level is None else -1
+        elif m == "<TAG>" and name is None:
+            name, name_at, i = m, i, i + 1
+            if level is None and mask(i) in (_LEVEL_MASKS if opening != "<MON>" else _LEVEL_MASKS[1:]):
+                level, level_at, i = mask(i), i, i + 1
+            break
+        elif word(i) and level is not None and (name is None or name_at == lead) and mask(i + 1) == "-":
+            name, name_at, i = ANY, i, i + 2
+            break
+        elif word(i) and level is None and name is None and (mask(i + 1) in _LEVEL_MASKS or mask(i + 1) in ("-", "|") and mask(i + 2) in _LEVEL_MASKS):
+            name, name_at = ANY, i
+        elif not (word(i) and level is None and name is None and mask(i + 1) == "<TAG>"):  # else a host
+            break
+        i += 1
+        if level is not None and name is not None and not (name_at == lead and word(i) and mask(i + 1) == "-"):
+            i += name_at != lead and mask(i) == "|" or level_at > name_at and mask(i) in ("-", "|")
+            break
+    return None if level is None and name is None else (kind, first, level, level_at, name, name_at, i)
+
+
+def reader(found: tuple | None):
+    """What takes the tokens of a line and its reading time and gives (ts_us, level, component, tokens before the message)."""
+    if found is None:
         return None
+    kind, first, level, level_at, name, name_at, used = found
+    time = (lambda t, i, at: iso_us(_value(t[i]))) if kind == "<KEYTIME>" else TIMES[kind][1]
 
-    def fields(t, _):
-        value = lambda i: t[i].partition("=")[2] if i >= 0 else None
-        lv = value(level)
-        return iso_us(value(at)), LEVELS[lv.lower()] if lv else None, value(name), max(at, level, name) + 1
+    def fields(t, at):
+        return time(t, first, at), LEVEL_OF[level](t[level_at]) if level else None, NAME_OF[name](t[name_at]) if name else None, used
 
     return fields
 
 
 class Template:
-    def __init__(self, masks: list[str]):
-        self.masks, self.count = masks, 0
-        self.fields = _keyed(masks)
-        for head, fields in LAYOUTS:
-            if len(masks) >= len(head) and all(h == ANY or h == m for h, m in zip(head, masks)):
-                self.fields = fields
+    """Masks of the leading tokens; ``slots`` are always those of its masks as merged."""
+
+    def __init__(self, masks: list[str], found: tuple | None):
+        self.masks, self.count, self.slots, self.fields = masks, 0, found, reader(found)
 
     def likeness(self, masks: list[str]) -> float:
         return sum(a == b or a == ANY for a, b in zip(self.masks, masks)) / len(masks)
 
-    def absorb(self, masks: list[str]) -> None:
-        self.masks = [a if a == b else ANY for a, b in zip(self.masks, masks)]
+    def absorb(self, masks: list[str]) -> bool:
+        """Merge if the merged masks have their fields where they are in both."""
+        merged = [a if a == b else ANY for a, b in zip(self.masks, masks)]
+        if slots(merged) != self.slots:
+            return False
+        self.masks = merged
+        return True
 
 
 class TemplateTree:
@@ -207,7 +298,8 @@ class TemplateTree:
         self.masks: dict[str, str] = {}
         self.routed: dict[tuple, Template] = {}
 
-    def route(self, tokens: list[str]) -> Template:
+    def route(self, tokens: list[str], count: int) -> Template:
+        """The template of a line of ``count`` tokens, of which the leading ones are given."""
         known = self.masks
         if len(known) > CACHED:
             known.clear()
@@ -217,22 +309,18 @@ class TemplateTree:
             if m is None:
                 m = known[t] = masked(t)
             masks.append(m)
-        key = tuple(masks)
+        key = (count, *masks)
         found = self.routed.get(key)
         if found is None:
             if len(self.routed) > CACHED:
                 self.routed.clear()
-            leaf = self.root.setdefault(len(masks), {}).setdefault(masks[0], {}).setdefault(masks[1] if len(masks) > 1 else "", [])
-            # a line joins only templates that map their positions to fields as its own masks would
-            own = Template(masks)
-            kind = own.fields if own.fields is None or "<KEYTIME>" not in masks else key
-            best = max((x for x in leaf if x[0] == kind), key=lambda x: x[1].likeness(masks), default=None)
-            if best is not None and best[1].likeness(masks) >= SIMILAR:
-                found = best[1]
-                found.absorb(masks)
-            else:
-                found = own
-                leaf.append((kind, found))
+            leaf = self.root.setdefault(count, {}).setdefault(masks[0], {}).setdefault(masks[1] if len(masks) > 1 else "", [])
+            # merging moves no field, so entries do not depend on the order in which a task meets its lines
+            own = slots(masks)
+            found = max((x for x in leaf if x.slots == own), key=lambda x: x.likeness(masks), default=None)
+            if found is None or found.likeness(masks) < SIMILAR or not found.absorb(masks):
+                found = Template(masks, own)
+                leaf.append(found)
             self.routed[key] = found
         found.count += 1
         return found
@@ -241,7 +329,7 @@ class TemplateTree:
         for by_first in self.root.values():
             for by_second in by_first.values():
                 for leaf in by_second.values():
-                    yield from (t for _, t in leaf)
+                    yield from leaf
 
 
 def _member(obj: dict, keys) -> str | None:
@@ -316,7 +404,7 @@ def parse_head(tree: TemplateTree, raw: str, read_us: int | None):
         ts, level, name, text = json_fields(obj)
         return None if ts is None else (ts, level, name, text, False)
     tokens = raw.split(None, HEAD)
-    fields = tree.route(tokens).fields
+    fields = tree.route(tokens, len(raw.split())).fields
     if fields is None:
         return None
     try:
@@ -412,7 +500,7 @@ def line_templates(lines: DataFrame, raw: str) -> DataFrame:
         for b in batches:
             for text in b.column("raw").to_pylist():
                 if text is not None and (tokens := text.split(None, HEAD)):
-                    tree.route(tokens)
+                    tree.route(tokens, len(text.split()))
         found = [(" ".join(t.masks), t.count) for t in tree.templates()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], names=["template", "lines"])
 

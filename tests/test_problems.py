@@ -164,6 +164,30 @@ def test_log_entries_empty_and_missing_year(spark):
     assert sorted(r.ts_us for r in out.collect()) == [us("2023-12-31T23:59:59"), us("2024-02-29T00:00:00")]
 
 
+def test_log_headers_of_any_layout():
+    at = us("2024-08-06T12:58:00")
+    want = {
+        "2024-05-01T10:00:00Z INFO app: text": ("2024-05-01T10:00:00", "info", "app", "text"),
+        "2024-05-01T10:00:00.5+02:00 host-1 sshd[12]: failed": ("2024-05-01T08:00:00.5", None, "sshd", "failed"),
+        "[2024-05-01 10:00:00] [error] boom x": ("2024-05-01T10:00:00", "error", None, "boom x"),
+        "2024-05-01 10:00:00,123 - my.app - WARNING - the text": ("2024-05-01T10:00:00.123", "warn", "my.app", "the text"),
+        "2024-05-01 10:00:00.123 +0200 [main] WARN com.foo.Bar - a - b": ("2024-05-01T08:00:00.123", "warn", "com.foo.Bar", "a - b"),
+        "2024-05-01 10:00:00+02:00 | ERROR | app:run:12 | x y": ("2024-05-01T08:00:00", "error", "app:run", "x y"),
+        "INFO 2024/05/01 10:00:00 app: text": ("2024-05-01T10:00:00", "info", "app", "text"),
+        "Aug  6 12:57:31 vpn dedup[42]: error in x": ("2024-08-06T12:57:31", None, "dedup", "error in x"),
+    }
+    tree = loglines.TemplateTree()
+    for line, (ts, level, name, text) in want.items():
+        assert loglines.parse_head(tree, line, at) == (us(ts), level, name, text, False), line
+    for line in ("2024-05-01 10:00:00 was the last time it ran", "ValueError: 2024-05-01 10:00:00 INFO app: x", "Error: 2024-05-01T10:00:00Z INFO a: b"):
+        assert loglines.parse_head(tree, line, at) is None, line
+    # equal leading masks, another count of tokens: another template; the merged masks keep the fields
+    tree = loglines.TemplateTree()
+    heads = [loglines.parse_head(tree, f"2024-05-01 10:00:00 INFO [app] {text}", at) for text in ("took one lock of many", "took two lock of many", "took one lock of many more things now")]
+    assert [h[:3] for h in heads] == [(us("2024-05-01T10:00:00"), "info", "app")] * 3
+    assert sorted((t.count, loglines.ANY in t.masks, t.slots == loglines.slots(t.masks)) for t in tree.templates()) == [(1, False, True), (2, True, True)]
+
+
 # ------------------------------------------------------------------ nested records
 
 
