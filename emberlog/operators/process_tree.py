@@ -53,16 +53,25 @@ def ancestors(edges: DataFrame, node: str, parent: str, max_rounds: int = 64) ->
     return state.select("node", F.when(~cyclic, F.col("dist")).alias("depth"), F.when(~cyclic, F.col("top")).alias("root"))
 
 
-def ancestor_chain(edges: DataFrame, node: str, parent: str, starts: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(start, ancestor, step): the ancestors of each start in order; a cycle ends the chain where it closes."""
-    e = edges.groupBy(F.col(node).alias("at")).agg(F.min(parent).alias("up"))
-    front = starts.select(F.col(node).alias("start"), F.col(node).alias("at"), F.array(F.col(node)).alias("seen"))
-    out = None
-    for step in range(1, max_depth + 1):
-        front = front.join(e, "at").where(F.col("up").isNotNull() & ~F.array_contains("seen", F.col("up")))
-        front = materialise(front.select("start", F.col("up").alias("at"), F.array_append("seen", F.col("up")).alias("seen")), "chain")
-        if front.isEmpty():
+def ancestor_chain(edges: DataFrame, node: str, parent: str, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, ancestor, step): all ancestors of each start in order; a cycle ends the chain where it closes.
+
+    Chains of any depth by pointer doubling, log2(depth) rounds: with the ancestors below step 2^k known, a jump of 2^k
+    from each gives those below 2^(k+1). An ancestor met again (a cycle) keeps its least step, and a round that finds
+    none anew is the last. Repeated starts count once; ``max_depth`` cuts the chains only if given.
+    """
+    kind = dict(starts.dtypes)[node]
+    key = F.col(node)
+    jump = materialise(edges.where(key.isNotNull()).groupBy(key.alias("at")).agg(F.min(parent).alias("up")).where("up IS NOT NULL"), "jumps")
+    chain = materialise(starts.where(key.isNotNull()).select(key.alias("start"), key.alias("ancestor"), F.lit(0).alias("step")).distinct(), "chain")
+    known, far = chain.count(), 1
+    while max_depth is None or far <= max_depth:
+        beyond = chain.join(jump.withColumnRenamed("at", "ancestor"), "ancestor").select("start", F.col("up").cast(kind).alias("ancestor"), (F.col("step") + far).alias("step"))
+        chain = materialise(chain.unionByName(beyond).groupBy("start", "ancestor").agg(F.min("step").alias("step")), "chain")
+        before, known = known, chain.count()
+        if known == before:
             break
-        rows = front.select("start", F.col("at").alias("ancestor"), F.lit(step).alias("step"))
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else starts.select(F.col(node).alias("start"), F.col(node).alias("ancestor"), F.lit(0).alias("step")).where(F.lit(False))
+        jump = materialise(jump.join(jump.select(F.col("at").alias("up"), F.col("up").alias("up2")), "up").select("at", F.col("up2").alias("up")), "jumps")
+        far *= 2
+    out = chain.where("step > 0")
+    return out if max_depth is None else out.where(F.col("step") <= max_depth)

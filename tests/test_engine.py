@@ -115,6 +115,17 @@ def test_ancestors_with_cycle(spark):
     assert sorted((r.start, r.step, r.ancestor) for r in chain) == [(3, 1, 2), (3, 2, 1), (7, 1, 4), (7, 2, 5)]
 
 
+def test_ancestor_chain_of_any_depth(spark):
+    line = [(i, i - 1 if i > 1 else None) for i in range(1, 151)]
+    tail = [(1000 + i, 999 + i) for i in range(1, 81)] + [(1000, 2000), (2000, 2001), (2001, 1000), (5000, 5000)]
+    edges = spark.createDataFrame(line + tail, "pid int, ppid int")
+    chain = process_tree.ancestor_chain(edges, "pid", "ppid", edges.where("pid IN (150, 1080, 5000)")).collect()
+    want = [(150, k, 150 - k) for k in range(1, 150)] + [(1080, k, 1080 - k) for k in range(1, 81)] + [(1080, 81, 2000), (1080, 82, 2001)]
+    assert sorted((r.start, r.step, r.ancestor) for r in chain) == want
+    cut = process_tree.ancestor_chain(edges, "pid", "ppid", edges.where("pid = 150"), max_depth=5).collect()
+    assert sorted((r.step, r.ancestor) for r in cut) == [(k, 150 - k) for k in range(1, 6)]
+
+
 def test_store_versions_and_upsert(spark):
     t = spark.createDataFrame([("a", "2024-01-05T10:00:00Z", 1), ("a", "2024-01-05 11:00:00", 2), ("b", None, 3), (None, "2024-01-01 00:00:00", 4)], "id string, updated_at string, v int")
     assert sorted((r.id, r.v) for r in store.newest_version(t, "id", "updated_at").collect()) == [("a", 2), ("b", 3)]
