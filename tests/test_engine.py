@@ -8,6 +8,7 @@ import socket
 import struct
 import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,27 @@ def test_executables_and_bytes(spark):
     assert rows[1].executable and rows[1].hex_hits == ["mz"] and rows[2].size == 0 and rows[3].entropy == 0.0
 
 
+def test_ciphers_beyond_single_byte_xor(spark):
+    noise = lambda n: np.random.default_rng(5).integers(0, 256, n, np.uint8).tobytes()
+    text = b"Quarterly numbers: 1482 units shipped, 337 returned; 96 pending." * 80
+    turned = bytes((b >> 3 | b << 5) & 255 for b in text)
+    several = bytes(x for pair in zip(b"ABCDEFGHIJ" * 50, noise(500)) for x in pair)  # a readable and an unreadable place
+    steady = b"q\xf1" * 300  # the same, of equal blocks: no bits differ
+    assert not content_scan.looks_xored(noise(20_000)) and not content_scan.keyed_by_several(np.frombuffer(noise(4096), np.uint8))
+    assert content_scan.looks_xored(turned) and content_scan.looks_xored(bytes((b + 0x73) & 255 for b in text)) and content_scan.looks_xored(bytes((b - 0x73) & 255 for b in text))
+    encoded = bytes(b ^ 0x5A for b in text)
+    assert content_scan.looks_xored(noise(9000) + encoded) and content_scan.looks_xored(noise(5000) + encoded + noise(9000))
+    for padding in (bytes(5000), b"\xff" * 5000, bytes(1500), b"\x90" * 1500):
+        assert not content_scan.looks_xored(noise(9000) + padding + noise(1000)), "padding is no text under any key"
+    place = np.frombuffer(several, np.uint8), np.frombuffer(steady, np.uint8)
+    assert not content_scan.keyed_by_several(place[0]) and not content_scan.keyed_by_several(place[1])
+    nearly = bytearray(steady)  # every second block differs in one bit of two bytes
+    nearly[1::4] = b"\xf0" * len(nearly[1::4])
+    assert content_scan.keyed_by_several(np.frombuffer(bytes(nearly), np.uint8))
+    (r,) = content_scan.scan_bytes(spark.createDataFrame([(1, bytearray(noise(9000) + encoded))], "id int, content binary"), "id", "content").collect()
+    assert r.xored
+
+
 def test_flapping_and_floods_empty(spark):
     df = spark.createDataFrame([], "k string, ts timestamp, id long, v double")
     assert correlate.flapping(df, "k", "ts", "id").count() == 0
