@@ -27,7 +27,7 @@ def event_key(pid: Column, path: Column, ip: Column, port: Column, time: Column)
 
 
 def burst_alerts(events: DataFrame, time: str, tie: str, kind: str, name: str, kinds: list[str], window_s: int, threshold: int, severity: int, suppress_ms: int, about: str) -> DataFrame:
-    """Events of ``kinds`` whose trailing count reaches ``threshold`` and whose score (count * severity div threshold) is 3 or more, then gated per ``about``."""
+    """Events of ``kinds`` whose trailing count reaches ``threshold`` and whose score (count * severity div threshold) is 3 or more, then gated per ``about``; events without time pass no gate."""
     # the count is over all entities, so it is split by time cells
     span = window_s * 1_000_000
     hit = time_cells(events.where(F.col(kind).isin(kinds)).withColumn("__us", _us(time)), "__us", span)

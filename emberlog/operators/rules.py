@@ -179,20 +179,22 @@ def threshold_alerts(matches: DataFrame, time: str, by: list[str], threshold: Co
     """Rows whose trailing count within the window reaches the threshold, with ``in_window``; every further event fires again.
 
     The window is (t - w, t] on event time; events of equal time count for each other. ``window_s`` may differ by
-    row: it is bounded by the largest, so that one sort serves all rules.
+    row: each length is counted for itself. Without a window (null or 0) every row fires, with 1, whatever the threshold.
+    A row without time is in no window and counts 1: it fires where the threshold is 1 or less.
     """
-    us = F.unix_micros(F.col(time).cast("timestamp"))
     if isinstance(window_s, int):
+        if window_s <= 0:
+            return matches.withColumn("in_window", F.lit(1).cast("long"))
         # by time cells too: most rules count all events under one key
-        cells = time_cells(matches.withColumn("__us", us), "__us", window_s * 1_000_000)
+        timed = matches.where(F.col(time).isNotNull()).withColumn("__us", F.unix_micros(F.col(time).cast("timestamp")))
         w = Window.partitionBy(*by, "cell").orderBy("__us").rangeBetween(-(window_s * 1_000_000 - 1), 0)
-        counted = cells.withColumn("in_window", F.count("*").over(w)).where("own").drop("cell", "own")
-    else:
-        lengths = [r[0] for r in matches.select(window_s.alias("w")).distinct().collect()]  # at most one a rule
-        parts = [threshold_alerts(matches.where(window_s == n), time, by, 0, int(n or 0) or 1) for n in lengths]
-        counted = reduce(DataFrame.unionByName, parts) if parts else matches.withColumns({"__us": us, "in_window": F.lit(0).cast("long")})
-        return counted.where(F.col("in_window") >= threshold).drop("__us")
-    return counted.where(F.col("in_window") >= threshold).drop("__us")
+        counted = time_cells(timed, "__us", window_s * 1_000_000).withColumn("in_window", F.count("*").over(w)).where("own").drop("cell", "own", "__us")
+        counted = counted.unionByName(matches.where(F.col(time).isNull()).withColumn("in_window", F.lit(1).cast("long")))
+        return counted.where(F.col("in_window") >= threshold)
+    length = F.greatest(F.coalesce(window_s.cast("int"), F.lit(0)), F.lit(0))
+    lengths = sorted(r[0] for r in matches.select(length.alias("w")).distinct().collect())  # at most one a rule
+    parts = [threshold_alerts(matches.where(length == n), time, by, threshold, n) for n in lengths]
+    return reduce(DataFrame.unionByName, parts) if parts else matches.withColumn("in_window", F.lit(0).cast("long"))
 
 
 def interpolate(template: str, fields: Column) -> Column:

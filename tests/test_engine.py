@@ -212,6 +212,15 @@ def test_ciphers_beyond_single_byte_xor(spark):
     assert r.xored
 
 
+def test_rules_without_window_or_time(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, at, "one", 1, 0), (2, at, "one", 1, 0), (3, None, "one", 1, None), (4, None, "many", 2, 60), (5, None, "many", 2, 60), (6, at, "many", 2, 60), (7, at, "many", 2, 60), (8, None, "each", 1, 60), (9, at, "free", 5, 0)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp, k string, threshold int, window_s int")
+    got = {(r.id, r.in_window) for r in rules.threshold_alerts(df, "ts", ["k"], F.col("threshold"), F.col("window_s")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (6, 2), (7, 2), (8, 1), (9, 1)}
+    assert {(r.id, r.in_window) for r in rules.threshold_alerts(df, "ts", ["k"], 1, 60).where("id IN (3, 6)").collect()} == {(3, 1), (6, 2)}
+
+
 def test_flapping_and_floods_empty(spark):
     df = spark.createDataFrame([], "k string, ts timestamp, id long, v double")
     assert correlate.flapping(df, "k", "ts", "id").count() == 0
