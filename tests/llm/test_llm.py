@@ -72,6 +72,34 @@ def test_runs_empty(spark):
     assert runs.collapse_runs(df, "source", "event_id", "event_time", "tags").count() == 0
 
 
+def _least_cost(blocks, penalty, weight):
+    best = [0.0]
+    for t in range(1, len(blocks) + 1):
+        cost = lambda p: weight * min(sum(b[4] * runs.jaccard(m[0], b[0]) for b in p) for m in p)
+        best.append(min(best[s] + cost(blocks[s:t]) + penalty for s in range(t)))
+    return best[-1]
+
+
+def test_programming_with_medoids_in_the_run_is_optimal():
+    star = [(f"a\x1fb\x1fx{i}", i, i, i, 1) for i in range(1, 6)]
+    cases = [([*star, ("a\x1fb", 6, 6, 6, 1)], 0.39), ([("a\x1fb", 0, 0, 0, 1), *star], 0.39)]
+    r = random.Random(3)
+    sigs = ["a\x1fb", *[f"a\x1fb\x1fx{i}" for i in range(4)], "a\x1fc", "z"]
+    for _ in range(150):
+        blocks = []
+        for i in range(r.randint(2, 16)):
+            blocks.append((r.choice([x for x in sigs if not blocks or x != blocks[-1][0]]), i, i, i, r.randint(1, 2)))
+        cases.append((blocks, r.choice([0.2, 0.39, 0.7, 1.0])))
+    for blocks, penalty in cases:
+        seg, done = runs.Segmenter(penalty, 1.0), []
+        for b in blocks:
+            seg.add(b)
+            done += seg.take(False)
+        done += seg.take(True)
+        total = sum(penalty + min(sum(b[4] * runs.jaccard(m[0], b[0]) for b in part) for m in part) for x in done for part in [[b for b in blocks if x[1] <= b[1] <= x[3]]])
+        assert abs(total - _least_cost(blocks, penalty, 1.0)) < 1e-9, (blocks, penalty)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pruned_programming_is_optimal(seed):
     r = random.Random(seed)
