@@ -17,6 +17,7 @@ from emberlog.functions.versions import package_matches
 from emberlog.operators import compliance, content_scan, correlate, intel, playbook, process_tree, rules, snapshots, store
 from emberlog.operators.ordered import numbered, with_halo
 from emberlog.operators.skew import join_lookup
+from emberlog.plans import engine_queries
 from emberlog.sources import logs
 from emberlog.streaming import stateful
 
@@ -221,6 +222,13 @@ def test_rules_without_window_or_time(spark):
     assert {(r.id, r.in_window) for r in rules.threshold_alerts(df, "ts", ["k"], 1, 60).where("id IN (3, 6)").collect()} == {(3, 1), (6, 2)}
 
 
+def test_all_builtin_rules_are_matched(spark, tmp_path):
+    rows = [(1, ["auth_failure"], {"message": "Login FAILED"}, 1), (2, [], {"logontype": "10"}, 1), (3, None, {"message": "it failed"}, 1)]
+    spark.createDataFrame(rows, "event_id long, tags array<string>, fields map<string,string>, severity int").write.parquet(str(tmp_path / "siem_events.parquet"))
+    got = {r.rule_id: r.n for r in engine_queries.rule_multi_match_explode(spark, str(tmp_path)).collect()}
+    assert got == {"MULTIPLE_FAILED_LOGINS": 1, "FAILED_LOGIN_BRUTE": 1, "WINDOWS_EVENT_4625_BURST": 1, "BRUTE_FORCE_FALLBACK": 2, "WIN_RDP_LOGIN_4625": 1}
+
+
 def test_flapping_and_floods_empty(spark):
     df = spark.createDataFrame([], "k string, ts timestamp, id long, v double")
     assert correlate.flapping(df, "k", "ts", "id").count() == 0
