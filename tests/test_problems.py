@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.keys import folded
 from emberlog.operators import exactly_once, instants, loglines, orphans, shred
+from emberlog.plans import problem_queries
 from emberlog.operators.gate import gate_events
 
 # ------------------------------------------------------------------ dangling references
@@ -102,6 +103,13 @@ def test_binary_search_steps_over_equal_halves():
     assert found.tolist() == [2, -1, 0, 3, -1, -1]
 
 
+def test_p2_found_merges_runs(spark, monkeypatch):
+    merged, merge = [], exactly_once.IdentifierIndex.merge
+    monkeypatch.setattr(exactly_once.IdentifierIndex, "merge", lambda self: (merged.append(len(self.runs)), merge(self))[1])
+    problem_queries.p2_found(spark, "/root/testdata/sf0.001").count()
+    assert merged == [2] * 6  # two identifiers of event_queue and one of dedup_keys, after the second and the third batch
+
+
 # ------------------------------------------------------------------ log lines
 
 LINES = [
