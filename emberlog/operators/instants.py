@@ -4,7 +4,9 @@ Each value yields the array of all its valid interpretations (order of day and m
 readings of a local time that occurs twice). The records of one source, in order of receipt, then form a chain,
 and Viterbi picks the interpretations of least cost: being outside the window before receipt weighs most, then
 switching the format and stepping back in time. Where a record has a single interpretation the chain falls apart,
-so sources are cut into range partitions and a source with a third of all records spreads over many tasks.
+so sources are cut into range partitions and a source with a third of all records spreads over many tasks. A chain
+that is open at a partition's border is cut there and not stitched: ambiguous records next to a border are settled
+without the neighbour beyond it.
 """
 
 from __future__ import annotations
