@@ -4,8 +4,9 @@ A fixed-depth template tree: the leading tokens of a line are masked (dates, clo
 line is routed by the count of all its tokens and its first two masks to a leaf, and merged there into the most
 similar template. The positions of the fields are derived once from a template's masks, by their kinds and not from a
 list of layouts; lines then give their fields by position. Lines whose template has no header belong to the entry
-before, lines of one file are read in order, and files are cut into range partitions whose border pieces are stitched,
-so that a file with a third of all lines spreads over many tasks.
+before, lines of one file are read in order, and files are cut into range partitions. Lines before a partition's first
+entry are read twice, once as the rest of an object that the partition before left open and once as plain lines; which
+reading holds is decided when the border pieces are put together, so entries do not depend on where partitions end.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators.ordered import chunked, stitch_borders
+from emberlog.operators.ordered import chunked
 from emberlog.session import materialise
 
-#: Leading tokens that are masked, and the share of equal masks that lets a line join a template.
+#: Tokens masked at first (all of them where a header goes on beyond), and the share of equal masks that lets a line join a template.
 HEAD, SIMILAR = 8, 0.7
 #: Entries of the caches of masks and templates a worker keeps before it starts anew.
 CACHED = 100_000
+#: Branches of a node of the tree and templates of a leaf; further masks share one branch, further lines are read by their own masks.
+BRANCHES, LEAF = 200, 200
 
 #: Level words and letters, syslog severities, months, names of keys.
 LEVELS = {
@@ -65,9 +68,10 @@ MASKS = [
     ("YEARSHUT", r"\d{4}\]"),
     ("ACCESS", rf"\[\d\d?/(?:{_MON})/\d{{4}}:\d\d:\d\d:\d\d"),
     ("SHIFTSHUT", r"[+-]\d{4}\]"),
-    ("KEYTIME", rf"(?:{'|'.join(TIME_KEYS)})={_ISO}"),
-    ("KEYLEVEL", rf"(?:{'|'.join(LEVEL_KEYS)})=(?:{_WORD})"),
-    ("KEYNAME", rf"(?:{'|'.join(NAME_KEYS)})=\S+"),
+    ("KEYTIME", rf"(?:{'|'.join(TIME_KEYS)})=(?:{_ISO}|\"{_ISO.replace('[Tt]', '[Tt ]')}\")"),
+    ("KEYLEVEL", rf"(?:{'|'.join(LEVEL_KEYS)})=(?:{_WORD}|\"(?:{_WORD})\")"),
+    ("KEYNAME", rf"(?:{'|'.join(NAME_KEYS)})=(?:\"[^\"]+\"|\S+)"),
+    ("KEYTEXT", rf"(?:{'|'.join(TEXT_KEYS)})=[\s\S]*"),
     ("NAMELEVEL", rf"\[[^\s\]]+:(?:{_WORD})\]"),
     ("LEVELCOLON", rf"(?:{_WORD}):"),
     ("LEVEL", _WORD),
@@ -76,6 +80,7 @@ MASKS = [
     ("BRACKET", r"\[[^\s\[\]]+\]"),
     ("NAMELINE", r"[^\s:\]]+:\d+\]"),
     ("TAG", r"[^\s:\[\]]+(?:\[\d+\])?:"),
+    ("PAIR", r"[A-Za-z_@][\w.-]*=[\s\S]*"),
     ("NUM", r"\d+"),
     ("JSON", r"\{.*"),
     ("VAR", r"\S*\d\S*"),
@@ -84,6 +89,15 @@ _MASK = re.compile("|".join(f"(?P<{n}>{p})" for n, p in MASKS), re.IGNORECASE |
 ANY = "<*>"
 
 
+_PAIR = re.compile(r"[^\s=\"]+=\"(?:[^\"\\]|\\.)*\"(?!\S)|\S+", re.DOTALL)
+
+
+def tokens_of(raw: str) -> list[str]:
+    """Blank-separated tokens; in a line of key=value pairs a quoted value is one token with its key."""
+    tokens = raw.split()
+    return _PAIR.findall(raw) if "=" in tokens[0] and '"' in raw else tokens
+
+
 def masked(token: str) -> str:
     m = _MASK.fullmatch(token)
     return f"<{m.lastgroup}>" if m else token
@@ -153,7 +167,14 @@ TIMES = [
     (("<MON>", "<NUM>", "<TIME>"), lambda t, i, at: _latest(MONTHS[t[i].lower()], int(t[i + 1]), _clock(t[i + 2]), at)),
 ]
 
-_value = lambda token: token.partition("=")[2]
+
+
+def _value(token: str) -> str:
+    """The value of a key=value token, without its quotes."""
+    v = token.partition("=")[2]
+    return v[1:-1] if len(v) > 1 and v[0] == v[-1] == '"' else v
+
+
 _bare = lambda name: re.sub(r":\d+$", "", name)  # noqa: E731 - without source line
 _severity = lambda token: SYSLOG[int(token[1 : token.index(">")]) & 7]
 _of_word = lambda token: LEVELS[token.strip("[]:").lower()]
@@ -172,6 +193,7 @@ NAME_OF = {
     "<PRI5>": lambda x: None if x == "-" else x, ANY: _bare,
 }
 _LEVEL_MASKS = ("<LEVEL>", "<LEVELCOLON>", "<LEVELBOX>")
+_KEYS = ("<KEYTIME>", "<KEYLEVEL>", "<KEYNAME>", "<KEYTEXT>", "<PAIR>")
 
 
 def _time_at(masks: list[str], i: int) -> int:
@@ -179,17 +201,20 @@ def _time_at(masks: list[str], i: int) -> int:
 
 
 def slots(masks: list[str]) -> tuple | None:
-    """(time's kind, its position, level's kind and position, name's kind and position, tokens before the message).
+    """(time's kind, its position, level's kind and position, name's kind and position, tokens before the message, the message's own token or -1).
 
     Whatever the layout: a header begins with a time, or with a level or a bracketed name right before one, and has a
-    level or a name (a word, tag, bracket, parenthesis or key=value) in the tokens that follow. Null if it has none.
+    level or a name (a word, tag, bracket, parenthesis or key=value) in the tokens that follow; a web server's line
+    (host, two names, bracketed time) needs neither. Null if it has none.
     """
     n = len(masks)
     mask = lambda i: masks[i] if i < n else ""
     word = lambda i: i < n and (masks[i] in (ANY, "<VAR>") or masks[i][0] != "<" and any(c.isalnum() for c in masks[i]))
-    if "<KEYTIME>" in masks and masks[0] in ("<KEYTIME>", "<KEYLEVEL>", "<KEYNAME>"):
-        at, level, name = (masks.index(m) if m in masks else -1 for m in ("<KEYTIME>", "<KEYLEVEL>", "<KEYNAME>"))
-        return "<KEYTIME>", at, "<KEYLEVEL>" if level >= 0 else None, level, "<KEYNAME>" if name >= 0 else None, name, max(at, level, name) + 1
+    if "<KEYTIME>" in masks and masks[0] in _KEYS:
+        at, level, name, text = (masks.index(m) if m in masks else -1 for m in ("<KEYTIME>", "<KEYLEVEL>", "<KEYNAME>", "<KEYTEXT>"))
+        return "<KEYTIME>", at, "<KEYLEVEL>" if level >= 0 else None, level, "<KEYNAME>" if name >= 0 else None, name, max(at, level, name) + 1, text
+    if masks[3:5] == ["<ACCESS>", "<SHIFTSHUT>"]:
+        return _time_at(masks, 3), 3, None, -1, None, -1, 5, -1
     level = name = None
     level_at = name_at = -1
     i = 0
@@ -204,11 +229,11 @@ def slots(masks: list[str]) -> tuple | None:
     first, i = i, i + len(TIMES[kind][0])
     opening = mask(first)
     if opening == "<PRI5>":  # version, host, program, process, message's kind, structured data
-        return (kind, first, opening, first, opening, first + 3, first + 7) if n >= first + 6 else None
+        return (kind, first, opening, first, opening, first + 3, first + 7, -1) if n >= first + 6 else None
     if opening in ("<PRI3>", "<GLOG>"):
         level, level_at = opening, first
     if opening == "<GLOG>":
-        return (kind, first, level, level_at, "<NAMELINE>", i + 1, i + 2) if mask(i) == "<NUM>" and mask(i + 1) == "<NAMELINE>" else None
+        return (kind, first, level, level_at, "<NAMELINE>", i + 1, i + 2, -1) if mask(i) == "<NUM>" and mask(i + 1) == "<NAMELINE>" else None
     if opening in ("<PRI3>", "<MON>"):  # host and tag
         if mask(i + 1) == "<TAG>":
             i += 1
@@ -256,18 +281,18 @@ def slots(masks: list[str]) -> tuple | None:
         if level is not None and name is not None and not (name_at == lead and word(i) and mask(i + 1) == "-"):
             i += name_at != lead and mask(i) == "|" or level_at > name_at and mask(i) in ("-", "|")
             break
-    return None if level is None and name is None else (kind, first, level, level_at, name, name_at, i)
+    return None if level is None and name is None else (kind, first, level, level_at, name, name_at, i, -1)
 
 
 def reader(found: tuple | None):
-    """What takes the tokens of a line and its reading time and gives (ts_us, level, component, tokens before the message)."""
+    """What takes the tokens of a line and its reading time and gives (ts_us, level, component, tokens before the message, the message's own token or -1)."""
     if found is None:
         return None
-    kind, first, level, level_at, name, name_at, used = found
+    kind, first, level, level_at, name, name_at, used, text = found
     time = (lambda t, i, at: iso_us(_value(t[i]))) if kind == "<KEYTIME>" else TIMES[kind][1]
 
     def fields(t, at):
-        return time(t, first, at), LEVEL_OF[level](t[level_at]) if level else None, NAME_OF[name](t[name_at]) if name else None, used
+        return time(t, first, at), LEVEL_OF[level](t[level_at]) if level else None, NAME_OF[name](t[name_at]) if name else None, used, text
 
     return fields
 
@@ -290,37 +315,54 @@ class Template:
         return True
 
 
+#: Stands for a template where the leading tokens do not decide.
+BEYOND = Template([], None)
+
+
 class TemplateTree:
-    """Token count -> first mask -> second mask -> templates."""
+    """Token count -> first mask -> second mask -> templates; nodes and leaves are bounded."""
 
     def __init__(self):
         self.root: dict = {}
         self.masks: dict[str, str] = {}
         self.routed: dict[tuple, Template] = {}
 
-    def route(self, tokens: list[str], count: int) -> Template:
-        """The template of a line of ``count`` tokens, of which the leading ones are given."""
+    def _mask(self, token: str) -> str:
         known = self.masks
-        if len(known) > CACHED:
-            known.clear()
-        masks = []
-        for t in tokens[:HEAD]:
-            m = known.get(t)
-            if m is None:
-                m = known[t] = masked(t)
-            masks.append(m)
+        m = known.get(token)
+        if m is None:
+            if len(known) > CACHED:
+                known.clear()
+            m = known[token] = masked(token)
+        return m
+
+    @staticmethod
+    def _branch(node: dict, key, empty):
+        """The child of a node; where it has too many, what is new goes to the branch for anything."""
+        return node[key] if key in node else node.setdefault(key if len(node) < BRANCHES else ANY, empty())
+
+    def route(self, tokens: list[str], count: int) -> Template:
+        """The template of a line of ``count`` tokens."""
+        masks = [self._mask(t) for t in tokens[:HEAD]]
         key = (count, *masks)
         found = self.routed.get(key)
+        if found is None and count > HEAD and (masks[0] in _KEYS or (s := slots(masks)) and s[6] >= HEAD - 1):
+            found = self.routed[key] = BEYOND
+        if found is BEYOND:
+            masks = [self._mask(t) for t in tokens]  # the header may go on
+            key = (count, *masks)
+            found = self.routed.get(key)
         if found is None:
             if len(self.routed) > CACHED:
                 self.routed.clear()
-            leaf = self.root.setdefault(count, {}).setdefault(masks[0], {}).setdefault(masks[1] if len(masks) > 1 else "", [])
+            leaf = self._branch(self._branch(self._branch(self.root, count, dict), masks[0], dict), masks[1] if len(masks) > 1 else "", list)
             # merging moves no field, so entries do not depend on the order in which a task meets its lines
             own = slots(masks)
-            found = max((x for x in leaf if x.slots == own), key=lambda x: x.likeness(masks), default=None)
+            found = max((x for x in leaf if x.slots == own and len(x.masks) == len(masks)), key=lambda x: x.likeness(masks), default=None)
             if found is None or found.likeness(masks) < SIMILAR or not found.absorb(masks):
                 found = Template(masks, own)
-                leaf.append(found)
+                if len(leaf) < LEAF:
+                    leaf.append(found)
             self.routed[key] = found
         found.count += 1
         return found
@@ -351,32 +393,40 @@ def json_fields(obj: dict) -> tuple:
 
 _MEMBER_LINE = re.compile(r'\s+("(?:[^"\\]|\\.)*"\s*:\s*.*?),?\s*\Z', re.DOTALL)
 
-NAMES = ["file", "first_line", "last_line", "ts_us", "level", "component", "program", "message", "part", "head", "opens", "closes", "unclosed"]
-TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_()]
-PIECE = "file long, first_line long, last_line long, ts_us long, level string, component string, program string, message string, part int, head boolean, opens boolean, closes boolean, unclosed boolean"
+PIECE = (
+    "file long, first_line long, last_line long, part int, place int, kind string, closes boolean, pending boolean, "
+    "ts_us long, level string, component string, program string, texts array<string>, lines array<string>, object_open boolean, o_ts long, o_level string, o_component string, o_texts array<string>"
+)
+NAMES = [x.split()[0] for x in PIECE.split(", ")]
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+TYPES = [_KINDS[x.split()[1]] for x in PIECE.split(", ")]
 
 
 class Entry:
-    """An entry, or lines that belong to an entry of the partition before (``head`` false)."""
+    """An entry. While an object written over several lines is open (``pending``), its lines are members; such an entry is
+    one only once it has a time, and until then its lines are kept (``lines``), as they may belong to the entry before."""
+
+    __slots__ = ("file", "first", "last", "ts", "level", "name", "program", "texts", "pending", "lines")
 
-    __slots__ = ("file", "first", "last", "ts", "level", "name", "program", "texts", "head", "pending")
+    def __init__(self, file, line, program=None, ts=None, level=None, name=None, texts=(), pending=False, lines=()):
+        self.file, self.first, self.last, self.program = file, line, line, program
+        self.ts, self.level, self.name, self.texts, self.pending, self.lines = ts, level, name, list(texts), pending, list(lines)
 
-    def __init__(self, file, line, head, program=None, ts=None, level=None, name=None, texts=(), pending=False):
-        self.file, self.first, self.last, self.head, self.program = file, line, line, head, program
-        self.ts, self.level, self.name, self.texts, self.pending = ts, level, name, list(texts), pending
+    def take(self, ts, level, name, texts) -> None:
+        """Members of the open object; the first of each kind counts."""
+        self.ts, self.level, self.name = (a if a is not None else b for a, b in zip((self.ts, self.level, self.name), (ts, level, name)))
+        self.texts += texts
 
     def follow(self, line: int, raw: str, keep: bool) -> None:
         self.last = line
-        if self.pending:  # the members of an object written over several lines
+        if self.pending:
             m = _MEMBER_LINE.match(raw)
             if m:
                 try:
                     ts, level, name, text = json_fields(json.loads("{" + m[1] + "}"))
-                except ValueError:
+                except (ValueError, RecursionError):
                     ts = level = name = text = None
-                self.ts, self.level, self.name = (a if a is not None else b for a, b in zip((self.ts, self.level, self.name), (ts, level, name)))
-                if keep and text is not None:
-                    self.texts.append(text)
+                self.take(ts, level, name, [text] if keep and text is not None else [])
                 return
             self.pending = False
             if raw.strip() == "}":
@@ -384,8 +434,69 @@ class Entry:
         if keep:
             self.texts.append(raw)
 
-    def row(self, part: int, opens: bool, closes: bool, keep: bool) -> tuple:
-        return (self.file, self.first, self.last, self.ts, self.level, self.name, self.program, "\n".join(self.texts) if keep and self.texts else None, part, self.head, opens, closes, self.pending)
+
+class Reader:
+    """Lines in order to entries. An entry is given out when the next one begins.
+
+    ``opening`` has the lines before the first entry in both readings: the rest of an open object, and plain lines.
+    """
+
+    def __init__(self, keep: bool):
+        self.keep, self.held, self.trial, self.opening, self.done = keep, None, None, None, []
+
+    def _give(self) -> None:
+        if self.held is not None:
+            self.done.append(self.held)
+            self.held = None
+
+    def _plain(self, file: int, line: int, raw: str) -> None:
+        """A line of the entry held, else of the opening."""
+        if self.held is not None:
+            self.held.follow(line, raw, self.keep)
+            return
+        if self.opening is None:
+            self.opening = Entry(file, line, pending=True), Entry(file, line)
+        for reading in self.opening:
+            reading.follow(line, raw, self.keep)
+
+    def settle(self) -> None:
+        """The object on trial has no time: its lines belong to the entry before."""
+        t, self.trial = self.trial, None
+        if t is not None:
+            for i, raw in enumerate(t.lines):
+                self._plain(t.file, t.first + i if t.first + i <= t.last else t.last, raw)
+            if self.held is not None:
+                self.held.last = max(self.held.last, t.last)
+            elif self.opening is not None:
+                for reading in self.opening:
+                    reading.last = max(reading.last, t.last)
+
+    def add(self, file: int, line: int, raw: str, head: tuple | None, program: str | None) -> None:
+        t = self.trial
+        if head is None and t is not None:
+            t.lines.append(raw)
+            t.follow(line, raw, self.keep)
+            if t.ts is not None:
+                self._give()
+                self.held, self.trial, t.lines = t, None, []
+            elif not t.pending:
+                self.settle()
+            return
+        if head is None:
+            self._plain(file, line, raw)
+            return
+        self.settle()
+        ts, level, name, text, pending = head
+        entry = Entry(file, line, program, ts, level, name, [] if text is None or not self.keep else [text], pending, [raw] if ts is None else [])
+        if ts is None:
+            self.trial = entry
+        else:
+            self._give()
+            self.held = entry
+
+    def finish(self) -> list[Entry]:
+        self._give()
+        return self.done
 
 
 def parse_head(tree: TemplateTree, raw: str, read_us: int | None):
@@ -403,27 +514,61 @@ def parse_head(tree: TemplateTree, raw: str, read_us: int | None):
             return None
         ts, level, name, text = json_fields(obj)
         return None if ts is None else (ts, level, name, text, False)
-    tokens = raw.split(None, HEAD)
-    fields = tree.route(tokens, len(raw.split())).fields
+    tokens = tokens_of(raw)
+    fields = tree.route(tokens, len(tokens)).fields
     if fields is None:
         return None
     try:
-        ts, level, name, used = fields(tokens, read_us)
+        ts, level, name, used, own = fields(tokens, read_us)
     except (ValueError, IndexError, KeyError, OverflowError):
         return None
+    if own >= 0:
+        return ts, level, name, re.sub(r"\\(.)", r"\1", _value(tokens[own])), False
+    if "=" in tokens[0]:
+        return ts, level, name, " ".join(tokens[used:]), False
     rest = raw.split(None, used)
     return ts, level, name, rest[used] if len(rest) > used else "", False
 
 
+def _row(e: Entry, part: int, place: int, kind: str, closes: bool, program: str | None, keep: bool, opened: Entry | None = None) -> tuple:
+    """A piece: an entry, an object on trial, or an opening (``e`` its plain reading, ``opened`` the other one)."""
+    o = (opened.pending, opened.ts, opened.level, opened.name, opened.texts) if opened else (None, None, None, None, None)
+    return (e.file, e.first, e.last, part, place, kind, closes, e.pending, e.ts, e.level, e.name, program, e.texts if keep else None, e.lines or None, *o)
+
+
 def _run(keep: bool):
     def run(batches):
-        part, tree, held, rows, first = TaskContext.get().partitionId(), TemplateTree(), None, [], True
-
-        def close(closes: bool):
-            nonlocal held, first
-            if held is not None:
-                rows.append(held.row(part, first, closes, keep))
-                held, first = None, False
+        part, tree, reader, now, rows, place = TaskContext.get().partitionId(), TemplateTree(), Reader(keep), None, [], 0
+
+        def put(e, kind, closes, opened=None):
+            nonlocal place
+            rows.append(_row(e, part, place, kind, closes, e.program, keep, opened))
+            place += 1
+
+        def give(last: bool):
+            """All entries that are complete; at the end of the partition the last ones stay open."""
+            if reader.opening is not None and (reader.done or reader.held is not None or last):
+                opened, plain = reader.opening
+                reader.opening = None
+                put(plain, "opening", last and reader.held is None and not reader.done and reader.trial is None, opened)
+            for e in reader.done:
+                put(e, "entry", False)
+            reader.done.clear()
+            if last:
+                if reader.held is not None:
+                    put(reader.held, "entry", True)
+                if reader.trial is not None:
+                    put(reader.trial, "trial", True)
+
+        def end_file():
+            """The file ends within the partition."""
+            reader.settle()
+            reader.finish()
+            give(False)
+            if reader.opening is not None:
+                opened, plain = reader.opening
+                reader.opening = None
+                put(plain, "opening", False, opened)
 
         def flush():
             cols = list(zip(*rows)) or [()] * len(NAMES)
@@ -433,27 +578,78 @@ def _run(keep: bool):
         for b in batches:
             read = b.column("read_at").cast(pa.int64()).to_pylist()
             for file, line, raw, program, at in zip(*[b.column(c).to_pylist() for c in ("file", "line", "raw", "program")], read):
-                if held is not None and held.file != file:
-                    close(False)
-                head = parse_head(tree, raw, at) if raw is not None else None
-                if head is not None:
-                    close(False)
-                    ts, level, name, text, pending = head
-                    held = Entry(file, line, True, program, ts, level, name, [] if text is None else [text], pending)
-                elif held is None:
-                    # nothing before it here: the partition before may hold its entry, and may have cut an object
-                    held = Entry(file, line, False, pending=True)
-                    held.follow(line, raw or "", keep)
-                else:
-                    held.follow(line, raw or "", keep)
+                if now is not None and now != file:
+                    end_file()
+                    reader = Reader(keep)
+                now = file
+                reader.add(file, line, raw or "", parse_head(tree, raw, at) if raw is not None else None, program)
+            give(False)
             if len(rows) >= 5000:
                 yield flush()
-        close(True)
+        if now is not None:
+            give(True)
         yield flush()
 
     return run
 
 
+ENTRY = "file long, first_line long, last_line long, ts_us long, level string, component string, program string, message string"
+_ENTRY_TYPES = [pa.int64()] * 4 + [pa.string()] * 4
+
+
+def join_pieces(pieces: list[dict], keep: bool) -> list[tuple]:
+    """The entries of a file from the pieces at the borders of its partitions, in order: at most four a partition."""
+    out, held, trial = [], None, None
+
+    def give():
+        nonlocal held
+        if held is not None and held.ts is not None:
+            out.append((held.file, held.first, held.last, held.ts, held.level, held.name, held.program, "\n".join(held.texts) if keep and held.texts else None))
+        held = None
+
+    def settle():
+        """The object on trial has no time: its lines belong to the entry before."""
+        nonlocal trial
+        if trial is not None and held is not None:
+            for raw in trial.lines:
+                held.follow(held.last, raw, keep)
+            held.last = trial.last
+        trial = None
+
+    for p in pieces:
+        if p["kind"] == "opening":
+            if trial is not None:  # the first reading holds as long as the object is open
+                trial.take(p["o_ts"], p["o_level"], p["o_component"], p["o_texts"] if keep else [])
+                trial.pending, trial.last = p["object_open"], p["last_line"]
+                trial.lines += p["texts"] or []
+                if trial.ts is not None:
+                    give()
+                    held, trial = trial, None
+                elif not trial.pending:
+                    settle()
+            elif held is not None:
+                if held.pending:
+                    held.take(p["o_ts"], p["o_level"], p["o_component"], p["o_texts"] if keep else [])
+                    held.pending = p["object_open"]
+                elif keep:
+                    held.texts += p["texts"]
+                held.last = p["last_line"]
+        else:
+            settle()
+            e = Entry(p["file"], p["first_line"], p["program"], p["ts_us"], p["level"], p["component"], p["texts"] or [], p["pending"], p["lines"] or [])
+            e.last = p["last_line"]
+            if p["kind"] == "trial":
+                trial = e
+            else:
+                give()
+                held = e
+        if not p["closes"] and p["kind"] == "opening":
+            settle()
+    settle()
+    give()
+    return out
+
+
 def _once(lines: DataFrame, file: str, line: str, read_at: str, raw: str, fields: str | None) -> DataFrame:
     program = F.element_at(F.col(fields), F.lit("program")) if fields else F.lit(None).cast("string")
     v = F.struct(F.col(read_at).alias("read_at"), F.col(raw).alias("raw"), program.alias("program"))
@@ -471,24 +667,16 @@ def parse_entries(lines: DataFrame, file: str, line: str, read_at: str, raw: str
     """
     once = _once(lines, file, line, read_at, raw, fields)
     pieces = materialise(chunked(once, ["file"], ["line"], parts).mapInArrow(_run(message), PIECE), "log-pieces")
-    border = F.col("opens") | F.col("closes")
-    cols = ["file", "first_line", "last_line", "ts_us", "level", "component", "program", "message", "head"]
-    # an object cut at a border takes what the pieces after it have
-    of_head = lambda c: F.min_by(F.when(F.col("head"), F.col(c)), F.when(F.col("head"), F.col("first_line")))
-    later = lambda c: F.when(F.max(F.col("head") & F.col("unclosed")), F.min_by(c, F.when(~F.col("head") & F.col(c).isNotNull(), F.col("first_line"))))
-    stitched = stitch_borders(
-        pieces.where(border), ["file"], ~F.col("head"), "part", "opens", "closes", "first_line",
-        [
-            F.min("first_line").alias("lo"), F.max("last_line").alias("last_line"),
-            *[F.coalesce(of_head(c), later(c)).alias(c) for c in ("ts_us", "level", "component")],
-            of_head("program").alias("program"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_line", "message"))), lambda x: x["message"]), "\n").alias("message"),
-            F.max("head").alias("head"),
-        ],
-    ).withColumnRenamed("lo", "first_line")
-    if not message:
-        stitched = stitched.withColumn("message", F.lit(None).cast("string"))
-    entries = pieces.where(~border).select(*cols).unionByName(stitched.select(*cols)).where("head AND ts_us IS NOT NULL")
+    inner = (F.col("kind") == "entry") & ~F.col("closes")
+    whole = pieces.where(inner).select("file", "first_line", "last_line", "ts_us", "level", "component", "program", F.when(F.size("texts") > 0, F.array_join("texts", "\n")).alias("message"))
+
+    def join(table: pa.Table) -> pa.Table:
+        rows = join_pieces(table.sort_by([("part", "ascending"), ("place", "ascending")]).to_pylist(), message)
+        cols = list(zip(*rows)) or [()] * len(_ENTRY_TYPES)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, _ENTRY_TYPES)], names=[x.split()[0] for x in ENTRY.split(", ")])
+
+    # a file that a border cuts: its pieces there are at most four a partition
+    entries = whole.unionByName(pieces.where(~inner).groupBy("file").applyInArrow(join, ENTRY))
     return entries.select(F.col("file").alias(file), "first_line", "last_line", "ts_us", "level", F.coalesce("component", "program").alias("component"), "message")
 
 
