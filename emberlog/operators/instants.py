@@ -3,10 +3,13 @@
 Each value yields the array of all its valid interpretations (order of day and month, century, missing year, both
 readings of a local time that occurs twice). The records of one source, in order of receipt, then form a chain,
 and Viterbi picks the interpretations of least cost: being outside the window before receipt weighs most, then
-switching the format and stepping back in time. Where a record has a single interpretation the chain falls apart,
-so sources are cut into range partitions and a source with a third of all records spreads over many tasks. A chain
-that is open at a partition's border is cut there and not stitched: ambiguous records next to a border are settled
-without the neighbour beyond it.
+switching the format and stepping back in time.
+
+A record with a single interpretation left (readings that no neighbour could make up for are struck out at once) cuts
+the chain exactly, so sources are cut into range partitions and a source with a third of all records spreads over many
+tasks. What is open at the ends of a partition - from the last cut on, up to the first cut - is put aside; a table of
+least costs from each reading of a piece's first record to each of its last one (min-plus) joins the pieces of any
+number of partitions, so the instants are those of the whole chain wherever partitions end.
 """
 
 from __future__ import annotations
@@ -16,18 +19,21 @@ import re
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.ordered import chunked
+from emberlog.session import materialise
 
 #: Fixed values.
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 DAYS = "mon|tue|wed|thu|fri|sat|sun"
 UNIVERSAL = {"z", "utc", "gmt", "ut"}
 #: Costs: outside the window before receipt; another format than before; a step back in time.
-OUTSIDE, SWITCH, BACKWARD = 100.0, 1.0, 2.0
+OUTSIDE, SWITCH, BACKWARD = 100, 1, 2
 EPOCH = dt.datetime(1970, 1, 1)
 
 _TIME = r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d{1,9}))?)?(?:\s*(?P<ap>[ap])\.?m\.?)?"
@@ -148,74 +154,192 @@ def interpretations(text: str | None, zone_name: str | None, date_order: str | N
     return []
 
 
-class Chain:
-    """Viterbi over the interpretations of one source; gives the path as soon as it is certain."""
-
-    def __init__(self, window_us: int):
-        self.window = window_us
-        self.nodes: list[tuple[int, list[tuple[int, str]], list[int]]] = []
-        self.cost: list[float] = []
-
-    def add(self, record: int, options: list[tuple[int, str]], received: int | None) -> None:
-        cost, back = [], []
-        before = self.nodes[-1][1] if self.nodes else []
-        for at, form in options:
-            c = OUTSIDE if received is not None and not 0 <= received - at <= self.window else 0.0
-            best, b = 0.0, -1
-            for i, (at0, form0) in enumerate(before):
-                step = self.cost[i] + (SWITCH if form0 != form else 0.0) + (BACKWARD if at < at0 - self.window else 0.0)
-                if b < 0 or step < best:
-                    best, b = step, i
-            cost.append(c + best)
-            back.append(b)
-        self.nodes.append((record, options, back))
-        self.cost = cost
-
-    def settle(self) -> list[tuple[int, int]]:
-        """The chosen (record, utc_us) of everything so far; the last node stays to weigh the next one against."""
-        if not self.nodes:
-            return []
-        i = min(range(len(self.cost)), key=lambda k: (self.cost[k], self.nodes[-1][1][k][0]))
-        out = []
-        for record, options, back in reversed(self.nodes):
-            out.append((record, options[i][0]))
-            i = back[i] if back[i] >= 0 else 0
-        return out[::-1]
+Option = tuple[int, str, int]  # instant, format, cost of being outside the window
+
+
+def weighed(options: list[tuple[int, str]], received: int | None, window_us: int) -> list[Option]:
+    """Options with their costs, without those that no neighbours could make up for."""
+    costs = [OUTSIDE if received is not None and not 0 <= received - at <= window_us else 0 for at, _ in options]
+    least = min(costs)
+    return [(at, form, c - least) for (at, form), c in zip(options, costs) if c <= least + 2 * (SWITCH + BACKWARD)]
+
+
+def _step(a: Option, b: Option, window_us: int) -> int:
+    return (SWITCH if a[1] != b[1] else 0) + (BACKWARD if b[0] < a[0] - window_us else 0)
+
+
+def forward(nodes: list[list[Option]], window_us: int, before: tuple[list[Option], list[int]] | None = None) -> tuple[list[int], list[list[int]]]:
+    """Least costs of paths that end in each option of the last node, and for each node the option before (ties: the first)."""
+    options, costs = before or ([], [])
+    backs = []
+    for node in nodes:
+        new, back = [], []
+        for o in node:
+            steps = [c + _step(p, o, window_us) for p, c in zip(options, costs)]
+            i = min(range(len(steps)), key=steps.__getitem__) if steps else -1
+            back.append(i)
+            new.append(o[2] + (steps[i] if steps else 0))
+        options, costs = node, new
+        backs.append(back)
+    return costs, backs
+
+
+def backward(backs: list[list[int]], last: int) -> tuple[list[int], int]:
+    """The option of each node on the path that ends in ``last``, and the option of the node before the first."""
+    path = []
+    for back in reversed(backs):
+        path.append(last)
+        last = back[last]
+    return path[::-1], last
+
+
+def best_end(node: list[Option], costs: list[int]) -> int:
+    return min(range(len(costs)), key=lambda k: (costs[k], node[k][0]))
+
+
+class Source:
+    """The records of one source in a partition: settled between cuts, put aside at its ends."""
+
+    def __init__(self, name, first: bool, window_us: int):
+        self.name, self.first, self.window = name, first, window_us  # first: the partition before may hold the source too
+        self.nodes: list[tuple[int, list[Option]]] = []
+        self.cut = False  # whether a record with one reading was met
+
+    def add(self, record: int, options: list[Option], done: list, aside: list) -> None:
+        self.nodes.append((record, options))
+        if len(options) > 1:
+            return
+        if self.cut or not self.first:
+            self._settle(done, 1 if self.cut else 0, 0)
+        else:
+            aside.append(("head", self.name, self.nodes, 0, 1))
+            done.append((record, options[0][0]))
+        self.nodes, self.cut = self.nodes[-1:], True
+
+    def _settle(self, done: list, skip: int, last: int) -> None:
+        _, backs = forward([o for _, o in self.nodes], self.window)
+        path, _ = backward(backs, last)
+        done.extend((r, o[i][0]) for (r, o), i in list(zip(self.nodes, path))[skip:])
+
+    def finish(self, done: list, aside: list, last: bool) -> None:
+        """``last``: the partition after may hold the source too."""
+        known = 1 if self.cut else 0
+        if not last and (self.cut or not self.first):
+            nodes = [o for _, o in self.nodes]
+            if nodes:
+                costs, _ = forward(nodes, self.window)
+                self._settle(done, known, best_end(nodes[-1], costs))
+        elif self.nodes:
+            role = "tail" if self.cut or not self.first else "whole" if last else "head"
+            aside.append((role, self.name, self.nodes, known, 0))
+
+
+OPEN = "part int, role string, source long, place int, record long, utc_us long, ats array<long>, forms array<string>, costs array<int>"
+_OPEN_TYPES = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32())]
 
 
 def _run(window_us: int):
+    """Rows with a null role are settled; of those put aside, ``utc_us`` is given where the record has one reading (and came out already)."""
+
     def run(batches):
-        chain, source, done = Chain(window_us), None, []
-        kept = False  # whether the chain's first node is already given
+        part, now, done, aside, first = TaskContext.get().partitionId(), None, [], [], True
 
-        def take():
-            nonlocal kept
-            out = chain.settle()
-            done.extend(out[1:] if kept else out)
+        def rows():
+            out = [(part, None, None, None, r, at, None, None, None) for r, at in done]
+            for role, name, nodes, known_first, known_last in aside:
+                for i, (r, options) in enumerate(nodes):
+                    known = known_first and i == 0 or known_last and i == len(nodes) - 1
+                    out.append((part, role, name, i, r, options[0][0] if known else None, *[list(c) for c in zip(*options)]))
+            done.clear(), aside.clear()
+            cols = list(zip(*out)) or [()] * len(_OPEN_TYPES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _OPEN_TYPES)], names=[x.split()[0] for x in OPEN.split(", ")])
 
         for b in batches:
             cols = [b.column(c) for c in ("source", "record", "text", "zone_name", "date_order")]
             received = b.column("received").cast(pa.int64()).to_pylist()
             for s, record, text, zone, order, at in zip(*[c.to_pylist() for c in cols], received):
-                if s != source:
-                    take()
-                    chain, source, kept = Chain(window_us), s, False
+                if now is None or s != now.name:
+                    if now is not None:
+                        now.finish(done, aside, False)
+                        first = False
+                    now = Source(s, first, window_us)
                 options = interpretations(text, zone, order, at)
-                if not options:
-                    continue
-                chain.add(record, options, at)
-                if len(options) == 1:  # certain: nothing later can change what lies before
-                    take()
-                    chain.nodes, chain.cost, kept = chain.nodes[-1:], [0.0], True
-                    chain.nodes[0] = (chain.nodes[0][0], chain.nodes[0][1], [-1])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], names=["record", "utc_us"])
-            done.clear()
-        take()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], names=["record", "utc_us"])
+                if options:
+                    now.add(record, weighed(options, at, window_us), done, aside)
+            yield rows()
+        if now is not None:
+            now.finish(done, aside, True)
+        yield rows()
 
     return run
 
 
+def _nodes(table: pa.Table) -> tuple[list[int], list[int | None], list[list[Option]]]:
+    t = table.sort_by("place")
+    return t["record"].to_pylist(), t["utc_us"].to_pylist(), [list(zip(*x)) for x in zip(t["ats"].to_pylist(), t["forms"].to_pylist(), t["costs"].to_pylist())]
+
+
+def _join_aside(aside: DataFrame, window_us: int) -> DataFrame:
+    """(record, utc_us) of the records put aside: pieces are joined by their tables of least costs, one or two a partition."""
+
+    def describe(table: pa.Table) -> pa.Table:
+        _, _, nodes = _nodes(table)
+        costs = []
+        for k in range(len(nodes[0])):
+            far = [o if i == k else (o[0], o[1], 10**15) for i, o in enumerate(nodes[0])]
+            costs += forward([far, *nodes[1:]], window_us)[0]
+        ends = [[list(c) for c in zip(*node)] for node in (nodes[0], nodes[-1])]
+        row = [table["part"][0].as_py(), table["role"][0].as_py(), table["source"][0].as_py(), ends[0][0], ends[0][1], ends[1][0], ends[1][1], costs]
+        kinds = [pa.int32(), pa.string(), pa.int64(), *[pa.list_(pa.int64()), pa.list_(pa.string())] * 2, pa.list_(pa.int64())]
+        return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names=["part", "role", "source", "first_at", "first_form", "last_at", "last_form", "costs"])
+
+    pieces = aside.groupBy("part", "role", "source").applyInArrow(describe, "part int, role string, source long, first_at array<long>, first_form array<string>, last_at array<long>, last_form array<string>, costs array<long>").collect()
+    before: dict[tuple, tuple | None] = {}  # what leads into a piece: the options and least costs at the end of the piece before
+    chains: list[list] = []
+    for p in sorted(pieces, key=lambda p: (p["part"], p["role"] == "tail")):
+        last = chains[-1][-1] if chains else None
+        joined = last is not None and last["role"] != "head" and p["role"] != "tail" and last["source"] == p["source"]
+        if not joined:
+            chains.append([])
+        first, end = [(a, f, 0) for a, f in zip(p["first_at"], p["first_form"])], [(a, f, 0) for a, f in zip(p["last_at"], p["last_form"])]
+        lead = before[p["part"], p["role"]] = (state[0], state[1]) if joined else None
+        into = [min(c + _step(o, k, window_us) for o, c in zip(*lead)) if lead else 0 for k in first]
+        table = np.array(p["costs"], np.int64).reshape(len(first), len(end))
+        costs = (np.array(into, np.int64)[:, None] + table).min(0)
+        state = (end, (costs - costs.min()).tolist())  # only differences matter further on
+        chains[-1].append({**p.asDict(), "ends": state})
+    joined_parts = {(p["part"], p["role"]) for c in chains for p in c[1:]}
+
+    def entries(table: pa.Table) -> pa.Table:
+        """For each option at the end of a piece the option that its path takes at the end of the piece before."""
+        part, role = table["part"][0].as_py(), table["role"][0].as_py()
+        _, _, nodes = _nodes(table)
+        _, backs = forward(nodes, window_us, before[part, role])
+        came = [backward(backs, j)[1] for j in range(len(nodes[-1]))]
+        return pa.table([pa.array([part], pa.int32()), pa.array([role], pa.string()), pa.array([came], pa.list_(pa.int32()))], names=["part", "role", "came"])
+
+    came = {}
+    if joined_parts:
+        some = aside.where(F.concat_ws(":", "part", "role").isin([f"{a}:{b}" for a, b in joined_parts]))
+        came = {(r["part"], r["role"]): r["came"] for r in some.groupBy("part", "role", "source").applyInArrow(entries, "part int, role string, came array<int>").collect()}
+    exits: dict[tuple, int] = {}
+    for chain in chains:
+        j = best_end(*chain[-1]["ends"])
+        for p in reversed(chain):
+            exits[p["part"], p["role"]] = j
+            j = came[p["part"], p["role"]][j] if (p["part"], p["role"]) in came else -1
+
+    def settle(table: pa.Table) -> pa.Table:
+        part, role = table["part"][0].as_py(), table["role"][0].as_py()
+        records, known, nodes = _nodes(table)
+        _, backs = forward(nodes, window_us, before[part, role])
+        path, _ = backward(backs, exits[part, role])
+        out = [(r, o[i][0]) for r, k, o, i in zip(records, known, nodes, path) if k is None]
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["record", "utc_us"])
+
+    return aside.groupBy("part", "role", "source").applyInArrow(settle, "record long, utc_us long")
+
+
 def normalise_instants(
     records: DataFrame, record: str, source: str, text: str, received: str, zones: DataFrame, zone_name: str = "zone_name", date_order: str = "date_order", window_minutes: int = 20, parts: int | None = None
 ) -> DataFrame:
@@ -228,4 +352,7 @@ def normalise_instants(
     once = records.groupBy(F.col(record).cast("long").alias("record")).agg(F.min(F.struct(F.col(source).cast("long").alias("source"), F.col(text).alias("text"), F.col(received).alias("received"))).alias("v")).select("record", "v.*")
     z = zones.select(F.col(source).cast("long").alias("source"), F.col(zone_name).alias("zone_name"), F.col(date_order).alias("date_order"))
     rows = once.where(F.col("text").isNotNull()).join(z, "source", "left")
-    return chunked(rows, ["source"], ["received", "record"], parts).mapInArrow(_run(window_minutes * 60_000_000), "record long, utc_us long").withColumnRenamed("record", record)
+    window_us = window_minutes * 60_000_000
+    held = materialise(chunked(rows, ["source"], ["received", "record"], parts).mapInArrow(_run(window_us), OPEN), "instants")
+    aside = _join_aside(held.where("role IS NOT NULL"), window_us)
+    return held.where("role IS NULL").select("record", "utc_us").unionByName(aside).withColumnRenamed("record", record)
