@@ -53,12 +53,12 @@ def event_identifiers():
     return [exactly_once.identifier(F.col("agent_id"), F.col("id")), exactly_once.identifier(F.when(inner != "", inner))]
 
 
-#: Ranges of row_no that p2_found ingests one after the other, and the number of index runs that are merged into one.
+#: Deliveries that p2_found ingests one after the other (ranges of batch_id, or of row_no), and the number of index runs that are merged into one.
 BATCHES, MERGE_EVERY = 3, 2
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    queue = exactly_once.first_copies(table(spark, d, "event_queue"), "row_no", event_identifiers(), BATCHES, MERGE_EVERY)
+    queue = exactly_once.first_copies(table(spark, d, "event_queue"), "row_no", event_identifiers(), BATCHES, MERGE_EVERY, batch="batch_id")
     keys = exactly_once.first_copies(table(spark, d, "dedup_keys"), "row_no", [exactly_once.identifier(folded("key_hash"))], BATCHES, MERGE_EVERY)
     return queue.select(F.lit("event_queue").alias("source_table"), F.col("row").alias("row_no")).unionByName(
         keys.select(F.lit("dedup_keys").alias("source_table"), F.col("row").alias("row_no"))

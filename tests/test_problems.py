@@ -104,10 +104,44 @@ def test_binary_search_steps_over_equal_halves():
 
 
 def test_p2_found_merges_runs(spark, monkeypatch):
-    merged, merge = [], exactly_once.IdentifierIndex.merge
-    monkeypatch.setattr(exactly_once.IdentifierIndex, "merge", lambda self: (merged.append(len(self.runs)), merge(self))[1])
+    merged, merge = [], exactly_once.IdentifierIndex._merge_tiers
+
+    def counted(self):
+        merge(self)
+        merged.append(self.merges)
+
+    monkeypatch.setattr(exactly_once.IdentifierIndex, "_merge_tiers", counted)
     problem_queries.p2_found(spark, "/root/testdata/sf0.001").count()
-    assert merged == [2] * 6  # two identifiers of event_queue and one of dedup_keys, after the second and the third batch
+    assert merged == [0, 1, 1] * 2  # one index a table, runs merged after the second delivery
+
+
+@pytest.mark.parametrize("direct", [True, False])
+def test_index_persists(spark, tmp_path, direct):
+    """Ten deliveries over three openings of one index, keys in any order, some ingested again."""
+    r, path = random.Random(4), f"file://{tmp_path}/index"
+    rows = [(i, r.choice(["hot", *[f"k{k}" for k in range(90)]])) for i in range(300)]
+    order = list(range(10))
+    r.shuffle(order)
+    merges = 0
+    for opening in (order[:4], order[4:8], order[8:]):
+        index = exactly_once.IdentifierIndex(spark, path, 300, prefix_rows=30, merge_every=2)
+        index.direct = direct
+        assert index.prefixes == 10
+        for b in opening:
+            df = spark.createDataFrame([x for x in rows if x[0] // 30 == b], "row long, k string")
+            hi, lo = exactly_once.identifier(F.col("k"))
+            index.ingest(df.select(hi.alias("hi"), lo.alias("lo"), "row"))
+        merges += index.merges
+        index.remove_merged()
+    assert merges == 8 and [t for _, t in index.runs] == [1, 3] or [t for _, t in index.runs] == [3, 1]
+    least = {}
+    for i, k in rows:
+        least.setdefault(k, i)
+    assert sorted(x.row for x in index.firsts().collect()) == sorted(least.values())
+    hi, lo = exactly_once.identifier(F.col("k"))
+    df = spark.createDataFrame([*rows, (900, "new")], "row long, k string")
+    found = {x.row: x["first"] for x in index.lookup(df.select(hi.alias("hi"), lo.alias("lo"), "row")).collect()}
+    assert found == {i: least[k] for i, k in rows} | {900: None}
 
 
 # ------------------------------------------------------------------ log lines
