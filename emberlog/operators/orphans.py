@@ -65,7 +65,7 @@ def find_orphans(
         if mask and match == "full":
             parts.append(rows.withColumn(REASON, F.lit("partial_key")))
             continue
-        key = F.col(given[0]) if len(given) == 1 else F.to_json(F.struct(*given))
+        key = one_key(given)
         lookup = p.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in given))).groupBy(key.alias("__key1")).agg(F.min("__since").alias("__since"))
         parts.append(
             join_lookup(
@@ -78,9 +78,18 @@ def find_orphans(
     return reduce(DataFrame.unionByName, parts).drop(*ks, "__at")
 
 
-def orphans_per_period(found: DataFrame, table_name: str, at: Column, unit: str = "month") -> DataFrame:
-    """Dangling rows counted per table and period; rows without a time are counted under a null period."""
-    return found.groupBy(F.lit(table_name).alias("child_table"), F.date_trunc(unit, at.cast("timestamp_ntz")).cast("date").alias("period")).agg(F.count("*").alias("orphans"))
+def one_key(columns: Sequence[str]) -> Column:
+    """The columns as one text, each but the last with its length before it, so that no two keys are alike."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[x for t in texts[:-1] for x in (F.length(t).cast("string"), F.lit(":"), t)], texts[-1])
+
+
+def orphans_per_period(found: DataFrame, table_name: Column | str, record: str, at: Column, unit: str = "month") -> DataFrame:
+    """Dangling records counted per table and period, repeated rows of a record once (rows without a key each by itself);
+    those without a time are counted under a null period."""
+    name = F.lit(table_name) if isinstance(table_name, str) else table_name
+    orphans = F.count_distinct(record) + F.count_if(F.col(record).isNull())
+    return found.groupBy(name.alias("child_table"), F.date_trunc(unit, at.cast("timestamp_ntz")).cast("date").alias("period")).agg(orphans.alias("orphans"))
 
 
 def by_key(child_col: str, parent_col: str) -> list[tuple[Column, Column]]:

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-#: At most so many keys are treated as hot; their lookup rows (one a key) are the only data broadcast.
-MAX_HOT = 64
+#: A key is hot if it has more rows than so large a part of a shuffle partition's fair share.
+SHARE = 4
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = 100_000) -> list:
-    """Up to ``MAX_HOT`` values of ``key`` with at least ``min_rows`` rows, most frequent first.
+    """The values of ``key`` with at least ``min_rows`` rows and a quarter of a partition's share of all rows, most frequent first.
 
-    Counts are combined before the shuffle, so a hot key costs one row a task.
+    Their number needs no cap: there are at most four a shuffle partition. Counts are combined before the shuffle, so
+    a hot key costs one row a task.
     """
-    top = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= min_rows)
-    return [r[0] for r in top.orderBy(F.desc("count"), key).limit(MAX_HOT).collect()]
+    most = SHARE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = Observation()
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().observe(seen, F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
+    top = counts.where(F.col("count") >= min_rows).orderBy(F.desc("count"), key).limit(most).collect()
+    if not top:
+        return []
+    total = seen.get["rows"]
+    return [r[0] for r in top if r["count"] * most >= total]
 
 
 def join_lookup(left: DataFrame, lookup: DataFrame, key: str, how: str, cond=None, min_rows: int = 100_000) -> DataFrame:
     """Join ``left`` with ``lookup`` (at most one row a key) on ``key``; ``how`` is left, left_anti, left_semi or inner.
 
-    Rows of hot keys meet a broadcast of those keys' lookup rows (``MAX_HOT`` rows at most), the others are
+    Rows of hot keys meet a broadcast of those keys' lookup rows (at most four a shuffle partition), the others are
     shuffled. ``cond(left, lookup)`` may add a condition.
     """
 

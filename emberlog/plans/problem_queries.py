@@ -20,31 +20,32 @@ REFERENCES = (
 )
 
 
-def _dangling(spark: SparkSession, d: str, child: str, ref: str, parent: str) -> DataFrame:
-    c = table(spark, d, child).select("id", ref, "created_at")
-    p = table(spark, d, parent).select("id", "created_at")
-    gone = table(spark, d, "tombstones").where(folded("table_name") == parent).select("record_key")
+def _dangling(spark: SparkSession, d: str) -> DataFrame:
+    """The dangling rows of all child tables: (parent table, key) is one composite key, so one pass serves them all."""
+    children = [table(spark, d, child).select(F.lit(child).alias("child_table"), F.lit(parent).alias("parent_table"), "id", F.col(ref).alias("ref"), "created_at") for child, ref, parent in REFERENCES]
+    parents = [table(spark, d, parent).select(F.lit(parent).alias("parent_table"), "id", "created_at") for _, _, parent in REFERENCES]
     return orphans.find_orphans(
-        c, p, [(folded(ref), folded("id"))],
-        deleted=gone, deleted_on=[folded("record_key")],
+        reduce(DataFrame.unionByName, children), reduce(DataFrame.unionByName, parents),
+        [(F.col("parent_table"), F.col("parent_table")), (folded("ref"), folded("id"))],
+        deleted=table(spark, d, "tombstones").select("table_name", "record_key"), deleted_on=[folded("table_name"), folded("record_key")],
         child_time=text_instant("created_at"), parent_time=text_instant("created_at"),
     )
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = []
-    for child, ref, parent in REFERENCES:
-        found = _dangling(spark, d, child, ref, parent)
-        parts.append(found.where(F.col("id").isNotNull()).select(F.lit(child).alias("child_table"), F.col("id").alias("child_id")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return _dangling(spark, d).where(F.col("id").isNotNull()).select("child_table", F.col("id").alias("child_id")).distinct()
 
 
 def p1_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
-    parts = [
-        orphans.orphans_per_period(_dangling(spark, d, child, ref, parent), child, text_instant("created_at"))
-        for child, ref, parent in REFERENCES
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return orphans.orphans_per_period(_dangling(spark, d), F.col("child_table"), "id", text_instant("created_at"))
+
+
+def p1_composite_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Results whose (task_id, agent) names no task of that agent, under each match rule, partly null keys included."""
+    child, parent = table(spark, d, "results").select("id", "task_id", "agent"), table(spark, d, "tasks").select("id", "agent")
+    on = [(folded("task_id"), folded("id")), (folded("agent"), folded("agent"))]
+    found = [orphans.find_orphans(child, parent, on, match=m).select(F.lit(m).alias("match_rule"), F.col("id").alias("child_id"), orphans.MASK, orphans.REASON) for m in orphans.MATCHES]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def event_identifiers():
@@ -110,6 +111,17 @@ def _p1_sql(select: str) -> str:
     return f"WITH o AS ({' UNION ALL '.join(arms)}) {select}"
 
 
+_COMPOSITE_SQL = f"""
+WITH t AS (SELECT {_KEY.format('id')} AS a, {_KEY.format('agent')} AS b FROM tasks),
+r AS (SELECT DISTINCT id AS child_id, {_KEY.format('task_id')} AS a, {_KEY.format('agent')} AS b FROM results),
+m AS (SELECT *, CAST(a IS NULL AS INTEGER) + 2 * CAST(b IS NULL AS INTEGER) AS null_mask,
+  EXISTS (SELECT 1 FROM t WHERE t.a = r.a AND t.b = r.b) AS whole, EXISTS (SELECT 1 FROM t WHERE t.a = r.a) AS by_task, EXISTS (SELECT 1 FROM t WHERE t.b = r.b) AS by_agent FROM r)
+SELECT DISTINCT 'simple' AS match_rule, child_id, null_mask, 'no_valid_parent' AS orphan_reason FROM m WHERE null_mask = 0 AND NOT whole
+UNION ALL SELECT DISTINCT 'full', child_id, null_mask, CASE WHEN null_mask = 0 THEN 'no_valid_parent' ELSE 'partial_key' END FROM m WHERE (null_mask = 0 AND NOT whole) OR null_mask IN (1, 2)
+UNION ALL SELECT DISTINCT 'partial', child_id, null_mask, 'no_valid_parent' FROM m WHERE (null_mask = 0 AND NOT whole) OR (null_mask = 1 AND NOT by_agent) OR (null_mask = 2 AND NOT by_task)
+"""
+
+
 _P2_SQL = """
 WITH RECURSIVE q AS (
   SELECT row_no, agent_id, id, lower(nullif(CASE WHEN json_valid(event_data) THEN json_extract_string(event_data, '$.id') END, '')) AS inner_id FROM event_queue
@@ -128,12 +140,13 @@ SELECT 'dedup_keys', row_no FROM (SELECT row_no, row_number() OVER (PARTITION BY
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found, "p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found, "p5_alerts": p5_alerts, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p1_composite_keys": p1_composite_keys, "p2_found": p2_found, "p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found, "p5_alerts": p5_alerts, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _p1_sql("SELECT DISTINCT child_table, child_id FROM o WHERE child_id IS NOT NULL"),
-        "p1_orphans_by_month": _p1_sql("SELECT child_table, CAST(date_trunc('month', born) AS DATE) AS period, count(*) AS orphans FROM o GROUP BY 1, 2"),
+        "p1_orphans_by_month": _p1_sql("SELECT child_table, CAST(date_trunc('month', born) AS DATE) AS period, count(DISTINCT child_id) + count(*) FILTER (child_id IS NULL) AS orphans FROM o GROUP BY 1, 2"),
+        "p1_composite_keys": _COMPOSITE_SQL,
         "p2_found": _P2_SQL,
     }
