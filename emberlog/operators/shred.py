@@ -1,10 +1,10 @@
 """Deeply nested records turned into flat tables with parent-child links.
 
-Columnar shredding: a batch of records is walked once, and each repeated ancestor gets a stream of repetition and
-definition levels (repetition: at which level of nesting this place repeats; definition: how much of the path is
-there), each leaf below it a stream of values with the definition level of its own. The tables are rebuilt per
-repeated ancestor from the level streams alone: positions within the parent, the parent's position and the event's
-number are running counts that restart where the repetition level drops.
+Columnar shredding: a batch of records is walked once, and each leaf path gets a column of (repetition level,
+definition level, value). The repeated ancestors are nested as record, event, entity, child entity; the repetition
+level of an entry says at which of these it repeats (0: a new record), the definition level how much of the path is
+there. The tables are rebuilt per repeated ancestor from the levels alone: the record, the event's number, the
+parent's position and the own position are running counts that restart where the repetition level drops.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: How deep an object is there: the place exists / holds an object / the object has at least one key.
-PLACE, OBJECT, FILLED = 1, 2, 3
+#: Definition levels of an entity's own column, above those of what it lies in: the place exists / holds an object /
+#: the object has at least one key. A leaf that is there has one more.
+PLACE, OBJECT, FILLED, LEAF = 1, 2, 3, 4
 
 
 @dataclass(frozen=True)
@@ -52,21 +53,23 @@ def _get(obj, name: str):
     return found
 
 
-def events_of(payload: str | None, depth: int = 0) -> list[dict]:
-    """The events of a payload: one object, a list, one a line, or wrapped (``items``, ``_source``, text in ``log``). Unreadable: none."""
-    if payload is None or depth > 4:
-        return []
-    text = payload.lstrip("﻿ \t\r\n")
+def _parsed(payload: str) -> list:
+    """The JSON values of a text: one, or one a line; none if unreadable."""
+    text = payload.lstrip("\ufeff \t\r\n")
     try:
-        found = [json.loads(text)]
+        return [json.loads(text)]
     except (ValueError, RecursionError):
         lines = [x for x in text.split("\n") if x.strip()]
         try:
-            found = [json.loads(x) for x in lines] if len(lines) > 1 else []
+            return [json.loads(x) for x in lines] if len(lines) > 1 else []
         except (ValueError, RecursionError):
-            found = []
+            return []
+
+
+def events_of(payload: str | None) -> list[dict]:
+    """The events of a payload: one object, a list, one a line, or wrapped (``items``, ``_source``, text in ``log``) to any depth. Unreadable: none."""
     out: list[dict] = []
-    todo = found[::-1]
+    todo = _parsed(payload)[::-1] if payload is not None else []
     while todo:
         v = todo.pop()
         if isinstance(v, list):
@@ -80,7 +83,7 @@ def events_of(payload: str | None, depth: int = 0) -> list[dict]:
                     todo.append(inner)
                     continue
                 if isinstance(log := _get(v, "log"), str):
-                    out.extend(events_of(log, depth + 1))
+                    todo.extend(reversed(_parsed(log)))  # a text in a text is shorter, so this ends
                     continue
             out.append(v)
     return out
@@ -98,97 +101,117 @@ def _places(v) -> list:
     return [v] if isinstance(v, dict) else []
 
 
+class Column:
+    """One path's entries: repetition levels, definition levels, values."""
+
+    __slots__ = ("rep", "definition", "values")
+
+    def __init__(self):
+        self.rep: list[int] = []
+        self.definition: list[int] = []
+        self.values: list[str | None] = []
+
+    def put(self, rep: int, definition: int, value: str | None = None) -> None:
+        self.rep.append(rep)
+        self.definition.append(definition)
+        self.values.append(value)
+
+
 class Shredder:
-    """Level and value streams of a batch, by entity."""
+    """Columns of a batch: one of each entity, and with ``leaves`` one of each key of its objects."""
 
     def __init__(self, entities: Sequence[Entity], leaves: bool):
-        self.entities = entities
-        self.leaves = leaves
+        self.entities, self.leaves = entities, leaves
         self.below = {e.name: [c for c in entities if c.parent == e.name] for e in entities}
         self.tops = [e for e in entities if not e.parent]
-        self.level = {e.name: 1 for e in self.tops}
+        self.level = {e.name: 2 for e in self.tops}  # record 0, event 1
         for e in entities:
             if e.parent:
                 self.level[e.name] = self.level[e.parent] + 1
-        self.rep: dict[str, list[int]] = {e.name: [] for e in entities}
-        self.definition: dict[str, list[int]] = {e.name: [] for e in entities}
-        self.event: dict[str, list[int]] = {e.name: [] for e in entities}
-        self.values: dict[str, list] = {e.name: [] for e in entities}
-
-    def _place(self, e: Entity, rep: int, v, event: int) -> None:
-        """One place of ``e`` and, below it, the streams of its children: every place has an entry in each of them."""
-        name, is_object = e.name, isinstance(v, dict)
-        self.rep[name].append(rep)
-        self.definition[name].append(PLACE if not is_object else FILLED if v else OBJECT)
-        self.event[name].append(event)
+        # definition level of a missing place: what it lies in is there as an object
+        self.base = {name: 1 + FILLED * (level - 2) for name, level in self.level.items()}
+        self.own = {e.name: Column() for e in entities}
+        self.leaf: dict[str, dict[str, Column]] = {e.name: {} for e in entities}
+
+    def _put(self, e: Entity, rep: int, definition: int, obj: dict | None) -> None:
+        own, leaf = self.own[e.name], self.leaf[e.name]
         if self.leaves:
-            self.values[name].append({k: x if isinstance(x, str) else None if x is None else json.dumps(x) for k, x in v.items() if not isinstance(x, (dict, list))} if is_object else None)
-        for c in self.below[name]:
-            self._walk(c, v if is_object else None, rep, event)
-
-    def _walk(self, e: Entity, obj, rep: int, event: int) -> None:
-        v = obj
-        for i, name in enumerate(e.path):
-            v = _get(v, name) if isinstance(v, dict) else None
-            if i + 1 < len(e.path) and isinstance(v, str):
-                v = next(iter(_places(v)), None)
-        places, own = _places(v), self.level[e.name]
-        if not places:  # absent: the streams below stay aligned with a definition level of 0
-            self.rep[e.name].append(rep)
-            self.definition[e.name].append(0)
-            self.event[e.name].append(event)
-            if self.leaves:
-                self.values[e.name].append(None)
+            for k in obj or ():
+                if k not in leaf:  # first met: so far its column is that of the entity, without values
+                    c = leaf[k] = Column()
+                    c.rep, c.definition, c.values = own.rep.copy(), own.definition.copy(), [None] * len(own.rep)
+            for k, c in leaf.items():
+                v = obj.get(k) if obj else None
+                if v is None:
+                    c.put(rep, definition)
+                else:
+                    c.put(rep, self.base[e.name] + LEAF, v if isinstance(v, str) else json.dumps(v))
+        own.put(rep, definition)
+
+    def _walk(self, e: Entity, obj, rep: int, outer: int) -> None:
+        """The places of ``e`` within ``obj``; lists on the way to the last name are gone through in order."""
+        found = [obj] if isinstance(obj, dict) else []
+        for name in e.path[:-1]:
+            found = [x for v in found for x in _places(_get(v, name)) if isinstance(x, dict)]
+        places = [p for v in found for p in _places(_get(v, e.path[-1]))]
+        if not places:
+            self._put(e, rep, outer, None)
             for c in self.below[e.name]:
-                self._walk(c, None, rep, event)
+                self._walk(c, None, rep, outer)
+        base = self.base[e.name]
         for k, p in enumerate(places):
-            self._place(e, own if k else rep, p, event)
+            at, is_object = self.level[e.name] if k else rep, isinstance(p, dict)
+            definition = base + (PLACE if not is_object else FILLED if p else OBJECT)
+            self._put(e, at, definition, p if is_object else None)
+            for c in self.below[e.name]:
+                self._walk(c, p if is_object else None, at, min(definition, self.base[c.name]))
 
-    def add(self, event_index: int, event: dict) -> None:
+    def add(self, events: Sequence[dict]) -> None:
+        """One record."""
         for e in self.tops:
-            self._walk(e, event, 0, event_index)
-
-    def table(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(event index, parent position, own position, stream index) of the objects with at least one key, from the levels.
+            for i, event in enumerate(events):
+                self._walk(e, event, 1 if i else 0, 1)
+            if not events:
+                self._walk(e, None, 0, 0)
 
-        A position restarts at 1 wherever the repetition level is below the entity's own level.
-        """
-        rep = np.array(self.rep[name], np.int64)
-        definition = np.array(self.definition[name], np.int64)
-        at = np.arange(len(rep))
-        own = self.level[name]
+    def table(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(record, event number, parent's position, own position, entry) of the objects with at least one key."""
+        rep = np.array(self.own[name].rep, np.int64)
+        definition = np.array(self.own[name].definition, np.int64)
+        at, own = np.arange(len(rep)), self.level[name]
 
         def position(level: int) -> np.ndarray:
-            """Running count of places at ``level`` since the last entry whose repetition level is lower."""
+            """Running count of entries that repeat at ``level`` or above since the last that repeats further out."""
             if not len(rep):
                 return at
             count = np.cumsum(rep <= level)
             start = np.maximum.accumulate(np.where(rep < level, at, 0))
             return count - count[start] + 1
 
-        mine = np.flatnonzero(definition >= FILLED)
-        parent = position(own - 1)[mine] if own > 1 else np.zeros(len(mine), np.int64)
-        return np.array(self.event[name], np.int64)[mine], parent, position(own)[mine], mine
+        mine = np.flatnonzero(definition >= self.base[name] + FILLED)
+        parent = position(own - 1)[mine] if own > 2 else np.zeros(len(mine), np.int64)
+        return (np.cumsum(rep == 0) - 1)[mine], position(1)[mine], parent, position(own)[mine], mine
+
+    def fields(self, name: str, entries: np.ndarray) -> list[list[tuple[str, str]]]:
+        """(key, value) pairs of the objects at ``entries``, from the leaf columns."""
+        there = self.base[name] + LEAF
+        cols = [(k, c.definition, c.values) for k, c in self.leaf[name].items()]
+        return [[(k, values[i]) for k, definition, values in cols if definition[i] == there] for i in entries.tolist()]
 
 
 def _run(entities: Sequence[Entity], leaves: bool):
     def run(batches):
         for b in batches:
             keys = b.column("key").to_numpy()
-            sh, owner, number = Shredder(entities, leaves), [], []
-            for r, payload in enumerate(b.column("payload").to_pylist()):
-                for n, event in enumerate(events_of(payload), 1):
-                    sh.add(len(owner), event)
-                    owner.append(r)
-                    number.append(n)
-            own, num = np.array(owner, np.int64), np.array(number, np.int64)
+            sh = Shredder(entities, leaves)
+            for payload in b.column("payload").to_pylist():
+                sh.add(events_of(payload))
             for e in entities:
-                event, parent, item, at = sh.table(e.name)
-                cols = [pa.array(keys[own[event]]), pa.array(num[event]), pa.array([e.name] * len(event), pa.string()), pa.array(parent), pa.array(item)]
+                record, event, parent, item, entry = sh.table(e.name)
+                cols = [pa.array(keys[record]), pa.array(event), pa.array([e.name] * len(record), pa.string()), pa.array(parent), pa.array(item)]
                 names = ["key", "event_no", "entity", "parent_no", "item_no"]
                 if leaves:
-                    vals = sh.values[e.name]
-                    cols.append(pa.array([list(vals[i].items()) for i in at.tolist()], pa.map_(pa.string(), pa.string())))
+                    cols.append(pa.array(sh.fields(e.name, entry), pa.map_(pa.string(), pa.string())))
                     names.append("fields")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -201,7 +224,7 @@ def shred_records(records: DataFrame, key: str, payload: str, entities: Sequence
     ``event_no`` counts the events of a record from 1; ``item_no`` is the place in the list (1 for a lone object);
     ``parent_no`` the ``item_no`` of the parent, 0 where the event is the parent. Empty and odd places keep their
     position and yield nothing, as do null, empty and unreadable payloads. Repeated rows of a record yield its
-    objects once. ``fields`` has the object's scalars as text. No shuffle but that of the (narrow) distinct rows.
+    objects once. ``fields`` has the object's members, scalars as text and nested ones as JSON text; nulls are left out. No shuffle but that of the (narrow) distinct rows.
     """
     schema = "key long, event_no long, entity string, parent_no long, item_no long" + ", fields map<string,string>" * leaves
     rows = records.select(F.col(key).cast("long").alias("key"), F.col(payload).alias("payload")).where(F.col("payload").isNotNull()).mapInArrow(_run(entities, leaves), schema)

@@ -254,6 +254,63 @@ def test_shredding(spark):
     assert shred.shred_records(df.where("false"), "record_id", "payload").count() == 0
 
 
+def test_shredding_wraps_lists_and_leaves():
+    text = json.dumps({"event_type": "x", "alert": {"sid": 1}})
+    for _ in range(12):
+        text = json.dumps({"log": text})
+    assert len(shred.events_of(text)) == 1
+    assert len(shred.events_of('{"items":' * 400 + '[{"alert": {"a": 1}}]' + "}" * 400)) == 1
+    sh = shred.Shredder(shred.ENTITIES, True)
+    for details in ([{"causes": [{"a": 1}]}, {"causes": {"a": 2, "n": {"x": [1]}}}], json.dumps([{"causes": [{"a": 1}]}, {"causes": {"a": 2}}])):
+        sh.add([{"responseStatus": {"details": details}}])
+    record, event, parent, item, entry = sh.table("cause")
+    assert list(zip(record.tolist(), event.tolist(), parent.tolist(), item.tolist())) == [(0, 1, 1, 1), (0, 1, 1, 2), (1, 1, 1, 1), (1, 1, 1, 2)]
+    assert [dict(f) for f in sh.fields("cause", entry)] == [{"a": "1"}, {"a": "2", "n": '{"x": [1]}'}, {"a": "1"}, {"a": "2"}]
+
+
+def test_shredding_against_a_walk():
+    """Random records: tables and leaves from the columns alone equal those of a plain walk."""
+    r = random.Random(6)
+
+    def thing(depth):
+        k = r.randrange(7)
+        if k == 0:
+            return r.choice([None, "", 5, "text", True])
+        if k == 1:
+            return [thing(depth + 1) for _ in range(r.randrange(4))]
+        return {n: thing(depth + 1) if depth < 4 else r.randrange(9) for n in r.sample(["alert", "dns", "answers", "responseStatus", "details", "causes", "a", "b", "objectRef"], r.randrange(5))}
+
+    records = [[{"event_type": "e", **(x if isinstance(x := thing(0), dict) else {})} for _ in range(r.randrange(4))] for _ in range(400)]
+    want = {e.name: [] for e in shred.ENTITIES}
+
+    def places(v):
+        return v if isinstance(v, list) else [v] if isinstance(v, dict) else []
+
+    def walk(e, obj, rec, ev, parent):
+        found = [obj]
+        for n in e.path[:-1]:
+            found = [x for v in found for x in places({k.lower(): y for k, y in v.items()}.get(n)) if isinstance(x, dict)]
+        for i, p in enumerate([p for v in found for p in places({k.lower(): y for k, y in v.items()}.get(e.path[-1]))], 1):
+            if isinstance(p, dict):
+                if p:
+                    want[e.name].append((rec, ev, parent, i, {k: v if isinstance(v, str) else json.dumps(v) for k, v in p.items() if v is not None}))
+                for c in shred.ENTITIES:
+                    if c.parent == e.name:
+                        walk(c, p, rec, ev, i)
+
+    sh = shred.Shredder(shred.ENTITIES, True)
+    for rec, events in enumerate(records):
+        sh.add(events)
+        for ev, event in enumerate(events, 1):
+            for e in shred.ENTITIES:
+                if not e.parent:
+                    walk(e, event, rec, ev, 0)
+    for e in shred.ENTITIES:
+        record, event, parent, item, entry = sh.table(e.name)
+        got = [(*x, dict(f)) for x, f in zip(zip(record.tolist(), event.tolist(), parent.tolist(), item.tolist()), sh.fields(e.name, entry))]
+        assert got == want[e.name] and got
+
+
 # ------------------------------------------------------------------ instants
 
 AT = us("2024-10-27T01:30:00")
