@@ -14,6 +14,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("n >= 2").selectExpr("first_id AS first_event_id", "n AS n_events", "duration_us")
 
 
+#: Cost of a run, and of a tag in which an event differs from the tags of its run, in p3_near_runs.
+NEAR_PENALTY, NEAR_WEIGHT = 2.0, 1.0
+
+
+def p3_near_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of events with nearly the same tags: the segmentation of least cost."""
+    events = table(spark, d, "siem_events").select("event_id", "event_time", "source", "tags")
+    found = runs.collapse_runs(events, "source", "event_id", "event_time", "tags", NEAR_PENALTY, NEAR_WEIGHT)
+    return found.selectExpr("entity AS source", "first_id AS first_event_id", "n AS n_events", "duration_us", "replace(sig, '\x1f', ',') AS tags")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -49,7 +60,7 @@ FROM r GROUP BY s, run_no HAVING count(*) >= 2
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_labels": p9_labels}
+    return {"p3_found": p3_found, "p3_near_runs": p3_near_runs, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_labels": p9_labels}
 
 
 def oracle_sql() -> dict[str, str]:

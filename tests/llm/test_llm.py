@@ -3,6 +3,7 @@
 import base64
 import datetime as dt
 import math
+import pickle
 import os
 import random
 from collections import Counter
@@ -72,67 +73,92 @@ def test_runs_empty(spark):
     assert runs.collapse_runs(df, "source", "event_id", "event_time", "tags").count() == 0
 
 
-def _least_cost(blocks, penalty, weight):
+def _cost(part, weight):
+    n, held = sum(b[4] for b in part), Counter()
+    for b in part:
+        for t in runs.tag_set(b[0]):
+            held[t] += b[4]
+    return weight * sum(min(k, n - k) for k in held.values())
+
+
+def _unpruned(blocks, penalty, weight):
+    """(least cost) of all segmentations, by programming without pruning."""
     best = [0.0]
     for t in range(1, len(blocks) + 1):
-        cost = lambda p: weight * min(sum(b[4] * runs.jaccard(m[0], b[0]) for b in p) for m in p)
-        best.append(min(best[s] + cost(blocks[s:t]) + penalty for s in range(t)))
+        best.append(min(best[s] + _cost(blocks[s:t], weight) + penalty for s in range(t)))
     return best[-1]
 
 
-def test_programming_with_medoids_in_the_run_is_optimal():
-    star = [(f"a\x1fb\x1fx{i}", i, i, i, 1) for i in range(1, 6)]
-    cases = [([*star, ("a\x1fb", 6, 6, 6, 1)], 0.39), ([("a\x1fb", 0, 0, 0, 1), *star], 0.39)]
+def _total(found, blocks, penalty, weight):
+    """Cost of the runs found; every block lies in exactly one."""
+    assert sum(x[4] for x in found) == sum(b[4] for b in blocks)
+    return sum(penalty + _cost([b for b in blocks if x[1] <= b[1] <= x[3]], weight) for x in found)
+
+
+def test_pruned_programming_is_optimal():
+    """2,000 random sequences, the state taken down and up again at random places, against unpruned programming."""
     r = random.Random(3)
-    sigs = ["a\x1fb", *[f"a\x1fb\x1fx{i}" for i in range(4)], "a\x1fc", "z"]
-    for _ in range(150):
-        blocks = []
-        for i in range(r.randint(2, 16)):
-            blocks.append((r.choice([x for x in sigs if not blocks or x != blocks[-1][0]]), i, i, i, r.randint(1, 2)))
-        cases.append((blocks, r.choice([0.2, 0.39, 0.7, 1.0])))
-    for blocks, penalty in cases:
-        seg, done = runs.Segmenter(penalty, 1.0), []
+    sigs = ["", "a\x1fb", "a\x1fc", "b\x1fc", "a\x1fb\x1fc", "z", *[f"a\x1fb\x1fx{i}" for i in range(5)]]
+    for _ in range(2000):
+        some, blocks = r.sample(sigs, r.randint(2, 8)), []
+        for i in range(r.randint(1, 14)):
+            blocks.append((r.choice([x for x in some if not blocks or x != blocks[-1][0]]), i, i, i, r.randint(1, 3)))
+        penalty, weight = r.choice([0.2, 0.39, 0.7, 1.0, 2.0, 5.0]), r.choice([0.25, 1.0])
+        seg, found = runs.Segmenter(penalty, weight), []
         for b in blocks:
             seg.add(b)
-            done += seg.take(False)
-        done += seg.take(True)
-        total = sum(penalty + min(sum(b[4] * runs.jaccard(m[0], b[0]) for b in part) for m in part) for x in done for part in [[b for b in blocks if x[1] <= b[1] <= x[3]]])
-        assert abs(total - _least_cost(blocks, penalty, 1.0)) < 1e-9, (blocks, penalty)
-
-
-@pytest.mark.parametrize("seed", range(6))
-def test_pruned_programming_is_optimal(seed):
-    r = random.Random(seed)
-    sigs = ["a\x1fb", "a\x1fc", "a\x1fb\x1fc", "z"]
-    blocks = []
-    for i in range(14):
-        s = r.choice([x for x in sigs if not blocks or x != blocks[-1][0]])
-        blocks.append((s, i, i, i, r.randint(1, 3)))
-    penalty, weight = 0.7, 1.0
-
-    def cost(part):
-        held = Counter()
-        for b in part:
-            held[b[0]] += b[4]
-        return weight * min(sum(n * runs.jaccard(m, s) for s, n in held.items()) for m in held)
-
-    best = [0.0]
-    for t in range(1, len(blocks) + 1):
-        best.append(min(best[s] + cost(blocks[s:t]) + penalty for s in range(t)))
-    seg, done = runs.Segmenter(penalty, weight), []
-    for b in blocks:
-        seg.add(b)
-        done += seg.take(False)
-    done += seg.take(True)
-    assert sum(x[4] for x in done) == sum(b[4] for b in blocks)
-    at, total = 0, 0.0
-    for x in done:
-        end = at
-        while end < len(blocks) and blocks[end][1] <= x[3]:
-            end += 1
-        total += cost(blocks[at:end]) + penalty
-        at = end
-    assert math.isclose(total, best[-1])
+            found += seg.certain()
+            if r.random() < 0.3:
+                state = seg.state()
+                seg = runs.Segmenter(penalty, weight)
+                seg.resume(pickle.loads(pickle.dumps(state)))
+        found += seg.finish()
+        assert math.isclose(_total(found, blocks, penalty, weight), _unpruned(blocks, penalty, weight)), (blocks, penalty, weight)
+
+
+def test_dissimilarity_is_superadditive():
+    r = random.Random(4)
+    for _ in range(500):
+        part = [("\x1f".join(sorted(r.sample("abcd", r.randrange(5)))), i, i, i, r.randint(1, 4)) for i in range(r.randint(2, 9))]
+        cut = r.randrange(1, len(part))
+        assert _cost(part, 1) >= _cost(part[:cut], 1) + _cost(part[cut:], 1)
+
+
+def near_events(n=500):
+    r, t0 = random.Random(9), dt.datetime(2024, 1, 1)
+    kinds = [["a", "b"], ["a", "b", "c"], ["a", "B 7"], ["z"], None]
+    return [(i, t0 + dt.timedelta(seconds=i), "hot" if r.random() < 0.8 else r.choice(["x", None]), kinds[min(4, i // 90) if r.random() < 0.7 else r.randrange(5)]) for i in range(n)]
+
+
+def test_near_runs_whatever_the_partitions(spark):
+    rows = near_events()
+    df = spark.createDataFrame(rows, "event_id long, event_time timestamp_ntz, source string, tags array<string>")
+    for penalty, weight in ((2.0, 1.0), (40.0, 1.0), (1.0, 0.3)):
+        found = [sorted(map(tuple, runs.collapse_runs(df, "source", "event_id", "event_time", "tags", penalty, weight, parts=p).collect()), key=str) for p in (1, 2, 7, 60)]
+        assert found[0] == found[1] == found[2] == found[3]
+        sequences = {}
+        for i, t, s, tags in rows:
+            sig = "\x1f".join(sorted({"".join("#" if c.isdigit() else c for c in x.lower()) for x in tags or []}))
+            sequences.setdefault(s, []).append((sig, i, i, i, 1))
+        for s, blocks in sequences.items():
+            total = sum(penalty + _cost([b for b in blocks if x[2] <= b[1] and x[3] + (b[1] - x[2]) * 10**6 <= x[4]], weight) for x in found[0] if x[0] == s)
+            assert math.isclose(total, _unpruned(blocks, penalty, weight))
+    assert runs.collapse_runs(df.where("false"), "source", "event_id", "event_time", "tags", 1.0, 1.0).count() == 0
+
+
+def test_near_runs_of_whole_tables_are_optimal(spark):
+    """Every source of the table: the cost of the runs is that of unpruned programming."""
+    found = queries.p3_near_runs(spark, SF).collect()
+    events = spark.read.parquet(f"{SF}/siem_events.parquet")
+    blocks = runs.collapse_runs(events, "source", "event_id", "event_time", "tags").collect()
+    by = {}
+    for b in sorted(blocks, key=lambda b: (b.entity or "", b.t_first, b.first_id)):
+        by.setdefault(b.entity, []).append((b.sig, b.first_id, b.t_first, b.t_last, b.n))
+    for source, own in by.items():
+        starts = {b[1]: k for k, b in enumerate(own)}
+        at = sorted(starts[f.first_event_id] for f in found if f.source == source)
+        total = sum(queries.NEAR_PENALTY + _cost(own[a:b], queries.NEAR_WEIGHT) for a, b in zip(at, [*at[1:], len(own)]))
+        assert math.isclose(total, _unpruned(own, queries.NEAR_PENALTY, queries.NEAR_WEIGHT))
 
 
 # ------------------------------------------------------------------ tokens
