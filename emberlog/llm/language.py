@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 #: Characters of sentences scored at once.
 SLICE_CHARS = 120_000
 CACHED_SENTENCES = 100_000
-#: The bounded sample: documents drawn, sentences a document and a language used, landmarks a language.
+#: The bounded sample: documents drawn (in equal parts a language), sentences a document and a language used, landmarks a language.
 SAMPLE_DOCS, SENTENCES_A_DOC, SENTENCES_A_LANGUAGE, LANDMARKS_A_LANGUAGE = 4000, 12, 240, 32
 #: Longer documents are not drawn.
 SAMPLE_CHARS = 20_000
@@ -66,8 +67,11 @@ def _is_machine(line: str) -> bool:
 
 def sentences(text: str | None) -> list[str]:
     """The sentences of a text in reading order, as plain words. Machine output and headings are left out: the former
-    belongs to no segment, the latter takes the language of the text below it."""
+    belongs to no segment, the latter takes the language of the text below it. Pieces of up to three letters, as
+    abbreviations leave them, go with the sentence after them in their line, else with the one before; where there is
+    none, they are a sentence."""
     out: list[str] = []
+    short = ""
     fenced = False
     for line in _LINE.split(text or ""):
         if "<" in line:
@@ -87,8 +91,13 @@ def sentences(text: str | None) -> list[str]:
         for piece in _BREAK.split(line):
             words = plain_words(piece)
             if len(words) > 3 or words and _EAST.search(words):
-                out.append(words)
-    return out
+                out.append(f"{short} {words}" if short else words)
+                short = ""
+            elif words:
+                short = f"{short} {words}" if short else words
+        if short and out:
+            out[-1], short = f"{out[-1]} {short}", ""
+    return out or ([short] if short else [])
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,11 +269,11 @@ def _run(model: LanguageModel, names: dict[str, str]):
         cache: dict[str, np.ndarray] = {}
         for b in batches:
             for part in slices(*(b.column(c).to_pylist() for c in ("key", "text", "label"))):
-                scores = model.scores_cached([s for _, _, own in part for s in own], cache)
+                scores = model.scores_cached([s for _, _, own in part for s in own], cache) if model.languages else None
                 at, out = 0, []
                 for key, label, own in part:
                     known = normal_label(label, names)
-                    if not own:
+                    if not own or not model.languages:
                         out.append((key, known, None, None, "no_sentence", []))
                         continue
                     path, sure = decode(scores[at : at + len(own)])
@@ -303,20 +312,42 @@ def chosen_sentences(said: dict[str, Counter]) -> tuple[list[str], list[str]]:
         (label, n), *others = labels.most_common(2)
         if not others or n > others[0][1]:
             by_language.setdefault(label, []).append((n, text))
-    if not by_language:
-        raise ValueError("no labelled sentences to fit on")
     best = {k: sorted(v, key=lambda x: (-x[0], x[1]))[:SENTENCES_A_LANGUAGE] for k, v in sorted(by_language.items())}
     return [t for v in best.values() for _, t in v], [k for k, v in best.items() for _ in v]
 
 
-def fit_on_sample(docs: DataFrame, text: str, label: str, names: dict[str, str], sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
-    """Fit on at most ``sample_docs`` labelled documents of at most ``SAMPLE_CHARS`` characters, at most ``SENTENCES_A_DOC`` sentences of each."""
-    said: dict[str, Counter] = {}
-    rows = docs.where((F.length(text) <= SAMPLE_CHARS) & F.lower(F.trim(F.split(F.trim(label), "[-_]")[0])).isin(list(names))).select(label, F.col(text).alias("t")).limit(sample_docs).collect()
-    for r in rows:
-        for x in sentences(r["t"])[:SENTENCES_A_DOC]:
-            said.setdefault(x, Counter())[normal_label(r[0], names)] += 1
-    return LanguageModel.fit(*chosen_sentences(said))
+def fit_on_sample(docs: DataFrame, key: str, text: str, label: str, names: dict[str, str], sample_docs: int = SAMPLE_DOCS) -> LanguageModel | None:
+    """Fit on about ``sample_docs`` labelled documents of at most ``SAMPLE_CHARS`` characters, at most ``SENTENCES_A_DOC`` sentences of each.
+
+    Each language has an equal part of the sample, drawn from the whole table by the hash of the key: a first pass
+    counts the labels, a second takes the documents whose hash is small enough. A language without labelled documents
+    cannot be found and is warned of; null if there is none at all.
+    """
+    spelled = F.lower(F.trim(F.split(F.trim(label), "[-_]")[0]))
+    counts = {r["s"]: r["count"] for r in docs.where(spelled.isin(list(names))).groupBy(spelled.alias("s")).count().collect()}  # one row a spelling
+    total = Counter()
+    for s, n in counts.items():
+        total[names[s]] += n
+    missing = sorted(set(names.values()) - set(total))
+    if missing:
+        warnings.warn(f"no document is labelled {', '.join(missing)}: these languages cannot be assigned", stacklevel=2)
+    if not total:
+        return None
+    part = -(-sample_docs // len(total))
+    share = F.lit(None)
+    for s in sorted(counts):
+        share = F.when(spelled == s, F.lit(min(1.0, 1.2 * part / total[names[s]]))).otherwise(share)
+    place = F.xxhash64(key)
+    drawn = docs.where(spelled.isin(list(counts)) & (F.pmod(place, F.lit(1_000_000)) < share * 1_000_000) & (F.length(text) <= SAMPLE_CHARS))
+    rows, taken, said = drawn.select(place.alias("h"), spelled.alias("s"), F.col(text).alias("t")).collect(), Counter(), {}
+    for r in sorted(rows, key=lambda r: (r["h"], r["t"])):
+        lang = names[r["s"]]
+        taken[lang] += 1
+        if taken[lang] <= part:
+            for x in sentences(r["t"])[:SENTENCES_A_DOC]:
+                said.setdefault(x, Counter())[lang] += 1
+    texts, labels = chosen_sentences(said)
+    return LanguageModel.fit(texts, labels) if texts else None
 
 
 def label_documents(docs: DataFrame, codes: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", model: LanguageModel | None = None) -> DataFrame:
@@ -324,11 +355,11 @@ def label_documents(docs: DataFrame, codes: DataFrame, key: str = "doc_id", text
 
     ``lang`` is the language of most of the text, ``status`` right, wrong, missing (no label that means a language),
     mixed or no_sentence; ``segments`` are the longest stretches of sentences in one language. Null, empty and blank
-    texts and those of machine output only have no sentence: lang null, no segments. Only the named columns are
-    read; no shuffle.
+    texts and those of machine output only have no sentence: lang null, no segments. Where no document has a usable
+    label there is nothing to fit on, and all are so. Only the named columns are read; no shuffle.
     """
     names = label_names(codes)
-    model = model or fit_on_sample(docs, text, label, names)
+    model = model or fit_on_sample(docs, key, text, label, names) or LanguageModel([], GramTable(np.zeros(1, np.int64)), np.zeros((1, 0), np.float32))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.col(label).alias("label"))
     return rows.mapInArrow(_run(model, names), LABELLED).withColumnRenamed("key", key)
 

@@ -358,6 +358,33 @@ def test_labels_and_segments(spark, model):
     assert language.label_documents(df.where("false"), codes, model=model).count() == 0
 
 
+def test_short_sentences_are_kept():
+    assert language.sentences("No. Sí. Ok. Ja.") == ["no sí ok ja"]
+    assert language.sentences("We met Dr. Who there. Ok.") == ["we met dr", "who there ok"]
+    assert language.sentences("Ok.\nWe went home then.\nNo.") == ["ok we went home then no"]
+    assert language.sentences("12. #1!\n") == []
+
+
+CODES = [("en", "eng", "English"), ("de", "deu", "German"), ("fr", "fra", "French")]
+
+
+def test_sample_is_drawn_from_the_whole_table(spark):
+    """German comes last and is rare; French has no document."""
+    en = ["The server restarted after the update.", "Nobody noticed that the backup had failed.", "Please check the report tomorrow."]
+    de = ["Der Server wurde nach dem Update neu gestartet.", "Niemand bemerkte, dass die Sicherung fehlschlug.", "Bitte morgen den Bericht prüfen."]
+    rows = [(i, en[i % 3], "EN-us") for i in range(600)] + [(600 + i, de[i % 3], "de") for i in range(30)] + [(900, de[0], None), (901, en[1], "german"), (902, "", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    codes = spark.createDataFrame(CODES, "lang string, code3 string, english_name string")
+    with pytest.warns(UserWarning, match="fr"):
+        out = {r.doc_id: r for r in language.label_documents(df, codes).collect()}
+    assert (out[900].lang, out[900].status, out[901].lang, out[901].status, out[902].status) == ("de", "missing", "en", "wrong", "no_sentence")
+    with pytest.warns(UserWarning):
+        unfit = language.label_documents(df.withColumn("lang", F.lit("?")), codes).collect()
+    assert len(unfit) == len(rows) and {(r.status, r.lang) for r in unfit} == {("no_sentence", None)}
+    with pytest.warns(UserWarning):
+        assert language.label_documents(df.where("false"), codes).count() == 0
+
+
 def test_nothing_else_imports_this_package():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, files in os.walk(os.path.join(root, "emberlog")):
