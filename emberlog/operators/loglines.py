@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import pickle
 import re
 
 import pyarrow as pa
@@ -201,7 +202,7 @@ def _time_at(masks: list[str], i: int) -> int:
 
 
 def slots(masks: list[str]) -> tuple | None:
-    """(time's kind, its position, level's kind and position, name's kind and position, tokens before the message, the message's own token or -1).
+    """(time's kind, its position, level's kind and position, name's kind and position, tokens before the message, or -1 where it is whatever else there is).
 
     Whatever the layout: a header begins with a time, or with a level or a bracketed name right before one, and has a
     level or a name (a word, tag, bracket, parenthesis or key=value) in the tokens that follow; a web server's line
@@ -211,10 +212,10 @@ def slots(masks: list[str]) -> tuple | None:
     mask = lambda i: masks[i] if i < n else ""
     word = lambda i: i < n and (masks[i] in (ANY, "<VAR>") or masks[i][0] != "<" and any(c.isalnum() for c in masks[i]))
     if "<KEYTIME>" in masks and masks[0] in _KEYS:
-        at, level, name, text = (masks.index(m) if m in masks else -1 for m in ("<KEYTIME>", "<KEYLEVEL>", "<KEYNAME>", "<KEYTEXT>"))
-        return "<KEYTIME>", at, "<KEYLEVEL>" if level >= 0 else None, level, "<KEYNAME>" if name >= 0 else None, name, max(at, level, name) + 1, text
+        at, level, name = (masks.index(m) if m in masks else -1 for m in ("<KEYTIME>", "<KEYLEVEL>", "<KEYNAME>"))
+        return "<KEYTIME>", at, "<KEYLEVEL>" if level >= 0 else None, level, "<KEYNAME>" if name >= 0 else None, name, -1
     if masks[3:5] == ["<ACCESS>", "<SHIFTSHUT>"]:
-        return _time_at(masks, 3), 3, None, -1, None, -1, 5, -1
+        return _time_at(masks, 3), 3, None, -1, None, -1, 5
     level = name = None
     level_at = name_at = -1
     i = 0
@@ -229,11 +230,11 @@ def slots(masks: list[str]) -> tuple | None:
     first, i = i, i + len(TIMES[kind][0])
     opening = mask(first)
     if opening == "<PRI5>":  # version, host, program, process, message's kind, structured data
-        return (kind, first, opening, first, opening, first + 3, first + 7, -1) if n >= first + 6 else None
+        return (kind, first, opening, first, opening, first + 3, first + 7) if n >= first + 6 else None
     if opening in ("<PRI3>", "<GLOG>"):
         level, level_at = opening, first
     if opening == "<GLOG>":
-        return (kind, first, level, level_at, "<NAMELINE>", i + 1, i + 2, -1) if mask(i) == "<NUM>" and mask(i + 1) == "<NAMELINE>" else None
+        return (kind, first, level, level_at, "<NAMELINE>", i + 1, i + 2) if mask(i) == "<NUM>" and mask(i + 1) == "<NAMELINE>" else None
     if opening in ("<PRI3>", "<MON>"):  # host and tag
         if mask(i + 1) == "<TAG>":
             i += 1
@@ -281,18 +282,19 @@ def slots(masks: list[str]) -> tuple | None:
         if level is not None and name is not None and not (name_at == lead and word(i) and mask(i + 1) == "-"):
             i += name_at != lead and mask(i) == "|" or level_at > name_at and mask(i) in ("-", "|")
             break
-    return None if level is None and name is None else (kind, first, level, level_at, name, name_at, i, -1)
+    return None if level is None and name is None else (kind, first, level, level_at, name, name_at, i)
 
 
 def reader(found: tuple | None):
-    """What takes the tokens of a line and its reading time and gives (ts_us, level, component, tokens before the message, the message's own token or -1)."""
+    """What takes the tokens of a line and its reading time and gives (ts_us, level, component, tokens before the message, positions read)."""
     if found is None:
         return None
-    kind, first, level, level_at, name, name_at, used, text = found
+    kind, first, level, level_at, name, name_at, used = found
+    own = (first, level_at, name_at)
     time = (lambda t, i, at: iso_us(_value(t[i]))) if kind == "<KEYTIME>" else TIMES[kind][1]
 
     def fields(t, at):
-        return time(t, first, at), LEVEL_OF[level](t[level_at]) if level else None, NAME_OF[name](t[name_at]) if name else None, used, text
+        return time(t, first, at), LEVEL_OF[level](t[level_at]) if level else None, NAME_OF[name](t[name_at]) if name else None, used, own
 
     return fields
 
@@ -393,13 +395,11 @@ def json_fields(obj: dict) -> tuple:
 
 _MEMBER_LINE = re.compile(r'\s+("(?:[^"\\]|\\.)*"\s*:\s*.*?),?\s*\Z', re.DOTALL)
 
-PIECE = (
-    "file long, first_line long, last_line long, part int, place int, kind string, closes boolean, pending boolean, "
-    "ts_us long, level string, component string, program string, texts array<string>, lines array<string>, object_open boolean, o_ts long, o_level string, o_component string, o_texts array<string>"
-)
+ENTRY = "file long, first_line long, last_line long, ts_us long, level string, component string, program string, message string"
+#: An entry that lies within its partition, or in ``aside`` a piece at one of the partition's ends.
+PIECE = ENTRY + ", part int, place int, aside binary"
+TYPES = [*[pa.int64()] * 4, *[pa.string()] * 4, pa.int32(), pa.int32(), pa.binary()]
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-TYPES = [_KINDS[x.split()[1]] for x in PIECE.split(", ")]
 
 
 class Entry:
@@ -434,6 +434,9 @@ class Entry:
         if keep:
             self.texts.append(raw)
 
+    def row(self, keep: bool) -> tuple:
+        return self.file, self.first, self.last, self.ts, self.level, self.name, self.program, "\n".join(self.texts) if keep and self.texts else None
+
 
 class Reader:
     """Lines in order to entries. An entry is given out when the next one begins.
@@ -522,27 +525,19 @@ def parse_head(tree: TemplateTree, raw: str, read_us: int | None):
         ts, level, name, used, own = fields(tokens, read_us)
     except (ValueError, IndexError, KeyError, OverflowError):
         return None
-    if own >= 0:
-        return ts, level, name, re.sub(r"\\(.)", r"\1", _value(tokens[own])), False
-    if "=" in tokens[0]:
-        return ts, level, name, " ".join(tokens[used:]), False
+    if used < 0:  # key=value pairs: all others are the message
+        return ts, level, name, " ".join(x for i, x in enumerate(tokens) if i not in own), False
     rest = raw.split(None, used)
     return ts, level, name, rest[used] if len(rest) > used else "", False
 
 
-def _row(e: Entry, part: int, place: int, kind: str, closes: bool, program: str | None, keep: bool, opened: Entry | None = None) -> tuple:
-    """A piece: an entry, an object on trial, or an opening (``e`` its plain reading, ``opened`` the other one)."""
-    o = (opened.pending, opened.ts, opened.level, opened.name, opened.texts) if opened else (None, None, None, None, None)
-    return (e.file, e.first, e.last, part, place, kind, closes, e.pending, e.ts, e.level, e.name, program, e.texts if keep else None, e.lines or None, *o)
-
-
 def _run(keep: bool):
     def run(batches):
         part, tree, reader, now, rows, place = TaskContext.get().partitionId(), TemplateTree(), Reader(keep), None, [], 0
 
         def put(e, kind, closes, opened=None):
             nonlocal place
-            rows.append(_row(e, part, place, kind, closes, e.program, keep, opened))
+            rows.append((e.file, *[None] * 7, part, place, pickle.dumps((kind, closes, e, opened))))
             place += 1
 
         def give(last: bool):
@@ -552,7 +547,7 @@ def _run(keep: bool):
                 reader.opening = None
                 put(plain, "opening", last and reader.held is None and not reader.done and reader.trial is None, opened)
             for e in reader.done:
-                put(e, "entry", False)
+                rows.append((*e.row(keep), part, None, None))
             reader.done.clear()
             if last:
                 if reader.held is not None:
@@ -593,18 +588,18 @@ def _run(keep: bool):
     return run
 
 
-ENTRY = "file long, first_line long, last_line long, ts_us long, level string, component string, program string, message string"
-_ENTRY_TYPES = [pa.int64()] * 4 + [pa.string()] * 4
+_ENTRY_TYPES = TYPES[:8]
 
 
-def join_pieces(pieces: list[dict], keep: bool) -> list[tuple]:
-    """The entries of a file from the pieces at the borders of its partitions, in order: at most four a partition."""
+def join_pieces(pieces: list[tuple], keep: bool) -> list[tuple]:
+    """The entries of a file from the pieces (kind, whether it ends its partition, entry, entry's other reading) at the
+    ends of its partitions, in order: at most four a partition."""
     out, held, trial = [], None, None
 
     def give():
         nonlocal held
-        if held is not None and held.ts is not None:
-            out.append((held.file, held.first, held.last, held.ts, held.level, held.name, held.program, "\n".join(held.texts) if keep and held.texts else None))
+        if held is not None:
+            out.append(held.row(keep))
         held = None
 
     def settle():
@@ -616,12 +611,12 @@ def join_pieces(pieces: list[dict], keep: bool) -> list[tuple]:
             held.last = trial.last
         trial = None
 
-    for p in pieces:
-        if p["kind"] == "opening":
+    for kind, closes, e, opened in pieces:
+        if kind == "opening":
             if trial is not None:  # the first reading holds as long as the object is open
-                trial.take(p["o_ts"], p["o_level"], p["o_component"], p["o_texts"] if keep else [])
-                trial.pending, trial.last = p["object_open"], p["last_line"]
-                trial.lines += p["texts"] or []
+                trial.take(opened.ts, opened.level, opened.name, opened.texts)
+                trial.pending, trial.last = opened.pending, e.last
+                trial.lines += e.texts
                 if trial.ts is not None:
                     give()
                     held, trial = trial, None
@@ -629,22 +624,20 @@ def join_pieces(pieces: list[dict], keep: bool) -> list[tuple]:
                     settle()
             elif held is not None:
                 if held.pending:
-                    held.take(p["o_ts"], p["o_level"], p["o_component"], p["o_texts"] if keep else [])
-                    held.pending = p["object_open"]
-                elif keep:
-                    held.texts += p["texts"]
-                held.last = p["last_line"]
+                    held.take(opened.ts, opened.level, opened.name, opened.texts)
+                    held.pending = opened.pending
+                else:
+                    held.texts += e.texts
+                held.last = e.last
+            if not closes:
+                settle()
         else:
             settle()
-            e = Entry(p["file"], p["first_line"], p["program"], p["ts_us"], p["level"], p["component"], p["texts"] or [], p["pending"], p["lines"] or [])
-            e.last = p["last_line"]
-            if p["kind"] == "trial":
+            if kind == "trial":
                 trial = e
             else:
                 give()
                 held = e
-        if not p["closes"] and p["kind"] == "opening":
-            settle()
     settle()
     give()
     return out
@@ -667,16 +660,15 @@ def parse_entries(lines: DataFrame, file: str, line: str, read_at: str, raw: str
     """
     once = _once(lines, file, line, read_at, raw, fields)
     pieces = materialise(chunked(once, ["file"], ["line"], parts).mapInArrow(_run(message), PIECE), "log-pieces")
-    inner = (F.col("kind") == "entry") & ~F.col("closes")
-    whole = pieces.where(inner).select("file", "first_line", "last_line", "ts_us", "level", "component", "program", F.when(F.size("texts") > 0, F.array_join("texts", "\n")).alias("message"))
+    whole = pieces.where("aside IS NULL").select("file", "first_line", "last_line", "ts_us", "level", "component", "program", "message")
 
     def join(table: pa.Table) -> pa.Table:
-        rows = join_pieces(table.sort_by([("part", "ascending"), ("place", "ascending")]).to_pylist(), message)
+        rows = join_pieces([pickle.loads(x) for x in table.sort_by([("part", "ascending"), ("place", "ascending")])["aside"].to_pylist()], message)
         cols = list(zip(*rows)) or [()] * len(_ENTRY_TYPES)
         return pa.table([pa.array(c, t) for c, t in zip(cols, _ENTRY_TYPES)], names=[x.split()[0] for x in ENTRY.split(", ")])
 
     # a file that a border cuts: its pieces there are at most four a partition
-    entries = whole.unionByName(pieces.where(~inner).groupBy("file").applyInArrow(join, ENTRY))
+    entries = whole.unionByName(pieces.where("aside IS NOT NULL").groupBy("file").applyInArrow(join, ENTRY))
     return entries.select(F.col("file").alias(file), "first_line", "last_line", "ts_us", "level", F.coalesce("component", "program").alias("component"), "message")
 
 

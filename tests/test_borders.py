@@ -63,9 +63,9 @@ LAYOUTS = [
     ("2024-01-01 00:00:00 INFO x", (1704067200000000, "info", None, "x")),
     ("Jan  1 00:00:00 host sshd[12]: Failed", (1704067200000000, None, "sshd", "Failed")),
     ('10.0.0.1 - - [01/Jan/2024:01:00:00 +0100] "GET / HTTP/1.1" 200 1', (1704067200000000, None, None, '"GET / HTTP/1.1" 200 1')),
-    ('time="2024-01-01T00:00:00Z" level=info msg="say \\"b\\""', (1704067200000000, "info", None, 'say "b"')),
-    ('level=info msg="one two three four five six seven" component=fim ts=2024-01-01T00:00:00Z', (1704067200000000, "info", "fim", "one two three four five six seven")),
-    ('host=web01 ts="2024-01-01 00:00:00" severity=warn text=x', (1704067200000000, "warn", None, "x")),
+    ('time="2024-01-01T00:00:00Z" level=info msg="say \\"b\\""', (1704067200000000, "info", None, 'msg="say \\"b\\""')),
+    ('level=info msg="one two three four five six seven" component=fim ts=2024-01-01T00:00:00Z', (1704067200000000, "info", "fim", 'msg="one two three four five six seven"')),
+    ('host=web01 ts="2024-01-01 00:00:00" severity=warn text=x', (1704067200000000, "warn", None, "host=web01 text=x")),
 ]
 
 
