@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The layouts of the web server's, syslog and Windows text lines.
 APACHE = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+\S+"\s+(\d+)\s+(\d+|-)'
 SYSLOG = r"^<(\d+)>?(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+)\s+(.*)$"
 WINDOWS = r"^(\d{4}/\d{2}/\d{2})\s+(\d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+\(([^)]+)\)\s+(.*)$"
@@ -75,6 +76,12 @@ def iso_time(text: Column) -> Column:
     return F.when(zoned.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), zoned.try_cast("timestamp"))
 
 
+def sensor_time(text: Column) -> Column:
+    """RFC 3339, the same without a zone (UTC) or with a blank, with slashes, or as ``MM/dd/yyyy-HH:mm:ss``, each with any fraction."""
+    slashed = F.regexp_replace(F.regexp_replace(text, r"^(\d{2})/(\d{2})/(\d{4})-", "$3-$1-${2}T"), r"^(\d{4})/(\d{2})/(\d{2})", "$1-$2-$3")
+    return F.coalesce(iso_time(slashed), iso_time(F.concat(slashed, F.lit("Z"))))
+
+
 def level_severity(level: Column) -> Column:
     out = F.lit(2)
     for name, sev in LEVEL_SEVERITY.items():
@@ -87,9 +94,20 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Set between groups; a text that has it is matched group by group.
+_CUT = "\x1f"
+
+
 def _groups(raw: Column, pattern: str, n: int) -> Column:
-    """The ``n`` groups of a pattern anchored at both ends by one pass of the regex; an array of another size if it does not match."""
-    return F.split(F.regexp_replace(raw, pattern, "\x1f".join(f"${i}" for i in range(1, n + 1))), "\x1f", n + 1)
+    """The ``n`` groups of a pattern anchored at the begin; an array of another size if it does not match.
+
+    One pass of the regex puts the groups one after the other with a separator between; a text in which the separator
+    occurs is taken apart by a pass a group instead. A dot is anything but a line feed and the end is the text's end.
+    """
+    whole = "(?d)" + (pattern[:-1] + r"\z" if pattern.endswith("$") else pattern + r"[\s\S]*")
+    at_once = F.split(F.regexp_replace(raw, whole, _CUT.join(f"${i}" for i in range(1, n + 1))), _CUT, n + 1)
+    each = F.when(raw.rlike(whole), F.array(*[F.regexp_extract(raw, whole, i) for i in range(1, n + 1)])).otherwise(F.array(raw))
+    return F.when(F.contains(raw, F.lit(_CUT)), each).otherwise(at_once)
 
 
 def one_json_object(raw: Column) -> Column:
@@ -98,7 +116,7 @@ def one_json_object(raw: Column) -> Column:
 
 
 def decode_apache(raw: Column) -> Column:
-    return _let(_groups(raw, APACHE + r"[\s\S]*$", 6), lambda p: _let(parse_int(F.get(p, F.lit(4))), lambda status: _apache_event(p, status)))
+    return _let(_groups(raw, APACHE, 6), lambda p: _let(parse_int(F.get(p, F.lit(4))), lambda status: _apache_event(p, status)))
 
 
 def _apache_event(p: Column, status: Column) -> Column:
@@ -172,11 +190,13 @@ SENSOR_JSON = (
 )
 
 
+def _is_audit(raw: Column) -> Column:
+    return F.contains(raw, F.lit('"kind":"Event"')) | F.contains(raw, F.lit('"kind": "Event"'))
+
+
 def decode_audit(raw: Column) -> Column:
     """Kubernetes audit events: JSON with kind Event and an audit id."""
-    ok = (F.contains(raw, F.lit('"kind":"Event"')) | F.contains(raw, F.lit('"kind": "Event"')))
-    ok = ok & one_json_object(raw)
-    return _let(F.from_json(F.when(ok, raw), AUDIT_JSON), _audit_event)
+    return _let(F.from_json(F.when(_is_audit(raw) & one_json_object(raw), raw), AUDIT_JSON), _audit_event)
 
 
 def _audit_event(x: Column) -> Column:
@@ -242,7 +262,7 @@ def _sensor_event(x: Column) -> Column:
         ("tls_sni", g("tls.sni")), ("tls_subject", g("tls.subject")),
     ]
     tags = F.when(alert, F.array(F.lit("nids"), kind, F.lit("alert"))).otherwise(F.array(F.lit("nids"), kind))
-    return _event(ok, "suricata", fields, tags, F.when(alert, level).otherwise(1), iso_time(g("timestamp")))
+    return _event(ok, "suricata", fields, tags, F.when(alert, level).otherwise(1), sensor_time(g("timestamp")))
 
 
 _DATA = "struct<Data:array<struct<_Name:string,_VALUE:string>>>"
@@ -290,9 +310,30 @@ def decode_csv(raw: Column, names: list[str]) -> Column:
     return F.when(raw.isNotNull(), F.struct(F.lit(None).cast("timestamp").alias("ts"), F.lit("decoder:csv").alias("source"), F.map_from_entries(pairs).alias("fields"), _tags().alias("tags"), F.lit(0).alias("severity")))
 
 
-def decode_first(raw: Column, year: int | None = None) -> Column:
-    """The chain: audit, sensor, JSON, web server, syslog in its layout, XML, Windows text; anything else is a message."""
-    return F.coalesce(decode_audit(raw), decode_sensor(raw), decode_json(raw), decode_apache(raw), decode_syslog(raw, year, strict=True), decode_evtx(raw), decode_windows(raw), decode_syslog(raw, year))
+def _decode_any_json(raw: Column) -> Column:
+    """Audit, sensor and other JSON: whether the text is an object is tested once, and its named members are read once."""
+
+    def of(text: Column) -> Column:
+        named = lambda x: F.coalesce(F.when(_is_audit(text), _audit_event(x)), _sensor_event(x))
+        return F.coalesce(_let(F.from_json(text, f"{AUDIT_JSON}, {SENSOR_JSON}"), named), _let(F.from_json(text, "map<string,string>"), lambda whole: _json_event(text, whole)))
+
+    return _let(F.when(one_json_object(raw), raw), lambda text: F.when(text.isNotNull(), of(text)))
+
+
+def decode_first(raw: Column, year: int | None = None, tree: Column | None = None) -> Column:
+    """The chain: audit, sensor, JSON, web server, syslog in its layout, XML, Windows text, a decoder tree; anything else is a message."""
+    others = [decode_apache(raw), decode_syslog(raw, year, strict=True), decode_evtx(raw), decode_windows(raw), *([tree] if tree is not None else []), decode_syslog(raw, year)]
+    return F.coalesce(_decode_any_json(raw), *others)
+
+
+def decode_auto(raw: Column, year: int | None = None) -> Column:
+    """Audit, JSON, web server, syslog in its layout, Windows text; anything else is a message."""
+    return F.coalesce(decode_audit(raw), decode_json(raw), decode_apache(raw), decode_syslog(raw, year, strict=True), decode_windows(raw), decode_syslog(raw, year))
+
+
+def chained(source: Column, event: Column) -> Column:
+    """The event with its source as ``source->decoder``."""
+    return F.when(event.isNotNull(), event.withField("source", F.concat(source, F.lit("->"), event["source"])))
 
 
 def decode_tree(raw: Column, program: Column, decoders: list[dict]) -> Column:

@@ -7,49 +7,89 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.versions import package_matches, version_matches
+from emberlog.functions.versions import version_matches
+from emberlog.operators.skew import join_lookup
 
-#: A dimension of at most so many rows may meet every row of the other side; a larger one is split by its equality part.
-MAX_DIMENSION = 20_000
+#: Up to so many patterns meet every text by a broadcast; more are found through an index of their n-grams.
+MAX_DIMENSION = 2_000
 
 
-def bounded(dim: DataFrame, max_rows: int = MAX_DIMENSION) -> DataFrame:
-    """``dim`` for a broadcast, after its size was checked; larger ones raise, so that the caller takes another way."""
-    n = dim.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"dimension has more than {max_rows} rows")
-    return F.broadcast(dim)
+def bounded(dim: DataFrame, max_rows: int = MAX_DIMENSION) -> DataFrame | None:
+    """``dim`` for a broadcast, after its size was checked; null if it has more rows."""
+    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else None
 
 
-def match_vulnerabilities(packages: DataFrame, cves: DataFrame) -> DataFrame:
-    """packages(name, version) x cves(cve_id, pattern, op, fixed, cvss) -> matches.
+def grams(text: Column, n: int) -> Column:
+    """The distinct n-grams of a text; null and shorter texts have none."""
+    last = F.length(text) - n + 1
+    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(n))))
 
-    Exact patterns are an equi-join of any size. Prefix and contained patterns need every name met by every such
-    pattern, but only distinct names: they meet the (size-checked) patterns once, and versions join afterwards.
+
+def contained_pairs(texts: DataFrame, patterns: DataFrame, n: int = 3, max_rows: int = MAX_DIMENSION) -> DataFrame:
+    """(text, pattern) of all distinct texts and non-empty patterns such that the text contains the pattern.
+
+    ``texts`` and ``patterns`` have those one column. Few patterns meet every text by a broadcast. Any number goes
+    through an index: of the n-grams of a pattern the one that the fewest texts have must be in the text, so texts and
+    patterns are joined on that and then compared; shorter patterns are n-grams themselves and joined as such.
+    """
+    t = texts.where(F.length("text") > 0).select("text").distinct()
+    p = patterns.where(F.length("pattern") > 0).select("pattern").distinct()
+    few = bounded(p, max_rows)
+    if few is not None:
+        return t.join(few, F.contains("text", "pattern"))
+    own = t.select("text", F.explode(grams(F.col("text"), n)).alias("gram"))
+    share = own.groupBy("gram").agg(F.count("*").alias("texts"))
+    each = p.where(F.length("pattern") >= n).select("pattern", F.explode(grams(F.col("pattern"), n)).alias("gram"))
+    # a gram that no text has rules its pattern out
+    rare = each.join(share, "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("texts", F.lit(0))).alias("least")).where("least > 0").drop("least")
+    pairs = own.join(rare, "gram").where(F.contains("text", "pattern")).select("text", "pattern")
+    for k in range(1, n):
+        short = p.where(F.length("pattern") == k)
+        pairs = pairs.unionByName(t.select("text", F.explode(grams(F.col("text"), k)).alias("pattern")).join(short, "pattern").select("text", "pattern"))
+    return pairs
+
+
+def match_vulnerabilities(packages: DataFrame, cves: DataFrame, max_rows: int = MAX_DIMENSION) -> DataFrame:
+    """packages(name, version) x cves(cve_id, pattern, op, fixed, cvss) -> matches, whatever the number of patterns.
+
+    Exact patterns are an equi-join; ``prefix*`` ones an equi-join with the prefixes of the distinct names, of the
+    lengths that occur; contained ones go through ``contained_pairs``; those for any package (``*`` or empty) meet all
+    names, as all are matches until the version is compared. Versions join afterwards.
     """
     names = packages.select("name").where(F.col("name").isNotNull()).distinct()
-    patterns = cves.select("pattern").distinct()
-    exact = names.join(patterns, names["name"] == patterns["pattern"]).select("name", "pattern")
-    loose = names.join(bounded(patterns), package_matches(F.col("name"), F.col("pattern")) & (F.col("name") != F.col("pattern"))).select("name", "pattern")
-    pairs = exact.unionByName(loose)
+    pattern = F.col("pattern")
+    patterns = cves.select("pattern").where(pattern.isNotNull()).distinct()
+    anything, prefix = pattern.isin("*", ""), pattern.endswith("*")
+    every = names.join(F.broadcast(patterns.where(anything)))  # two rows at most
+    stems = patterns.where(prefix & ~anything).withColumn("stem", F.expr("left(pattern, length(pattern) - 1)"))
+    lengths = F.broadcast(stems.select(F.length("stem").alias("n")).distinct())  # a row a length of prefix
+    begun = names.join(lengths, F.length("name") >= F.col("n")).select("name", F.expr("left(name, n)").alias("stem")).join(stems, "stem").select("name", "pattern")
+    # a pattern with a star may also be a whole name
+    exact = names.join(patterns.where(prefix & ~anything), (names["name"] == pattern) & ~F.col("name").startswith(F.expr("left(pattern, length(pattern) - 1)"))).select("name", "pattern")
+    inside = contained_pairs(names.select(F.col("name").alias("text")), patterns.where(~prefix & ~anything), max_rows=max_rows).select(F.col("text").alias("name"), "pattern")
+    pairs = every.unionByName(begun).unionByName(exact).unionByName(inside)
     out = packages.join(pairs, "name").join(cves, "pattern")
     return out.where(version_matches(F.col("version"), F.col("op"), F.col("fixed"))).drop("pattern", "op")
 
 
-def lookup_indicators(values: DataFrame, value: str, iocs: DataFrame) -> DataFrame:
+def lookup_indicators(values: DataFrame, value: str, iocs: DataFrame, max_rows: int = MAX_DIMENSION, hot_rows: int = 100_000) -> DataFrame:
     """Each value with the indicator it equals, else the first (by ioc) that it contains or is contained in; else null.
 
-    iocs(ioc, reputation, ...) in lower case. Exact matches are an equi-join; only distinct misses meet the
-    size-checked indicators for containment. Values of fewer than four characters are not searched for containment.
+    iocs(ioc, reputation, ...) in lower case, a row an indicator, any number of them. Exact matches are an equi-join; only
+    distinct misses are searched for containment, either way round, and only those of four characters or more. Values
+    that hold a large share of the rows, null among them, are not bound to one task.
     """
     v = values.withColumn("__v", F.lower(F.trim(F.col(value))))
     seen = v.select("__v").where("__v <> ''").distinct()
-    exact = seen.join(iocs.select(F.col("ioc").alias("__v"), F.col("ioc")), "__v")
+    known = iocs.where(F.length("ioc") > 0)
+    exact = seen.join(known.select(F.col("ioc").alias("__v"), F.col("ioc")), "__v")
     misses = seen.join(exact.select("__v"), "__v", "left_anti").where(F.length("__v") >= 4)
-    dim = bounded(iocs.select("ioc"))
-    near = misses.join(dim, F.contains(F.col("__v"), F.col("ioc")) | F.contains(F.col("ioc"), F.col("__v"))).groupBy("__v").agg(F.min("ioc").alias("ioc"))
-    found = exact.unionByName(near).join(iocs, "ioc")
-    return v.join(found, "__v", "left").drop("__v")
+    holds = contained_pairs(misses.select(F.col("__v").alias("text")), known.select(F.col("ioc").alias("pattern")), max_rows=max_rows).select(F.col("text").alias("__v"), F.col("pattern").alias("ioc"))
+    held = contained_pairs(known.select(F.col("ioc").alias("text")), misses.select(F.col("__v").alias("pattern")), max_rows=max_rows).select(F.col("pattern").alias("__v"), F.col("text").alias("ioc"))
+    near = holds.unionByName(held).groupBy("__v").agg(F.min("ioc").alias("ioc"))
+    found = exact.unionByName(near).join(known, "ioc")
+    return join_lookup(v, found, "__v", "left", min_rows=hot_rows).drop("__v")
 
 
 def lookup_equal(values: DataFrame, value: str, dim: DataFrame, key: str, default: dict[str, str]) -> DataFrame:
@@ -59,11 +99,12 @@ def lookup_equal(values: DataFrame, value: str, dim: DataFrame, key: str, defaul
     return out.fillna(default)
 
 
-def first_pattern(values: DataFrame, value: str, patterns: DataFrame, pattern: str, rank: str) -> DataFrame:
+def first_pattern(values: DataFrame, value: str, patterns: DataFrame, pattern: str, rank: str, max_rows: int = MAX_DIMENSION) -> DataFrame:
     """The first pattern by ``rank`` contained in each value; one aggregate a distinct value."""
-    p = bounded(patterns.select(F.col(pattern).alias("__p"), F.col(rank).alias("__r"), F.struct(*patterns.columns).alias("__row")))
-    hit = values.select(value).distinct().join(p, F.contains(F.col(value), F.col("__p"))).groupBy(value).agg(F.min_by("__row", "__r").alias("__row"))
-    return values.join(hit, value, "left").select(*values.columns, *[F.col(f"__row.{c}").alias(c) for c in patterns.columns])
+    p = patterns.select(F.col(pattern).alias("pattern"), F.col(rank).alias("__r"), F.struct(*patterns.columns).alias("__row")).withColumn("pattern", F.coalesce("pattern", F.lit("")))
+    pairs = contained_pairs(values.select(F.col(value).alias("text")), p.select("pattern"), max_rows=max_rows)
+    hit = pairs.join(p, "pattern").groupBy(F.col("text").alias(value)).agg(F.min_by("__row", "__r").alias("__row"))
+    return join_lookup(values, hit, value, "left").select(*values.columns, *[F.col(f"__row.{c}").alias(c) for c in patterns.columns])
 
 
 def techniques_by_tactic(techniques: DataFrame, tactic: str) -> DataFrame:

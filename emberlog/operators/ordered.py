@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,53 @@ def time_cells(df: DataFrame, us: str, span_us: int, spans: int = 64) -> DataFra
     cell = F.floor(F.col(us) / size)
     tail = F.pmod(F.col(us), F.lit(size)) >= size - span_us
     return df.withColumn("cell", F.explode(F.when(tail, F.array(cell, cell + 1)).otherwise(F.array(cell)))).withColumn("own", F.col("cell") == cell)
+
+
+def scan_in_order(df: DataFrame, key: str, order: Sequence[str], step: Callable, schema: T.StructType, parts: int | None = None) -> DataFrame:
+    """``df`` gone through in ``order`` within each ``key`` (text, not null) by a machine with a small state.
+
+    ``step(state, rows)`` takes an Arrow table of consecutive rows of one key and the state before them (None at the
+    key's beginning), and gives (state after them, Arrow table of results). A key is not bound to one task: range
+    partitions are run from nothing, and those whose incoming state turns out to be another are run again until no state
+    changes - at once where the state forgets its beginning within a partition.
+    """
+    placed = chunked(df.withColumn("__at", F.struct(*order)), [key], ["__at"], parts).drop("__at")
+
+    def number(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield b.append_column("__part", pa.array(np.full(b.num_rows, part, np.int32))).append_column("__no", pa.array(np.arange(n, n + b.num_rows)))
+            n += b.num_rows
+
+    held = materialise(placed.mapInArrow(number, T.StructType([*placed.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__no", T.LongType())])), "scanned")
+    incoming: dict[int, object] = {}
+
+    def walk(table: pa.Table):
+        """(part, first key, last key, state at the end, results)"""
+        t, part = table.sort_by("__no"), table["__part"][0].as_py()
+        keys = t[key].combine_chunks()
+        cuts = [0, *((pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False).nonzero()[0] + 1).tolist()), len(keys)]
+        state, out = incoming.get(part), []
+        for a, b in zip(cuts, cuts[1:]):
+            state, rows = step(state if a == 0 else None, t.slice(a, b - a))
+            out.append(rows)
+        return part, keys[0].as_py(), keys[len(keys) - 1].as_py(), state, pa.concat_tables(out)
+
+    def tell(table: pa.Table) -> pa.Table:
+        part, first, last, state, _ = walk(table)
+        return pa.table([pa.array([part], pa.int32()), pa.array([pickle.dumps((first, last, state))], pa.binary())], names=["part", "told"])
+
+    def states(some: DataFrame) -> dict:
+        return {r["part"]: pickle.loads(r["told"]) for r in some.groupBy("__part").applyInArrow(tell, "part int, told binary").collect()}  # one row a partition
+
+    ends = states(held)
+    order_of = sorted(ends)
+    before = {b: a for a, b in zip(order_of, order_of[1:]) if ends[a][1] == ends[b][0]}
+    while True:
+        new = {b: ends[a][2] for b, a in before.items()}
+        again = [b for b in new if new[b] != incoming.get(b) and ends[b][0] == ends[b][1]]
+        incoming = new
+        if not again:
+            break
+        ends |= states(held.where(F.col("__part").isin(again)))
+    return held.groupBy("__part").applyInArrow(lambda table: walk(table)[4], schema)

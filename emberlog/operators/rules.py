@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.gate import gate_events
 from emberlog.operators.ordered import time_cells
 
 #: Rules whose count is kept by address, else host name; all others count as a whole.
@@ -47,7 +48,7 @@ BUILTIN = [
     Rule("WINDOWS_EVENT_4625_BURST", "Multiple Windows failed logon events", 4, "T1110.003", "tag:auth_failure", 60, 5),
     Rule("BRUTE_FORCE_FALLBACK", "Multiple auth failures from same source (any service)", 3, "T1110", "field:message ~= (?i)failed", 120, 10),
     Rule("WIN_POWERSHELL_4104", "PowerShell script block logging (Event 4104)", 3, "T1059.001", "tag:powershell", actions=(("log-analysis", (("event_id", "4104"),)),)),
-    Rule("WIN_SCHEDULED_TASK_4698", "Scheduled task created (Event 4698)", 4, "T1053.005", "tag:persistence", actions=(("file-analysis", (("path", "${process_path}"),)),)),
+    Rule("WIN_SCHEDULED_TASK_4698", "Scheduled task created (Event 4698) — potential persistence", 4, "T1053.005", "tag:persistence", actions=(("file-analysis", (("path", "${process_path}"),)),)),
     Rule("WIN_SERVICE_INSTALL_7045", "New service installed (Event 7045)", 4, "T1543.003", "tag:service_install"),
     Rule("WIN_DEFENDER_1116", "Windows Defender detected malware (Event 1116)", 5, "T1204", "tag:malware_detection", actions=(("file-analysis", (("path", "${file_path}"),)),)),
     Rule("WIN_PROCESS_4688_CREATION", "Process creation with command line (Event 4688)", 2, "T1059", "tag:process_creation"),
@@ -162,39 +163,67 @@ def compile_condition(condition: str, tags: Column, fields: Column, severity: Co
 
 
 def match_rules(events: DataFrame, rules: list[Rule], tags: str = "tags", fields: str = "fields", severity: str = "severity") -> DataFrame:
-    """A row for each event and matching rule: the event's columns with rule_id, rule_severity, threshold, window_s, corr_key.
+    """A row for each event and matching rule: the event's columns with rule_id, rule_severity, threshold, window_s, suppress_s, corr_key.
 
     All rules are one projection: an array of the ids that match, exploded. No join, no pass a rule.
     """
     if not rules:
-        return events.withColumns({"rule_id": F.lit(""), "rule_severity": F.lit(0), "threshold": F.lit(0), "window_s": F.lit(0), "corr_key": F.lit("")}).where(F.lit(False))
+        return events.withColumns({"rule_id": F.lit(""), "rule_severity": F.lit(0), "threshold": F.lit(0), "window_s": F.lit(0), "suppress_s": F.lit(0), "corr_key": F.lit("")}).where(F.lit(False))
     t, f, s = F.col(tags), F.col(fields), F.col(severity)
-    hits = F.array(*[F.when(compile_condition(r.condition, t, f, s), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("rule_severity"), F.lit(r.threshold).alias("threshold"), F.lit(r.window_s).alias("window_s"))) for r in rules])
+    hits = F.array(*[F.when(compile_condition(r.condition, t, f, s), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("rule_severity"), F.lit(r.threshold).alias("threshold"), F.lit(r.window_s).alias("window_s"), F.lit(r.suppress_s).alias("suppress_s"))) for r in rules])
     out = events.withColumn("__hit", F.explode(F.filter(hits, lambda h: h.isNotNull())))
     keyed = F.coalesce(F.element_at(f, F.lit("client_ip")), F.element_at(f, F.lit("hostname")), F.lit("<nil>"))
     return out.select(*[c for c in out.columns if c != "__hit"], "__hit.*", F.when(F.col("__hit.rule_id").isin(*KEYED_RULES), keyed).otherwise("").alias("corr_key"))
 
 
-def threshold_alerts(matches: DataFrame, time: str, by: list[str], threshold: Column | int, window_s: Column | int, tie: str | None = None) -> DataFrame:
+def threshold_alerts(matches: DataFrame, time: str, by: list[str], threshold: Column | int, window_s: Column | int, tie: str | None = None, lengths: list[int] | None = None) -> DataFrame:
     """Rows whose trailing count within the window reaches the threshold, with ``in_window``; every further event fires again.
 
     The window is (t - w, t] on event time; events of equal time count for each other. ``window_s`` may differ by
-    row: each length is counted for itself. Without a window (null or 0) every row fires, with 1, whatever the threshold.
-    A row without time is in no window and counts 1: it fires where the threshold is 1 or less.
+    row: ``lengths`` names those that occur (found by a pass where it is not given), and all are counted over one sort.
+    Without a window (null or 0) every row fires, with 1, whatever the threshold. A row without time is in no window and
+    counts 1: it fires where the threshold is 1 or less.
     """
+    own = F.lit(window_s) if isinstance(window_s, int) else F.greatest(F.coalesce(window_s.cast("int"), F.lit(0)), F.lit(0))
     if isinstance(window_s, int):
-        if window_s <= 0:
-            return matches.withColumn("in_window", F.lit(1).cast("long"))
-        # by time cells too: most rules count all events under one key
-        timed = matches.where(F.col(time).isNotNull()).withColumn("__us", F.unix_micros(F.col(time).cast("timestamp")))
-        w = Window.partitionBy(*by, "cell").orderBy("__us").rangeBetween(-(window_s * 1_000_000 - 1), 0)
-        counted = time_cells(timed, "__us", window_s * 1_000_000).withColumn("in_window", F.count("*").over(w)).where("own").drop("cell", "own", "__us")
-        counted = counted.unionByName(matches.where(F.col(time).isNull()).withColumn("in_window", F.lit(1).cast("long")))
-        return counted.where(F.col("in_window") >= threshold)
-    length = F.greatest(F.coalesce(window_s.cast("int"), F.lit(0)), F.lit(0))
-    lengths = sorted(r[0] for r in matches.select(length.alias("w")).distinct().collect())  # at most one a rule
-    parts = [threshold_alerts(matches.where(length == n), time, by, threshold, n) for n in lengths]
-    return reduce(DataFrame.unionByName, parts) if parts else matches.withColumn("in_window", F.lit(0).cast("long"))
+        lengths = [window_s]
+    elif lengths is None:
+        lengths = [r[0] for r in matches.select(own.alias("w")).distinct().collect()]  # at most one a rule
+    spans = sorted({n for n in lengths if n > 0})
+    one = F.lit(1).cast("long")
+    if not spans:
+        return matches.withColumn("in_window", one)
+    # by time cells too: most rules count all events under one key
+    counted = matches.withColumns({"__us": F.unix_micros(F.col(time).cast("timestamp")), "__w": own})
+    lone = counted.where((F.col("__w") <= 0) | F.col("__us").isNull()).withColumn("in_window", one)
+    cells = time_cells(counted.where((F.col("__w") > 0) & F.col("__us").isNotNull()), "__us", spans[-1] * 1_000_000)
+    count = lambda n: F.count("*").over(Window.partitionBy(*by, "__w", "cell").orderBy("__us").rangeBetween(-(n * 1_000_000 - 1), 0))
+    n = count(spans[0])
+    for x in spans[1:]:
+        n = F.when(F.col("__w") == x, count(x)).otherwise(n)
+    counted = cells.withColumn("in_window", n).where("own").drop("cell", "own").unionByName(lone)
+    return counted.where((F.col("__w") <= 0) | (F.col("in_window") >= threshold)).drop("__us", "__w")
+
+
+def suppress_matches(matches: DataFrame, rules: list[Rule], time: str, tie: str) -> DataFrame:
+    """Matches that pass the suppression of their rule: none within ``suppress_s`` after one that passed, whatever its key.
+
+    Suppression comes before the threshold, so what it holds back does not count. Matches without time pass.
+    """
+    gaps = sorted({r.suppress_s for r in rules if r.suppress_s > 0})
+    parts = [matches.where((F.col("suppress_s") <= 0) | F.col(time).isNull())]
+    for g in gaps:
+        some = matches.where((F.col("suppress_s") == g) & F.col(time).isNotNull())
+        parts.append(gate_events(some, "rule_id", time, tie, g * 1_000_000).where("passes").drop("passes", "anchor_us"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def evaluate(events: DataFrame, rules: list[Rule], time: str, tie: str) -> DataFrame:
+    """The whole engine over a batch of events: match, suppress, count within the window; a row an alert."""
+    passed = suppress_matches(match_rules(events, rules), rules, time, tie)
+    # a threshold of one needs no window
+    window = F.when(F.col("threshold") > 1, F.col("window_s")).otherwise(0)
+    return threshold_alerts(passed, time, ["rule_id", "corr_key"], F.col("threshold"), window, lengths=[r.window_s for r in rules if r.threshold > 1])
 
 
 def interpolate(template: str, fields: Column) -> Column:

@@ -10,14 +10,14 @@ SHARE = 4
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = 100_000) -> list:
-    """The values of ``key`` with at least ``min_rows`` rows and a quarter of a partition's share of all rows, most frequent first.
+    """The values of ``key``, null among them, with at least ``min_rows`` rows and a quarter of a partition's share of all rows, most frequent first.
 
     Their number needs no cap: there are at most four a shuffle partition. Counts are combined before the shuffle, so
     a hot key costs one row a task.
     """
     most = SHARE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = Observation()
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().observe(seen, F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
+    counts = df.groupBy(key).count().observe(seen, F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
     top = counts.where(F.col("count") >= min_rows).orderBy(F.desc("count"), key).limit(most).collect()
     if not top:
         return []
@@ -40,5 +40,9 @@ def join_lookup(left: DataFrame, lookup: DataFrame, key: str, how: str, cond=Non
     hot = hot_keys(left, key, min_rows)
     if not hot:
         return joined(left, lookup)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return joined(left.where(~is_hot), lookup).unionByName(joined(left.where(is_hot), F.broadcast(lookup.where(is_hot))))
+    is_hot = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(False))
+    if None not in hot:
+        return joined(left.where(~is_hot), lookup).unionByName(joined(left.where(is_hot), F.broadcast(lookup.where(is_hot))))
+    # null meets nothing and needs no shuffle: it goes with the hot ones
+    with_null = is_hot | F.col(key).isNull()
+    return joined(left.where(~with_null), lookup).unionByName(joined(left.where(with_null), F.broadcast(lookup.where(is_hot))))

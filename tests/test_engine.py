@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import decoders as D
 from emberlog.functions.versions import package_matches
-from emberlog.operators import compliance, content_scan, correlate, intel, playbook, process_tree, rules, snapshots, store
+from emberlog.operators import compliance, content_scan, correlate, gate, intel, playbook, process_tree, rules, snapshots, store
 from emberlog.operators.ordered import numbered, with_halo
 from emberlog.operators.skew import join_lookup
 from emberlog.plans import engine_queries
@@ -91,9 +91,31 @@ def test_package_patterns(spark):
     assert df.where(package_matches(F.col("n"), F.col("p")) != F.col("want")).count() == 0
 
 
-def test_bounded_dimension_raises(spark):
-    with pytest.raises(ValueError):
-        intel.bounded(spark.range(5), 4)
+def test_bounded_dimension(spark):
+    assert intel.bounded(spark.range(5), 4) is None and intel.bounded(spark.range(4), 4).count() == 4
+
+
+def test_patterns_by_broadcast_and_by_index_agree(spark):
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abc") for _ in range(n))
+    texts = spark.createDataFrame([(word(r.randrange(9)),) for _ in range(300)] + [(None,)], "text string")
+    patterns = spark.createDataFrame([(word(r.randrange(6)),) for _ in range(120)] + [(None,)], "pattern string")
+    few, many = (sorted(map(tuple, intel.contained_pairs(texts, patterns, max_rows=m).collect())) for m in (10_000, 5))
+    want = {(t.text, p.pattern) for t in texts.collect() for p in patterns.collect() if t.text and p.pattern and p.pattern in t.text}
+    assert few == many == sorted(want)
+    packages = texts.select(F.col("text").alias("name"), F.lit("1.2").alias("version"))
+    cves = patterns.withColumns({"pattern": F.concat("pattern", F.when(F.length("pattern") % 2 == 0, "*").otherwise("")), "cve_id": F.concat(F.lit("C"), F.coalesce("pattern", F.lit("-"))), "op": F.lit("<"), "fixed": F.lit("2.0"), "cvss": F.lit(1.0)}).distinct()
+    some, all_ = (sorted(map(tuple, intel.match_vulnerabilities(packages, cves, m).collect())) for m in (10_000, 5))
+    brute = packages.crossJoin(cves).where(package_matches(F.col("name"), F.col("pattern")) & F.col("name").isNotNull() & F.col("pattern").isNotNull()).drop("pattern", "op").select("name", "version", "cve_id", "fixed", "cvss")
+    assert some == all_ == sorted(map(tuple, brute.collect())) and some
+
+
+def test_many_indicators(spark):
+    """200,000 indicators: exact, contained and containing matches, hot and null values."""
+    iocs = spark.range(200_000).select(F.concat(F.lit("host-"), F.lpad(F.col("id").cast("string"), 7, "0"), F.lit(".example")).alias("ioc"), F.lit("malicious").alias("reputation"))
+    rows = [(1, "HOST-0000017.example "), (2, "see host-0000023.example now"), (3, "-0000042.ex"), (4, "nothing"), (5, None), (6, "hos"), *[(10 + i, "hot") for i in range(50)], *[(100 + i, None) for i in range(50)]]
+    out = {r.id: r.ioc for r in intel.lookup_indicators(spark.createDataFrame(rows, "id int, value string"), "value", iocs, hot_rows=10).collect()}
+    assert len(out) == len(rows) and {k: v for k, v in out.items() if v} == {1: "host-0000017.example", 2: "host-0000023.example", 3: "host-0000042.example"}
 
 
 # ------------------------------------------------------------------ snapshots, trees, store
@@ -229,6 +251,85 @@ def test_all_builtin_rules_are_matched(spark, tmp_path):
     assert got == {"MULTIPLE_FAILED_LOGINS": 1, "FAILED_LOGIN_BRUTE": 1, "WINDOWS_EVENT_4625_BURST": 1, "BRUTE_FORCE_FALLBACK": 2, "WIN_RDP_LOGIN_4625": 1}
 
 
+def test_suppression_comes_before_the_threshold(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    some = [rules.Rule("A", condition="tag:x", window_s=100, threshold=2, suppress_s=10), rules.Rule("B", condition="tag:x", window_s=60, threshold=3), rules.Rule("C", condition="tag:x", threshold=9)]
+    r = random.Random(1)
+    rows = [(i, t0 + dt.timedelta(seconds=s) if s is not None else None, ["x"], {}, 1) for i, s in enumerate([*sorted(r.randrange(400) for _ in range(60)), None])]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, tags array<string>, fields map<string,string>, severity int")
+    got = sorted((a.rule_id, a.id) for a in rules.evaluate(df, some, "ts", "id").collect())
+    want, last, seen = [], None, {"A": [], "B": []}
+    for i, t, *_ in rows:
+        want.append(("C", i))
+        if t is None:
+            continue
+        if last is None or (t - last).total_seconds() >= 10:
+            last = t
+            seen["A"].append(t)
+            if sum((t - x).total_seconds() < 100 for x in seen["A"]) >= 2:
+                want.append(("A", i))
+    times = [x[1] for x in rows if x[1]]
+    want += [("B", i) for i, t, *_ in rows if t and sum(0 <= (t - x).total_seconds() < 60 for x in times) >= 3]
+    assert got == sorted(want)
+
+
+def test_throttling_with_idle_reset(spark):
+    r, t0 = random.Random(7), dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    d = [(i, "r", r.choice("ppppq"), at(r.choice([r.randrange(2000), r.randrange(100)]))) for i in range(160)]
+    c = [(1000 + i, "r", r.choice("ppq"), at(r.randrange(3000))) for i in range(90)]
+    schema = "id long, rule string, process string, ts timestamp"
+    got = {x.id: x.throttled for x in correlate.throttled_at(spark.createDataFrame(d, schema), spark.createDataFrame(c, schema), "rule", "process", "ts", "id", 5, 120).collect()}
+    state, want = {}, {}
+    for t, check, i, p in sorted([(x[3], 0, x[0], x[2]) for x in d] + [(x[3], 1, x[0], x[2]) for x in c]):
+        n, last = state.get(p, (0, None))
+        if not check:
+            state[p] = (n + 1, t)
+        else:
+            if n >= 5 and (t - last).total_seconds() > 120:
+                n = 0
+                state[p] = (0, last)
+            want[i] = n >= 5
+    assert got == want and len(set(want.values())) == 2
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_gate_on_evenly_spaced_events(spark, strict, monkeypatch):
+    """Starts never meet: partitions tell step functions, or are asked where these are long."""
+    df = spark.range(3000).select("id", F.lit("k").alias("k"), F.timestamp_seconds(F.col("id") * 10).alias("ts"))
+    want = [i for i in range(3000) if i % (8 if strict else 7) == 0]
+    for most in (10_000, 3):
+        monkeypatch.setattr(gate, "MAX_STEPS", most)
+        out = gate.gate_events(df, "k", "ts", "id", 70 * 1_000_000, strict, parts=9)
+        assert sorted(r.id for r in out.where("passes").collect()) == want
+    t = np.arange(1_000_000, dtype=np.int64) * 10
+    upto, out = gate._steps(t, 70, strict)
+    assert len(upto) <= 9
+
+
+def test_decayed_mean(spark):
+    r = random.Random(2)
+    rows = [(i, "g", r.random() * 8) for i in range(40)]
+    got = {x.i: x.decayed for x in correlate.decayed_mean(spark.createDataFrame(rows, "i int, g string, v double"), "g", "v", ["i"], 0.01, 10).collect()}
+    held, want = [], {}
+    for i, _, v in rows:
+        held = [h + 0.01 * (v - h) for h in held] + [v]
+        held = held[-10:]
+        want[i] = sum(held) / len(held)
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_decoders_with_separators_and_line_ends(spark):
+    made = "a\x1fb\x1fc\x1fd\x1fe\x1ff"
+    line = '10.0.0.1 - - [10/Oct/2023:13:55:36 +0000] "GET /x\x1fy HTTP/1.1" 200 5 "r\x1f"'
+    out = one(spark, D.decode_apache, made, line)
+    assert out[0] is None and out[1].fields["path"] == "/x\x1fy"
+    out = one(spark, lambda c: D.decode_syslog(c, strict=True), made, "<34>Jan  5 10:00:00 h app a\x1fb", "<34>Jan  5 10:00:00 h app a\rb", "<34>Jan  5 10:00:00 h app a\n", "<34>Jan  5 10:00:00 h app a\nb")
+    assert [o and o.fields["message"] for o in out] == [None, "a\x1fb", "a\rb", None, None]
+    out = one(spark, D.decode_windows, "2024/01/05 10:00:00 (S\x1f) m\x1f", "a\x1fb\x1fc\x1fd")
+    assert out[0].fields["source"] == "S\x1f" and out[1] is None
+
+
 def test_flapping_and_floods_empty(spark):
     df = spark.createDataFrame([], "k string, ts timestamp, id long, v double")
     assert correlate.flapping(df, "k", "ts", "id").count() == 0
