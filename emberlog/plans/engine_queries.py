@@ -738,11 +738,38 @@ def yara_string_scan(spark, d):
     return content_scan.scan_text(table(spark, d, "documents").select("doc_id", "text"), "text", r).select("doc_id", "rule", "match_offset")
 
 
-@query("SELECT rule, count(*) AS n FROM (SELECT 'Base64_Encoded_Strings' AS rule FROM documents WHERE regexp_matches(text, '(?is)[A-Za-z0-9+/]{40,}={0,2}') UNION ALL SELECT 'Hash_And_Address' FROM documents WHERE regexp_matches(text, '(?is)[0-9a-f]{64}') AND regexp_matches(text, '(?is)[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) GROUP BY 1")
+def _textual_sql(rule) -> str:
+    some = [f"contains(lower(text), lower('{x}'))" if not rule.exact else f"contains(text, '{x}')" for x in (y.replace("'", "''") for y in rule.strings)]
+    some += [f"regexp_matches(text, '{x}')" for x in rule.regexes]
+    return f"SELECT '{rule.name}' AS rule, doc_id FROM documents WHERE {' OR '.join(some)}"
+
+
+@query("SELECT rule, count(*) AS n FROM (" + " UNION ALL ".join(_textual_sql(r) for r in content_scan.MATCHER_RULES if r.textual) + ") GROUP BY 1")
 def pii_regex_scan(spark, d):
     return content_scan.scan_text(table(spark, d, "documents").select("doc_id", "text"), "text").groupBy("rule").agg(F.count("*").alias("n"))
 
 
+@query("SELECT rule, count(*) AS n, sum(least_offset) AS offsets FROM (" + " UNION ALL ".join(
+    f"SELECT '{r.name}' AS rule, least({', '.join(f"nullif(instr(lower(text), lower('{x}')), 0)" if not r.exact else f"nullif(instr(text, '{x}'), 0)" for x in r.strings)}, NULL) - 1 AS least_offset FROM documents"
+    for r in content_scan.SCANNER_RULES if r.textual) + ") WHERE least_offset IS NOT NULL GROUP BY 1")
+def scanner_string_rules(spark, d):
+    hits = content_scan.scan_text(table(spark, d, "documents").select("doc_id", "text"), "text", content_scan.SCANNER_RULES)
+    return hits.groupBy("rule").agg(F.count("*").alias("n"), F.sum("match_offset").alias("offsets"))
+
+
+@query("SELECT rule, count(*) AS n FROM (" + " UNION ALL ".join(_textual_sql(r) for r in content_scan.MATCHER_RULES if r.textual) + ") GROUP BY 1")
+def matcher_content_rules(spark, d):
+    """All rules over the contents as bytes; those that need bytes (entropy, executables, ciphers) are compared in tests."""
+    hits = content_scan.scan_content(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", [r for r in content_scan.MATCHER_RULES if r.textual])
+    return hits.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def content_hashes(spark, d):
+    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", content_scan.file_hashes(F.col("text").cast("binary")).alias("h"))
+    return t.select("doc_id", "h.md5", "h.sha1", "h.sha256")
+
+
 @query("WITH c AS (SELECT doc_id, unnest(list_transform(range(1, length(text) + 1), lambda i: text[i])) AS ch FROM documents WHERE length(text) > 0), k AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT doc_id, sum(n) AS total FROM k GROUP BY 1) SELECT d.doc_id, round(coalesce(e, 0), 4) AS entropy FROM documents d LEFT JOIN (SELECT doc_id, -sum(n / total * log2(n / total)) AS e FROM k JOIN t USING (doc_id) GROUP BY 1) USING (doc_id)")
 def text_entropy(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(I.text_entropy(F.col("text")), 4).alias("entropy"))
