@@ -336,9 +336,12 @@ def chained(source: Column, event: Column) -> Column:
     return F.when(event.isNotNull(), event.withField("source", F.concat(source, F.lit("->"), event["source"])))
 
 
-def decode_tree(raw: Column, program: Column, decoders: list[dict]) -> Column:
+def decode_tree(raw: Column, program: Column, decoders: list[dict], tag_map: dict[str, list[str]] | None = None, error_words: list[str] | None = None) -> Column:
     """A parent-child decoder tree as one first-match expression.
 
+    ``tag_map`` adds tags to those of a decoder; a text that has one of ``error_words`` in any letter case gets the tag
+    error and severity 2.
+
     A decoder is a dict with name, and optionally parent, program (regex on the program name), prematch, regex and
     order (names of the regex's groups). Roots match by program name, else by prematch; below a root the first child
     whose prematch and regex match gives the fields. Decoders without ``order`` give tags only.
@@ -350,7 +353,10 @@ def decode_tree(raw: Column, program: Column, decoders: list[dict]) -> Column:
     def emit(chain: list[dict]) -> Column:
         leaf = chain[-1]
         fields = [(n, F.regexp_extract(raw, leaf["regex"], i + 1)) for i, n in enumerate(leaf.get("order", []))] if leaf.get("regex") else []
-        return _event(F.lit(True), f"decoder:tree:{chain[0]['name']}", fields or [("message", raw)], _tags(*[d["name"] for d in chain]), 0)
+        names = [d["name"] for d in chain]
+        tags = _tags(*dict.fromkeys([*names, *(t for n in names for t in (tag_map or {}).get(n, []))]))
+        bad = _any(F.lower(raw), error_words) if error_words else F.lit(False)
+        return _event(F.lit(True), f"decoder:tree:{chain[0]['name']}", fields or [("message", raw)], F.when(bad, F.concat(tags, _tags("error"))).otherwise(tags), F.when(bad, 2).otherwise(0))
 
     out = F.lit(None)
     for root in by_parent.get(None, []):

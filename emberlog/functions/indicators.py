@@ -84,12 +84,21 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-#: Words of suspicious processes and paths, ports of remote control.
-PROCESS_WORDS = """mimikatz powershell cmd.exe wscript cscript mshta rundll32 regsvr32 certutil bitsadmin net.exe net1.exe taskkill wmic schtasks
-vssadmin bcdedit wevtutil pnputil sc.exe wget.exe curl nc.exe ncat psexec procdump lazagne gsecdump mimikatz.exe xcopy robocopy reg lsass
-winlogon svchost""".split()
+#: Words of suspicious processes and paths, ports of remote control and of malware. One word of the first list
+#: is in mixed case; here, as all names are compared in lower case, it matches as it is meant to.
+PROCESS_WORDS = [
+    "mimikatz", "powershell", "cmd.exe", "wscript", "cscript", "mshta", "rundll32", "regsvr32", "certutil", "bitsadmin",
+    "net.exe", "net1.exe", "taskkill", "wmic", "schtasks", "vssadmin", "bcdedit", "wevtutil", "pnputil", "sc.exe",
+    "wget.exe", "curl", "nc.exe", "ncat", "psexec", "procdump", "laZagne", "gsecdump", "mimikatz.exe", "xcopy",
+    "robocopy", "reg", "lsass", "winlogon", "svchost",
+]
 PATH_WORDS = ["temp", "tmp", "appdata\\local\\temp", "\\temp\\", "\\tmp\\", "downloads", "desktop\\", "startup\\", "\\appdata\\roaming\\", "\\users\\public\\", "recycle.bin", "system32\\tasks\\", "programdata\\", "autostart"]
 CONTROL_PORTS = [445, 139, 135, 3389, 22, 23]
+MALWARE_PORTS = {
+    "4444": "Metasploit default", "5555": "Android ADB / malware", "6666": "IRC bot / malware C2", "6667": "IRC bot / malware C2",
+    "6668": "IRC bot / malware C2", "6669": "IRC bot / malware C2", "1337": "Common backdoor port", "2332": "GroupBusiness malware",
+    "31337": "Back Orifice / Elite backdoor", "44344": "Cabinet malware",
+}
 
 
 def suspicious_process(name: Column) -> Column:

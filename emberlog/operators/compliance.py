@@ -72,6 +72,13 @@ def control_report(controls: DataFrame, results: DataFrame, manual: DataFrame |
     return out.select("framework", "control_id", "category", status.alias("status"))
 
 
+def with_evidence(report: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``report`` with ``evidence_items`` and ``last_evidence`` of evidence(framework, control_id, collected_at); none is 0 and null."""
+    on = ["framework", "control_id"]
+    e = evidence.groupBy(*on).agg(F.count("*").alias("evidence_items"), F.max("collected_at").alias("last_evidence"))
+    return report.join(e, on, "left").withColumn("evidence_items", F.coalesce("evidence_items", F.lit(0).cast("long")))
+
+
 def coverage(report: DataFrame, by: list[str]) -> DataFrame:
     """Counts of controls by status and score = passed / total * 100, per framework or category."""
     is_ = lambda s: F.count_if(F.col("status") == s)

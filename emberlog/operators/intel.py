@@ -99,6 +99,15 @@ def lookup_equal(values: DataFrame, value: str, dim: DataFrame, key: str, defaul
     return out.fillna(default)
 
 
+def list_lookup(values: DataFrame, key: str, lists: DataFrame, name: str, out: str) -> DataFrame:
+    """``values`` with ``out``: the value that the list ``name`` of lists(list, key, value) has for the key, null where it has none.
+
+    Of a key listed twice the greatest value counts. Hot keys are not bound to one task.
+    """
+    some = lists.where(F.col("list") == name).groupBy(F.col("key").alias(key)).agg(F.max("value").alias(out))
+    return join_lookup(values, some, key, "left")
+
+
 def first_pattern(values: DataFrame, value: str, patterns: DataFrame, pattern: str, rank: str, max_rows: int = MAX_DIMENSION) -> DataFrame:
     """The first pattern by ``rank`` contained in each value; one aggregate a distinct value."""
     p = patterns.select(F.col(pattern).alias("pattern"), F.col(rank).alias("__r"), F.struct(*patterns.columns).alias("__row")).withColumn("pattern", F.coalesce("pattern", F.lit("")))

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.operators.skew import join_lookup
+
 _VAR = re.compile(r"\$\{([^}]+)\}")
 REGISTRY: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
 
@@ -34,6 +36,7 @@ class Step:
     params: dict = field(default_factory=dict)
     condition: str = ""
     optional: bool = False
+    wait: bool = False
 
     @property
     def name(self) -> str:
@@ -72,32 +75,60 @@ def condition(expr: str, columns: list[str]) -> Column:
     return ~value.isin("", "false", "0", "<nil>")
 
 
-def run_playbook(indicators: DataFrame, key: str, steps: list[Step], registry: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(state, timeline): every step applied in order. Rows whose guard is false skip the step; a step that has no
-    function ends the playbook unless it is optional; rows without output get null."""
+def run_playbook(indicators: DataFrame, key: str, steps: list[Step], registry: dict | None = None, approvals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(state, timeline): every step applied in order to the rows that still run. ``status`` of a row ends as completed,
+    failed, denied or waiting_approval.
+
+    Rows whose guard is false skip the step. A step that waits goes on for rows that approvals(key, step, decision) lists as
+    approved, ends for those denied (of several decisions denied counts), and holds the others. A step that has no function
+    or raises ends the playbook unless it is optional; rows without output get null.
+    """
     registry = REGISTRY if registry is None else registry
-    state, events = indicators, [(0, "playbook_started", "", F.lit(True))]
+    state, events = indicators.withColumns({"__live": F.lit(True), "status": F.lit("running")}), [(0, "playbook_started", "", F.lit(True))]
     for i, s in enumerate(steps, 1):
-        guard = condition(s.condition, state.columns)
-        col = f"{s.agent}_{s.action}"
-        fn = registry.get(s.name)
-        if fn is None:
-            events.append((i, "step_failed_optional" if s.optional else "step_failed", s.name, F.lit(True)))
+        col, on, fn = f"{s.agent}_{s.action}", f"ran_{i}", registry.get(s.name)
+        state = state.withColumn(on, F.col("__live") & condition(s.condition, state.columns))
+        events.append((i, "step_skipped", s.name, F.col(f"live_{i}") & ~F.coalesce(F.col(f"guard_{i}"), F.lit(False))))
+        state = state.withColumns({f"live_{i}": F.col("__live"), f"guard_{i}": F.col(on)})
+        if s.wait:
+            said = f"said_{i}"
+            if approvals is None:
+                state = state.withColumn(said, F.lit(None).cast("string"))
+            else:
+                state = state.join(approvals.where(F.col("step") == s.name).groupBy(key).agg(F.max("decision").alias(said)), key, "left")
+            asked, agreed, denied = F.col(f"guard_{i}"), F.coalesce(F.col(said) == "approved", F.lit(False)), F.coalesce(F.col(said) == "denied", F.lit(False))
+            events += [(i, "step_waiting_approval", s.name, asked), (i, "step_approved", s.name, asked & agreed), (i, "step_denied", s.name, asked & denied)]
+            ends = asked & ~agreed
+            state = state.withColumns({"status": F.when(asked & denied, "denied").when(ends, "waiting_approval").otherwise(F.col("status")), on: asked & agreed, "__live": F.col("__live") & ~ends})
+        out = None
+        if fn is not None:
+            params = {k: interpolate(v, state.columns) if isinstance(v, str) else v for k, v in s.params.items()}
+            try:
+                out = fn(state.where(F.col(on)), params)
+            except Exception:  # noqa: BLE001 - whatever a step's function raises ends the step
+                out = None
+        if out is None:
+            events.append((i, "step_failed_optional" if s.optional else "step_failed", s.name, F.col(on)))
             if s.optional:
                 continue
-            break
-        state = state.withColumn(f"ran_{i}", guard)
-        params = {k: interpolate(v, state.columns) if isinstance(v, str) else v for k, v in s.params.items()}
-        out = fn(state.where(F.col(f"ran_{i}")), params)
+            state = state.withColumns({"status": F.when(F.col(on), "failed").otherwise(F.col("status")), "__live": F.col("__live") & ~F.col(on)})
+            continue
         packed = out.select(key, F.struct(*[c for c in out.columns if c != key]).alias(col))
         state = state.join(packed, key, "left")
-        events.append((i, "step_completed", s.name, F.col(f"ran_{i}")))
-        events.append((i, "step_skipped", s.name, ~F.col(f"ran_{i}")))
-    else:
-        events.append((len(steps) + 1, "playbook_completed", "", F.lit(True)))
+        events.append((i, "step_completed", s.name, F.col(on)))
+    events.append((len(steps) + 1, "playbook_completed", "", F.col("__live")))
+    state = state.withColumn("status", F.when(F.col("__live"), "completed").otherwise(F.col("status")))
     rows = F.filter(F.array(*[F.struct(F.lit(n).alias("step_no"), F.lit(e).alias("event"), F.lit(name).alias("step"), c.alias("on")) for n, e, name, c in events]), lambda x: x["on"])
     timeline = state.select(key, F.explode(rows).alias("e")).select(key, "e.step_no", "e.event", "e.step")
-    return state, timeline
+    return state.drop("__live", *[c for i in range(1, len(steps) + 1) for c in (f"live_{i}", f"guard_{i}", f"said_{i}")]), timeline
+
+
+def route(alerts: DataFrame, playbook: str, books: DataFrame) -> DataFrame:
+    """``alerts`` with ``route``: run where books(playbook) has the playbook, none where the alert names no one, else paused."""
+    known = books.select(F.col("playbook").alias("__book")).where("__book IS NOT NULL").distinct().withColumn("__known", F.lit(True))
+    out = join_lookup(alerts.withColumn("__book", F.col(playbook)), known, "__book", "left")
+    named = F.coalesce(F.col(playbook) != "", F.lit(False))
+    return out.withColumn("route", F.when(F.col("__known"), "run").when(named, "paused").otherwise("none")).drop("__book", "__known")
 
 
 def score_result(r: Column) -> Column:

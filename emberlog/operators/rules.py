@@ -11,11 +11,14 @@ from __future__ import annotations
 import ipaddress
 import json
 import re
+import re._parser as re_parser
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from emberlog.operators.gate import gate_events
 from emberlog.operators.ordered import time_cells
@@ -162,16 +165,82 @@ def compile_condition(condition: str, tags: Column, fields: Column, severity: Co
     return never
 
 
+#: From so many rules over the message on, one pass of an automaton over the message finds those that can match.
+MANY = 64
+MESSAGE = "field:message ~= "
+
+
+def literal_of(pattern: str) -> str:
+    """The longest text (in lower case) that every match of a pattern contains; empty if there is none."""
+    try:
+        parsed = re_parser.parse(pattern, re.IGNORECASE)
+    except re.error:
+        return ""
+    best = run = ""
+    for op, arg in parsed:
+        if str(op) == "LITERAL":
+            run += chr(arg).lower()
+            best = max(best, run, key=len)
+        elif str(op) != "AT":
+            run = ""
+    return best if best.isascii() else ""
+
+
+def _message_matcher(patterns: list[tuple[int, str]]):
+    """Messages -> the numbers of the patterns that match: their literals by one automaton, then the patterns themselves."""
+    by_literal: dict[str, list[int]] = {}
+    for i, p in patterns:
+        by_literal.setdefault(literal_of(p), []).append(i)
+    sources = dict(patterns)
+
+    def prepare():
+        compiled = {i: re.compile(p, re.IGNORECASE) for i, p in sources.items()}
+        words = [w for w in by_literal if w]
+        try:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for w in words:
+                automaton.add_word(w, w)
+            if words:
+                automaton.make_automaton()
+            seen = (lambda text: {w for _, w in automaton.iter(text)}) if words else (lambda text: set())
+        except ImportError:
+            seen = lambda text: {w for w in words if w in text}
+        return compiled, seen
+
+    state = []
+
+    @pandas_udf("array<int>")
+    def matches(texts: pd.Series) -> pd.Series:
+        if not state:
+            state.append(prepare())
+        compiled, seen = state[0]
+        always = by_literal.get("", [])
+        return pd.Series([sorted(i for i in [*always, *(i for w in seen(t.lower()) for i in by_literal[w])] if compiled[i].search(t)) for t in texts])
+
+    return matches
+
+
 def match_rules(events: DataFrame, rules: list[Rule], tags: str = "tags", fields: str = "fields", severity: str = "severity") -> DataFrame:
     """A row for each event and matching rule: the event's columns with rule_id, rule_severity, threshold, window_s, suppress_s, corr_key.
 
-    All rules are one projection: an array of the ids that match, exploded. No join, no pass a rule.
+    All rules are one projection: an array of the ids that match, exploded. No join, no pass a rule. Where there are
+    hundreds of patterns over the message, these are matched in Arrow batches by an automaton of their literals.
     """
     if not rules:
         return events.withColumns({"rule_id": F.lit(""), "rule_severity": F.lit(0), "threshold": F.lit(0), "window_s": F.lit(0), "suppress_s": F.lit(0), "corr_key": F.lit("")}).where(F.lit(False))
     t, f, s = F.col(tags), F.col(fields), F.col(severity)
-    hits = F.array(*[F.when(compile_condition(r.condition, t, f, s), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("rule_severity"), F.lit(r.threshold).alias("threshold"), F.lit(r.window_s).alias("window_s"), F.lit(r.suppress_s).alias("suppress_s"))) for r in rules])
-    out = events.withColumn("__hit", F.explode(F.filter(hits, lambda h: h.isNotNull())))
+    told = lambda r: F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("rule_severity"), F.lit(r.threshold).alias("threshold"), F.lit(r.window_s).alias("window_s"), F.lit(r.suppress_s).alias("suppress_s"))
+    over = [(i, r.condition[len(MESSAGE) :].strip('"')) for i, r in enumerate(rules) if r.condition.startswith(MESSAGE) and _java_pattern(r.condition[len(MESSAGE) :]) is not None]
+    if len(over) < MANY:
+        hits = F.filter(F.array(*[F.when(compile_condition(r.condition, t, f, s), told(r)) for r in rules]), lambda h: h.isNotNull())
+    else:
+        others = [i for i in range(len(rules)) if i not in dict(over)]
+        some = F.filter(F.array(*[F.when(compile_condition(rules[i].condition, t, f, s), F.lit(i)) for i in others]), lambda h: h.isNotNull()) if others else F.array().cast("array<int>")
+        all_rules = F.array(*[told(r) for r in rules])
+        hits = F.transform(F.concat(some, _message_matcher(over)(field_text(f, "message"))), lambda i: F.get(all_rules, i))
+    out = events.withColumn("__hit", F.explode(hits))
     keyed = F.coalesce(F.element_at(f, F.lit("client_ip")), F.element_at(f, F.lit("hostname")), F.lit("<nil>"))
     return out.select(*[c for c in out.columns if c != "__hit"], "__hit.*", F.when(F.col("__hit.rule_id").isin(*KEYED_RULES), keyed).otherwise("").alias("corr_key"))
 

@@ -28,6 +28,36 @@ def appeared_and_gone(before: DataFrame, after: DataFrame, keys: list[str]) -> D
     return new.unionByName(gone)
 
 
+CONNECTION = ["local_ip", "local_port", "remote_ip", "remote_port", "protocol"]
+
+
+def diff_connections(before: DataFrame, after: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """(connection, change): connect and listen for new ones, disconnect for those gone; a connection without a remote end
+    neither connects nor disconnects. Nulls are equal here; ``extra`` columns (a host) belong to the key. ``after`` has ``state``."""
+    keys = [*extra, *CONNECTION]
+    remote = F.coalesce((F.col("remote_ip") != "") & (F.col("remote_ip") != "*"), F.lit(False))
+    held = lambda df: df.groupBy(*keys).agg(F.bool_or(F.coalesce(F.col("state").isin("LISTEN", "LISTENING"), F.lit(False))).alias("listens")) if "state" in df.columns else df.select(*keys).distinct().withColumn("listens", F.lit(False))
+    was, now = held(before), held(after)
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    new, gone = now.join(was, same(now, was), "left_anti"), was.join(now, same(was, now), "left_anti")
+    kinds = F.array_compact(F.array(F.when(remote, F.lit("connect")), F.when(F.col("listens"), F.lit("listen"))))
+    return new.select(*keys, F.explode(kinds).alias("change")).unionByName(gone.where(remote).select(*keys, F.lit("disconnect").alias("change")))
+
+
+def parse_processes(lines: DataFrame, line: str) -> DataFrame:
+    """(pid, user, name, cmdline) of ``ps aux`` listings; the head line and shorter lines are left out."""
+    m = r"^(\S+)\s+(\d+)\s+(?:\S+\s+){8}(.+)$"
+    g = lambda i: F.regexp_extract(line, m, i)
+    first = F.regexp_extract(g(3), r"^(\S+)", 1)
+    return lines.where(F.col(line).rlike(m)).select(g(2).cast("long").alias("pid"), g(1).alias("user"), F.element_at(F.split(first, "/"), -1).alias("name"), g(3).alias("cmdline"))
+
+
+def parse_proc_status(files: DataFrame, content: str) -> DataFrame:
+    """(pid, ppid, name) of the text of status files."""
+    g = lambda k: F.regexp_extract(content, rf"(?m)^{k}:\s*(.*)$", 1)
+    return files.where(F.col(content).rlike(r"(?m)^Pid:")).select(g("Pid").try_cast("long").alias("pid"), g("PPid").try_cast("long").alias("ppid"), g("Name").alias("name"))
+
+
 def change_severity(change: Column) -> Column:
     return F.when(change.isin("modified", "deleted"), 5).otherwise(3)
 
@@ -57,9 +87,13 @@ def parse_connections(lines: DataFrame, line: str) -> DataFrame:
 
 
 def parse_packages(lines: DataFrame, line: str) -> DataFrame:
-    """(name, version) from package listings: ``ii name[:arch] version ...`` or ``name version``."""
-    parts = F.split(F.trim(line), r"\s+")
-    listed = F.get(parts, F.lit(0)).isin("ii", "hi")
-    name = F.when(listed, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
-    version = F.when(listed, F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(1)))
-    return lines.select(F.split(name, ":")[0].alias("name"), version.alias("version")).where("name <> '' AND version IS NOT NULL")
+    """(name, version) from package listings: ``ii name[:arch] version ...``, ``name version``, ``name-version-release.arch``
+    or an object with DisplayName and DisplayVersion a line."""
+    text = F.trim(line)
+    parts = F.split(text, r"\s+")
+    listed, is_json = F.get(parts, F.lit(0)).isin("ii", "hi"), F.substring(text, 1, 1) == "{"
+    one = F.size(parts) == 1
+    whole = r"^(.+)-([^-]+-[^-]+?)(?:\.(?:x86_64|noarch|i[3-6]86|aarch64))?$"
+    name = F.when(is_json, F.get_json_object(text, "$.DisplayName")).when(listed, F.get(parts, F.lit(1))).when(one, F.regexp_extract(text, whole, 1)).otherwise(F.get(parts, F.lit(0)))
+    version = F.when(is_json, F.get_json_object(text, "$.DisplayVersion")).when(listed, F.get(parts, F.lit(2))).when(one, F.nullif(F.regexp_extract(text, whole, 2), F.lit(""))).otherwise(F.get(parts, F.lit(1)))
+    return lines.select(F.when(is_json, name).otherwise(F.split(name, ":")[0]).alias("name"), version.alias("version")).where("name <> '' AND version IS NOT NULL")

@@ -99,3 +99,68 @@ def link_once(links: DataFrame, left: str, right: str) -> DataFrame:
 def timeline(df: DataFrame, entity: str, at: Column, tie: str) -> DataFrame:
     """Events of each entity numbered in order."""
     return numbered(df.withColumn("__at", at), entity, ["__at", tie], "step").drop("__at")
+
+
+def finish_tasks(tasks: DataFrame, key: str, outcomes: DataFrame) -> DataFrame:
+    """``tasks`` after completions and failures: outcomes(key, result, error) set status, result and error; others stay."""
+    o = outcomes.select(key, F.col("result").alias("__r"), F.col("error").alias("__e"), F.lit(True).alias("__done"))
+    done = F.coalesce("__done", F.lit(False))
+    j = tasks.join(o, key, "left")
+    pick = {"status": F.when(done, F.when(F.col("__e").isNotNull(), "failed").otherwise("completed")).otherwise(F.col("status")), "result": F.when(done, F.col("__r")).otherwise(F.col("result")), "error": F.when(done, F.col("__e")).otherwise(F.col("error"))}
+    return j.select(*[pick.get(c, F.col(c)).alias(c) for c in tasks.columns])
+
+
+def advance(hunts: DataFrame, next_run: str, every_s: str, now: Column) -> DataFrame:
+    """Hunts that ran at ``now``: their next run is one interval later."""
+    return hunts.withColumn(next_run, F.timestamp_micros(F.unix_micros(now.cast("timestamp")) + F.col(every_s) * 1_000_000).cast(hunts.schema[next_run].dataType))
+
+
+def dismissals(events: DataFrame, data: str, threshold: int = 10) -> DataFrame:
+    """(rule_name, process_name, dismissals, throttled) of dismissed alerts given as JSON: the rule is that of the annotations,
+    else the event's type; the process its name, else the file's path, else unknown."""
+    g = lambda p: F.get_json_object(data, f"$.{p}")
+    rule = F.coalesce(g("annotations.yara_rule"), g("annotations.correlation"), g("type"))
+    n = events.where(rule.isNotNull()).groupBy(rule.alias("rule_name"), F.coalesce(g("process.name"), g("file.path"), F.lit("unknown")).alias("process_name")).agg(F.count("*").alias("dismissals"))
+    return n.withColumn("throttled", F.col("dismissals") >= threshold)
+
+
+def replace_all(df: DataFrame, path: str) -> DataFrame:
+    """A baseline replaced as a whole: the new table is written beside the old ones and read back; readers of an old one keep it."""
+    import uuid
+
+    to = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+#: What undoes an action on a host.
+UNDO = {"isolate_host": "release_host", "quarantine_file": "restore_file", "block_ip": "unblock_ip", "disable_user": "enable_user"}
+
+
+def rollbacks(actions: DataFrame, key: str, kind: str, target: str, status: str, updated: str) -> DataFrame:
+    """(key, action, target) that undo the completed actions which can be undone, by their last version."""
+    undo = F.lit(None).cast("string")
+    for k, v in UNDO.items():
+        undo = F.when(F.col(kind) == k, v).otherwise(undo)
+    last = newest_version(actions, key, updated)
+    return last.where((F.lower(F.trim(status)) == "completed") & undo.isNotNull()).select(key, undo.alias("action"), target)
+
+
+def render_case(case: dict, events: DataFrame, indicators: DataFrame, form: str = "text", max_rows: int = 10_000) -> str:
+    """A case with its events and indicators (at most ``max_rows`` of each, checked) as text, md or html."""
+    from html import escape
+
+    rows = []
+    for df, order in ((events, "created_at"), (indicators, "value")):
+        some = df.orderBy(order).limit(max_rows + 1).collect()
+        if len(some) > max_rows:
+            raise ValueError(f"case has more than {max_rows} rows")
+        rows.append(some)
+    head = [(k, case.get(k)) for k in ("id", "title", "status", "severity", "assignee")]
+    lines = [f"{e['created_at']} {e['event_type']}: {e['content']}" for e in rows[0]]
+    found = [f"{i['type']}: {i['value']}" for i in rows[1]]
+    if form == "html":
+        items = lambda xs: "<ul>" + "".join(f"<li>{escape(str(x))}</li>" for x in xs) + "</ul>"
+        return f"<h1>{escape(str(case.get('title')))}</h1>" + items(f"{k}: {v}" for k, v in head) + "<h2>Events</h2>" + items(lines) + "<h2>Indicators</h2>" + items(found)
+    mark = ("# ", "## ", "- ") if form == "md" else ("", "", "  ")
+    return "\n".join([mark[0] + str(case.get("title")), *[f"{mark[2]}{k}: {v}" for k, v in head], mark[1] + "Events", *[mark[2] + x for x in lines], mark[1] + "Indicators", *[mark[2] + x for x in found]])

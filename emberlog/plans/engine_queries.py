@@ -516,9 +516,11 @@ def indicator_kinds(spark, d):
     return table(spark, d, "dedup_keys").groupBy(I.is_hash(k).alias("valid"), I.indicator_kind(k).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) SELECT DISTINCT doc_id, w AS indicator FROM t WHERE regexp_matches(w, '^[0-9a-f]+$') AND length(w) IN (32, 40, 64)")
+@query("WITH l AS (SELECT 'd' || doc_id AS place, text FROM documents UNION ALL SELECT 'k' || row_no, 'seen ' || key_hash || ' twice' FROM dedup_keys), t AS (SELECT place, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM l) SELECT DISTINCT place, w AS indicator FROM t WHERE regexp_matches(w, '^[0-9a-f]+$') AND length(w) IN (32, 40, 64)")
 def extract_indicators(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(I.hash_tokens(F.col("text"))).alias("indicator"))
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("place"), "text")
+    keys = table(spark, d, "dedup_keys").select(F.concat(F.lit("k"), F.col("row_no").cast("string")).alias("place"), F.concat(F.lit("seen "), F.col("key_hash"), F.lit(" twice")).alias("text"))
+    return docs.union(keys).select("place", F.explode(I.hash_tokens(F.col("text"))).alias("indicator"))
 
 
 @query("SELECT (sum(x) FILTER (x > 0)) AS score, CAST(count(*) AS BIGINT) AS n, CASE WHEN event_type = 'error' THEN 'malicious' WHEN event_type = 'click' THEN 'suspicious' ELSE 'clean' END AS verdict FROM (SELECT event_type, CAST(event_id % 10 AS BIGINT) AS x FROM events) GROUP BY event_type = 'error', event_type = 'click', verdict")
@@ -632,9 +634,9 @@ def top_events(spark, d):
     return store.recent(table(spark, d, "events").select("event_id", "ts", "value"), "ts", "event_id", 50)
 
 
-@query("SELECT id, title FROM cases WHERE contains(lower(coalesce(title, '')), 'host') OR contains(lower(coalesce(description, '')), 'host')")
+@query("SELECT id, title FROM cases WHERE contains(lower(coalesce(title, '')), 'plant') OR contains(lower(coalesce(description, '')), 'plant')")
 def search_ilike(spark, d):
-    return store.search(table(spark, d, "cases"), "HOST", ["title", "description"]).select("id", "title")
+    return store.search(table(spark, d, "cases"), "PLANT", ["title", "description"]).select("id", "title")
 
 
 @query("SELECT id, status, severity FROM cases WHERE severity = 'high'")
@@ -750,7 +752,7 @@ def pii_regex_scan(spark, d):
 
 
 @query("SELECT rule, count(*) AS n, sum(least_offset) AS offsets FROM (" + " UNION ALL ".join(
-    f"SELECT '{r.name}' AS rule, least({', '.join(f"nullif(instr(lower(text), lower('{x}')), 0)" if not r.exact else f"nullif(instr(text, '{x}'), 0)" for x in r.strings)}, NULL) - 1 AS least_offset FROM documents"
+    f"SELECT '{r.name}' AS rule, least({', '.join(f"nullif(instr(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), lower('{x}')), 0)" if not r.exact else f"nullif(instr(text, '{x}'), 0)" for x in r.strings)}, NULL) - 1 AS least_offset FROM documents"
     for r in content_scan.SCANNER_RULES if r.textual) + ") WHERE least_offset IS NOT NULL GROUP BY 1")
 def scanner_string_rules(spark, d):
     hits = content_scan.scan_text(table(spark, d, "documents").select("doc_id", "text"), "text", content_scan.SCANNER_RULES)

@@ -1,13 +1,22 @@
-"""Streaming forms: windowed thresholds, suppression, first-seen, kept in checkpointed state."""
+"""Streaming forms: rules with windows and suppression, first-seen, windowed counts, kill-chain and flood inputs, sinks.
+
+What the batch operators compute from a bounded look-back is computed on a stream by micro-batches: a batch meets the
+matches that the look-back still needs, kept as a table with a version for each batch, and only alerts of its own events
+come out. State, counts and gates so are those of the batch operators - hot keys are split by time cells, nothing runs
+in Python per key, and time is event time throughout. A batch that is repeated after a failure reads the version before it and
+overwrites its own output, so each alert is written once.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time as clock
+from collections.abc import Callable, Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from emberlog.operators.rules import Rule, match_rules, suppress_matches, threshold_alerts
 
 
 def stream_first_seen(events: DataFrame, keys: list[str], time: str, within: str) -> DataFrame:
@@ -21,32 +30,50 @@ def stream_counts(events: DataFrame, time: str, by: list[str], window: str, slid
     return n.where(F.col("events") >= threshold).select(*by, F.col("window.start").alias("window_start"), "events")
 
 
-def stream_threshold(events: DataFrame, key: str, time: str, event_id: str, window_s: int, threshold: int, suppress_s: int = 0) -> DataFrame:
-    """(key, event_id, at_us, in_window): events whose trailing count reaches the threshold, after suppression a key.
+def stream_sessions(events: DataFrame, time: str, by: list[str], gap: str, late: str) -> DataFrame:
+    """(by, session_start, session_end, events): events of a key (at least one column) without a pause longer than ``gap``."""
+    n = events.withWatermark(time, late).groupBy(F.session_window(time, gap), *by).agg(F.count("*").alias("events"))
+    return n.select(*by, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "events")
+
 
-    State a key: the times within the window and the last alert; it is dropped once ``window_s + suppress_s`` passed
-    without an event. Events of a batch are taken in order of time; later batches do not change earlier alerts.
+class RuleStream:
+    """The rule engine over a stream: ``start`` writes alerts below ``path``, a folder a batch, read by ``alerts``.
+
+    An alert is an event whose rule fires given the events before it in time that have arrived with it or earlier. Events
+    later than ``late_s`` behind the newest still fire where the kept matches let them; alerts written stay as they are.
     """
-    window_us, suppress_us = window_s * 1_000_000, suppress_s * 1_000_000
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, last = state.get if state.exists else ([], None)
-        times, rows = list(times), []
-        data = pd.concat(list(batches)).sort_values(["at_us", "event_id"])
-        for at, eid in zip(data["at_us"], data["event_id"]):
-            times = [x for x in times if x > at - window_us] + [int(at)]
-            if len(times) >= threshold and (last is None or at - last >= suppress_us):
-                rows.append((k[0], eid, at, len(times)))
-                last = int(at) if suppress_us else None
-        state.update((times, last))
-        state.setTimeoutDuration((window_s + suppress_s + 1) * 1000)
-        yield pd.DataFrame(rows, columns=["key", "event_id", "at_us", "in_window"])
-
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("string").alias("event_id"), F.unix_micros(F.col(time).cast("timestamp")).alias("at_us"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id string, at_us long, in_window long", "times array<long>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def __init__(self, spark: SparkSession, path: str, rules: list[Rule], time: str, tie: str, late_s: int = 0):
+        self.spark, self.path, self.rules, self.time, self.tie, self.late_s = spark, path.rstrip("/"), rules, time, tie, late_s
+        self.look_back = max([r.window_s for r in rules] + [r.suppress_s for r in rules] + [0]) + late_s
+
+    def _state(self, number: int) -> DataFrame | None:
+        """The kept matches after the last batch before ``number``."""
+        try:
+            return self.spark.read.option("basePath", f"{self.path}/state").parquet(f"{self.path}/state/batch={number - 1}").drop("batch")
+        except AnalysisException:
+            return None
+
+    def step(self, batch: DataFrame, number: int) -> None:
+        """One micro-batch; safe to repeat."""
+        new = match_rules(batch, self.rules).withColumn("__new", F.lit(True))
+        old = self._state(number) if number else None
+        both = new if old is None else new.unionByName(old.withColumn("__new", F.lit(False)))
+        # what passed before passes again: it lies as far apart as suppression asks
+        passed = suppress_matches(both, self.rules, self.time, self.tie)
+        window = F.when(F.col("threshold") > 1, F.col("window_s")).otherwise(0)
+        fired = threshold_alerts(passed, self.time, ["rule_id", "corr_key"], F.col("threshold"), window, lengths=[r.window_s for r in self.rules if r.threshold > 1])
+        fired.where("__new").drop("__new").write.mode("overwrite").parquet(f"{self.path}/alerts/batch={number}")
+        us = F.unix_micros(F.col(self.time).cast("timestamp"))
+        newest = passed.agg(F.max(us)).first()[0]
+        kept = passed.where(us > newest - self.look_back * 1_000_000) if newest is not None else passed
+        kept.drop("__new").write.mode("overwrite").parquet(f"{self.path}/state/batch={number}")
+
+    def start(self, events: DataFrame, checkpoint: str, **trigger):
+        return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.step).trigger(**(trigger or {"availableNow": True})).start()
+
+    def alerts(self) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/alerts").parquet(f"{self.path}/alerts/batch=*").drop("batch")
 
 
 def to_tables(stream: DataFrame, path: str, checkpoint: str, name: str):
@@ -55,3 +82,37 @@ def to_tables(stream: DataFrame, path: str, checkpoint: str, name: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def send_batches(rows: DataFrame, send: Callable[[list[dict]], None], size: int = 100, attempts: int = 6, first_wait_s: float = 0.5, most_wait_s: float = 30.0, per_second: int = 500) -> None:
+    """Hand ``rows`` to ``send`` in lists of ``size``, from every task by itself, at most ``per_second`` rows a task.
+
+    A list that fails is sent again after a wait that doubles up to ``most_wait_s``; after ``attempts`` the task fails and
+    Spark repeats it, so a receiver may see a list twice and should know it by its ids. Nothing is dropped.
+    """
+
+    def task(part: Iterable) -> None:
+        held: list[dict] = []
+
+        def flush() -> None:
+            wait = first_wait_s
+            for n in range(attempts):
+                try:
+                    send(list(held))
+                    break
+                except Exception:
+                    if n + 1 == attempts:
+                        raise
+                    clock.sleep(wait)
+                    wait = min(wait * 2, most_wait_s)
+            clock.sleep(len(held) / per_second)
+            held.clear()
+
+        for row in part:
+            held.append(row.asDict(recursive=True))
+            if len(held) >= size:
+                flush()
+        if held:
+            flush()
+
+    rows.foreachPartition(task)

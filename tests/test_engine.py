@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import decoders as D
 from emberlog.functions.versions import package_matches
-from emberlog.operators import compliance, content_scan, correlate, gate, intel, playbook, process_tree, rules, snapshots, store
+from emberlog.operators import compliance, content_scan, correlate, gate, intel, playbook, process_tree, rule_sets, rules, snapshots, store
 from emberlog.operators.ordered import numbered, with_halo
 from emberlog.operators.skew import join_lookup
 from emberlog.plans import engine_queries
-from emberlog.sources import logs
+from emberlog.sources import feeds, logs
 from emberlog.streaming import stateful
 
 
@@ -337,6 +337,116 @@ def test_flapping_and_floods_empty(spark):
     assert correlate.floods(df, correlate.flood_thresholds(df, "k", 60), "k", "ts").count() == 0
 
 
+# ------------------------------------------------------------------ rule sets and files, host captures
+
+
+def test_rule_sets_and_many_patterns(spark):
+    service, cluster = rule_sets.service_rules(), rule_sets.cluster_rules()
+    assert len(service) >= 400 and len(cluster) >= 34 and len({r.rule_id for r in service + cluster}) == len(service + cluster)
+    assert rules.literal_of("^sshd.*(denied|refused)") == "sshd" and rules.literal_of("(a|b)") == "" and rules.literal_of("(") == ""
+    rows = [(1, ["k8s:exec"], {"message": "SSHD: access Denied", "k8s_resource": "secrets"}, 1), (2, None, None, None), (3, [], {"message": "cron job failed\nsu failed"}, 0), (4, [], {"message": ""}, 9)]
+    df = spark.createDataFrame(rows, "id int, tags array<string>, fields map<string,string>, severity int")
+    some = [*service, *cluster, rules.Rule("ANY", condition="field:message ~= (denied|failed)"), rules.Rule("NIL", condition="field:message ~= nil"), rules.Rule("BAD", condition="field:message ~= ("), rules.Rule("SEV", condition="severity>=9")]
+    many = sorted((r.id, r.rule_id) for r in rules.match_rules(df, some).collect())
+    each = sorted((r.id, r.rule_id) for x in some for r in rules.match_rules(df, [x]).collect())
+    assert many == each == sorted([(1, "SSHD_DENIED"), (1, "CLUSTER_SECRETS"), (1, "CLUSTER_BURST_K8S_EXEC"), (1, "ANY"), (2, "NIL"), (3, "CRON_FAILED"), (3, "ANY"), (4, "SEV")])
+
+
+def test_rules_converted_and_loaded():
+    items = [
+        {"id": 1, "level": "5", "match": "Failed password", "mitre": ["T1110.001"], "frequency": "1", "timeframe": "120", "description": " x "},
+        {"id": 2, "level": 2, "match": "a"}, {"id": 3, "level": 9}, {"id": 4, "level": 9, "regex": "^a\\d+", "noalert": "1"},
+        {"id": 5, "level": 9, "regex": "^a\\d+", "frequency": 8}, {"id": 6, "level": 3, "match": "a.b", "decoded_as": "sshd"},
+    ]
+    out = {r.rule_id: r for r in rule_sets.convert_rules(items)}
+    assert list(out) == ["CONV_1", "CONV_5", "CONV_6"]
+    one, five, six = out.values()
+    assert (one.condition, one.threshold, one.window_s, one.actions, one.description) == ("field:message ~= Failed password", 2, 120, (("ip-reputation", ()),), "x")
+    assert (five.condition, five.threshold, five.window_s, five.actions[0][0], six.condition) == ("field:message ~= ^a\\d+", 8, 3600, "full-enrich", "tag:sshd")
+    text = "rules:\n  - rule_id: A\n    condition: 'tag:x'\n    window: 5m\n    threshold: 3\n    suppress: 1h\n    actions:\n      - playbook: p\n        params: {ip: '${client_ip}'}\n"
+    (r,) = rules.load_rules(text)
+    assert (r.window_s, r.threshold, r.suppress_s, r.actions) == (300, 3, 3600, (("p", (("ip", "${client_ip}"),)),))
+    good = feeds.load_correlation_rules('[{"name": "a", "window": 60000000000, "threshold": 3, "severity": 5, "event_types": ["x"]}]')
+    assert (good[0]["window_s"], good[0]["kinds"]) == (60, ["x"])
+    for bad in ("{}", '[{"window": 5, "threshold": 1}]', '[{"name": "a", "window": 0, "threshold": 1}]', '[{"name": "a", "window": 5, "threshold": 0}]'):
+        with pytest.raises(ValueError):
+            feeds.load_correlation_rules(bad)
+
+
+def test_yar_files():
+    text = """import "pe"
+rule One : tag { meta: description = "d" severity = "high" strings: $a = "ab{c" nocase
+  $h = { 4D 5A ?? 00 } condition: all of them }
+rule Two { strings: $x = "q\\"t" $y = "z" condition: 1 of them } rule None_ { condition: true }"""
+    one, two = content_scan.load_yar(text)
+    assert (one.name, one.severity, one.strings, one.hexes, one.condition, one.exact) == ("One", 3, ("ab{c",), ("4D 5A ?? 00",), "all", False)
+    assert (two.strings, two.condition, two.exact) == (('q"t', "z"), "1", True)
+    hit = lambda d: [(m[0], m[3]) for m in content_scan.match_content(d, [one, two])]
+    assert hit(b"MZ\x01\x00 AB{C") == [("One", 2)] and hit(b"AB{C") == [] and hit(b'q"t') == [("Two", 1)] and hit(b"") == []
+
+
+def test_content_rules_of_every_kind(spark):
+    names = lambda d, rs: {m[0] for m in content_scan.match_content(d, rs)}
+    noise = np.random.default_rng(1).integers(0, 256, 4096, np.uint8).tobytes()
+    assert names(noise, content_scan.MATCHER_RULES) == {"Suspicious_Entropy"} and names(b"MZ" + noise[:100], content_scan.MATCHER_RULES) == {"Packed_Binary"}
+    assert "Packed_PE_Binary" in names(small_pe(b"UPX0"), content_scan.MATCHER_RULES) and names(small_pe(b"UPX0"), content_scan.SCANNER_RULES) == {"Packed_Binary"}
+    assert names(b"run MIMIKATZ now", content_scan.MATCHER_RULES) == names(b"run MIMIKATZ now", content_scan.SCANNER_RULES) == {"Mimikatz_Strings"}
+    body = bytearray(512)
+    struct.pack_into("<5I", body, 0, 0x1040, 0, 0, 0x1060, 0)  # one library, its names at 0x1040
+    struct.pack_into("<III", body, 0x40, 0x1080, 1 << 31 | 5, 0)
+    body[0x82 : 0x82 + 16] = b"VirtualAllocEx\0\0"
+    pe = bytearray(small_pe(body=bytes(body)))
+    struct.pack_into("<I", pe, 0x98 + 96 + 8, 0x1000)
+    assert content_scan.parse_executable(bytes(pe))["imports"] == ["VirtualAllocEx"]
+    assert names(bytes(pe), content_scan.SCANNER_RULES) == {"Suspicious_Imports", "Process_Injection_API", "CobaltStrike_Beacon"}
+    df = spark.createDataFrame([(1, bytearray(small_pe(b"UPX0"))), (2, None), (3, bytearray())], "id int, content binary")
+    assert {(r.id, r.rule) for r in content_scan.scan_content(df, "id", "content").collect()} >= {(1, "Packed_PE_Binary")} and content_scan.scan_content(df.where("id > 1"), "id", "content").count() == 0
+    t = dt.datetime(2024, 1, 1)
+    files = spark.createDataFrame([("a", "h1"), ("a", "h1"), ("b", "h2"), ("c", "h3")], "path string, hash string")
+    cache = spark.createDataFrame([("a", "h1", t), ("b", "h2", t - dt.timedelta(hours=2))], "path string, hash string, at timestamp")
+    assert sorted(r.path for r in content_scan.unscanned(files, cache, ["path", "hash"], "at", F.lit(t).cast("timestamp")).collect()) == ["b", "c"]
+    assert sorted(r.path for r in content_scan.unscanned(files, cache, ["path", "hash"]).collect()) == ["c"]
+
+
+def test_captured_listings(spark):
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "line string")
+    ps = lines("USER PID %CPU %MEM VSZ RSS TTY STAT START TIME COMMAND", "root  17  0.0 0.1 1 2 ? S 10:00 0:00 /usr/sbin/sshd -D", "short 1")
+    assert [tuple(r) for r in snapshots.parse_processes(ps, "line").collect()] == [(17, "root", "sshd", "/usr/sbin/sshd -D")]
+    assert [tuple(r) for r in snapshots.parse_proc_status(lines("Name:\tsh\nPid:\t5\nPPid:\t1\n", "x"), "line").collect()] == [(5, 1, "sh")]
+    pk = lines("bash-5.1.8-6.el9.x86_64", '{"DisplayName": "7-Zip 22", "DisplayVersion": "22.01"}', "zlib 1:1.3-2", "alone")
+    assert [tuple(r) for r in snapshots.parse_packages(pk, "line").collect()] == [("bash", "5.1.8-6.el9"), ("7-Zip 22", "22.01"), ("zlib", "1:1.3-2")]
+    conn = "local_ip string, local_port int, remote_ip string, remote_port int, protocol string, state string"
+    before = spark.createDataFrame([("a", 1, "b", 2, "tcp", "ESTABLISHED"), ("a", 9, None, None, "tcp", "LISTEN")], conn)
+    after = spark.createDataFrame([("a", 9, None, None, "tcp", "LISTEN"), ("a", 3, "*", 0, "tcp", "LISTEN"), ("a", 4, "c", 5, "udp", None)], conn)
+    assert sorted((r.local_port, r.change) for r in snapshots.diff_connections(before, after).collect()) == [(1, "disconnect"), (3, "listen"), (4, "connect")]
+    assert snapshots.diff_connections(before.where("false"), after.where("false")).count() == 0
+
+
+def test_feeds_on_odd_bodies(spark):
+    odd = spark.createDataFrame([(None,), ("",), ("{",), ("{}",), ("[]",), ('{"vulnerabilities": []}',)], "body string")
+    assert feeds.parse_cves(odd, "body").count() == feeds.parse_abuse(odd, "body").count() == feeds.explode_batches(odd, "body").count() == 0
+    assert {r.reputation for r in feeds.parse_engine_report(odd.withColumn("i", F.lit("x")), "i", "body").collect()} == {"unknown"}
+    (a,) = feeds.parse_abuse(spark.createDataFrame([('{"data": {"ipAddress": "1.2.3.4", "abuseConfidenceScore": 60}}',)], "body string"), "body").collect()
+    assert (a.ip, a.reputation, a.reports) == ("1.2.3.4", "malicious", None)
+    batch = spark.createDataFrame([('{"agent_id": "a", "events": [{"id": "1", "type": "x"}, {"id": ""}, 7, {"id": "1", "type": "y"}]}',)], "body string")
+    got = feeds.ingest_events(feeds.explode_batches(batch, "body").withColumn("n", F.monotonically_increasing_id()), "agent_id", "raw", "n").collect()
+    assert [(r.id, r.event_type, r.agent_id) for r in got] == [("1", "x", "a")]
+    (v,) = feeds.cve_table(feeds.parse_cves(spark.createDataFrame([('{"vulnerabilities": [{"cve": {"id": "C"}}]}',)], "body string"), "body")).collect()
+    assert (v.cve_id, v.cvss, v.severity, v.affected) == ("C", 0.0, "LOW", [])
+
+
+def test_case_report_and_approvals(spark):
+    events = spark.createDataFrame([("2024-01-01", "note", "<b>")], "created_at string, event_type string, content string")
+    found = spark.createDataFrame([("ip", "1.2.3.4")], "type string, value string")
+    assert "&lt;b&gt;" in store.render_case({"id": 1, "title": "T"}, events, found, "html") and "- ip: 1.2.3.4" in store.render_case({"title": "T"}, events, found, "md")
+    df = spark.createDataFrame([(i,) for i in range(4)], "id int")
+    said = spark.createDataFrame([(0, "a.b", "approved"), (1, "a.b", "approved"), (1, "a.b", "denied"), (3, "other", "approved")], "id int, step string, decision string")
+    reg = {"a.b": lambda s, p: s.select("id", F.lit(1).alias("x")), "a.bad": lambda s, p: 1 / 0}
+    state, events = playbook.run_playbook(df, "id", [playbook.Step("a", "bad", optional=True), playbook.Step("a", "b", wait=True), playbook.Step("a", "bad")], reg, said)
+    assert {r.id: r.status for r in state.collect()} == {0: "failed", 1: "denied", 2: "waiting_approval", 3: "waiting_approval"}
+    assert [r.event for r in events.where("id = 0").orderBy("step_no").collect()] == ["playbook_started", "step_failed_optional", "step_waiting_approval", "step_approved", "step_completed", "step_failed"]
+
+
 # ------------------------------------------------------------------ sources and streams
 
 
@@ -373,20 +483,60 @@ def test_tail_reader_and_collector(spark, tmp_path):
     assert logs.read_lines(spark, str(tmp_path)).count() == 3
 
 
-@pytest.mark.skipif(not os.environ.get("EMBERLOG_STREAM_TESTS"), reason="Python workers of stateful streams hang now and then in this container; set EMBERLOG_STREAM_TESTS=1")
-def test_stream_threshold_like_batch(spark, tmp_path):
+def file_stream(spark, tmp_path, rows, schema, files):
+    src = str(tmp_path / "in")
+    for n in range(files):
+        spark.createDataFrame(rows[n * len(rows) // files : (n + 1) * len(rows) // files], schema).coalesce(1).write.mode("append").parquet(src)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def test_rule_stream_like_batch(spark, tmp_path):
+    """Thresholds and suppression over four micro-batches equal the batch engine; a repeated batch changes nothing."""
+    t0, r = dt.datetime(2024, 1, 1), random.Random(3)
+    rows = [(i, t0 + dt.timedelta(seconds=i * 4), ["x"] if r.random() < 0.7 else ["y"], {"client_ip": "a" if i % 3 else "b"}, 1) for i in range(80)]
+    schema = "id long, ts timestamp, tags array<string>, fields map<string,string>, severity int"
+    some = [rules.Rule("MULTIPLE_FAILED_LOGINS", condition="tag:x", window_s=20, threshold=3), rules.Rule("B", condition="tag:x", window_s=60, threshold=2, suppress_s=15), rules.Rule("C", condition="tag:y")]
+    engine = stateful.RuleStream(spark, str(tmp_path / "out"), some, "ts", "id")
+    stream = file_stream(spark, tmp_path, rows, schema, 4)
+    q = engine.start(stream, str(tmp_path / "checkpoint"))
+    assert q.awaitTermination(120)
+    key = lambda df: sorted((a.rule_id, a.id, a.in_window) for a in df.collect())
+    want = key(rules.evaluate(spark.createDataFrame(rows, schema), some, "ts", "id"))
+    assert key(engine.alerts()) == want and len({w[0] for w in want}) == 3
+    engine.step(spark.createDataFrame(rows[60:], schema), 3)
+    assert key(engine.alerts()) == want
+
+
+def test_first_seen_counts_and_sink_on_a_stream(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(i, "a" if i % 3 else "b", t0 + dt.timedelta(seconds=i * 4)) for i in range(40)]
-    src = tmp_path / "in"
+    rows = [(i, f"k{i % 7}", t0 + dt.timedelta(seconds=i)) for i in range(90)]
     schema = "id long, k string, ts timestamp"
-    for n in range(2):
-        spark.createDataFrame(rows[n * 20 : n * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(src))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-    q = stateful.stream_threshold(stream, "k", "ts", "id", 20, 3).writeStream.format("memory").queryName("alerts").outputMode("append").trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    got = {int(r.event_id) for r in spark.sql("SELECT * FROM alerts").collect()}
-    want = {r.id for r in rules.threshold_alerts(spark.createDataFrame(rows, schema), "ts", ["k"], 3, 20).collect()}
-    assert got == want and want
+    stream = file_stream(spark, tmp_path, rows, schema, 3)
+    q = stateful.to_tables(stateful.stream_first_seen(stream, ["k"], "ts", "1 hour"), str(tmp_path / "first"), str(tmp_path / "c1"), "first").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "first")).collect()) == [f"k{i}" for i in range(7)]
+    q = stateful.to_tables(stateful.stream_counts(stream, "ts", [], "30 seconds", "30 seconds", "1 second", 5), str(tmp_path / "n"), str(tmp_path / "c2"), "n").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(r.events for r in spark.read.parquet(str(tmp_path / "n")).collect())[:2] == [30, 30]
+    q = stateful.to_tables(stateful.stream_sessions(stream.where("id < 20 OR id > 60").withColumn("g", F.lit("g")), "ts", ["g"], "5 seconds", "1 second"), str(tmp_path / "s"), str(tmp_path / "c3"), "s").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert 20 in [r.events for r in spark.read.parquet(str(tmp_path / "s")).collect()]
+
+
+def test_send_batches_retries(spark, tmp_path):
+    out = str(tmp_path)
+
+    def send(rows):
+        flag = os.path.join(out, f"failed-{rows[0]['id']}")
+        if not os.path.exists(flag):
+            open(flag, "w").close()
+            raise OSError("not now")
+        with open(os.path.join(out, f"sent-{rows[0]['id']}"), "w") as f:
+            json.dump(rows, f)
+
+    stateful.send_batches(spark.range(250).repartition(2), send, 100, first_wait_s=0.01, per_second=100_000)
+    sent = [json.load(open(os.path.join(out, f))) for f in os.listdir(out) if f.startswith("sent-")]
+    assert sorted(x["id"] for s in sent for x in s) == list(range(250)) and all(len(s) <= 100 for s in sent)
 
 
 def test_json_lines_and_hits(spark, tmp_path):
