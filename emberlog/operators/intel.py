@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.versions import version_matches
+from emberlog.functions.versions import package_matches, version_matches
 from emberlog.operators.skew import join_lookup
 
 #: Up to so many patterns meet every text by a broadcast; more are found through an index of their n-grams.
@@ -53,13 +53,16 @@ def contained_pairs(texts: DataFrame, patterns: DataFrame, n: int = 3, max_rows:
 def match_vulnerabilities(packages: DataFrame, cves: DataFrame, max_rows: int = MAX_DIMENSION) -> DataFrame:
     """packages(name, version) x cves(cve_id, pattern, op, fixed, cvss) -> matches, whatever the number of patterns.
 
-    Exact patterns are an equi-join; ``prefix*`` ones an equi-join with the prefixes of the distinct names, of the
+    Few patterns meet the distinct names by a broadcast. Any number is split by kind: exact patterns are an equi-join; ``prefix*`` ones an equi-join with the prefixes of the distinct names, of the
     lengths that occur; contained ones go through ``contained_pairs``; those for any package (``*`` or empty) meet all
     names, as all are matches until the version is compared. Versions join afterwards.
     """
     names = packages.select("name").where(F.col("name").isNotNull()).distinct()
     pattern = F.col("pattern")
     patterns = cves.select("pattern").where(pattern.isNotNull()).distinct()
+    few = bounded(patterns, max_rows)
+    if few is not None:
+        return _of_version(packages, names.join(few, package_matches(F.col("name"), pattern)), cves)
     anything, prefix = pattern.isin("*", ""), pattern.endswith("*")
     every = names.join(F.broadcast(patterns.where(anything)))  # two rows at most
     stems = patterns.where(prefix & ~anything).withColumn("stem", F.expr("left(pattern, length(pattern) - 1)"))
@@ -68,7 +71,10 @@ def match_vulnerabilities(packages: DataFrame, cves: DataFrame, max_rows: int =
     # a pattern with a star may also be a whole name
     exact = names.join(patterns.where(prefix & ~anything), (names["name"] == pattern) & ~F.col("name").startswith(F.expr("left(pattern, length(pattern) - 1)"))).select("name", "pattern")
     inside = contained_pairs(names.select(F.col("name").alias("text")), patterns.where(~prefix & ~anything), max_rows=max_rows).select(F.col("text").alias("name"), "pattern")
-    pairs = every.unionByName(begun).unionByName(exact).unionByName(inside)
+    return _of_version(packages, every.unionByName(begun).unionByName(exact).unionByName(inside), cves)
+
+
+def _of_version(packages: DataFrame, pairs: DataFrame, cves: DataFrame) -> DataFrame:
     out = packages.join(pairs, "name").join(cves, "pattern")
     return out.where(version_matches(F.col("version"), F.col("op"), F.col("fixed"))).drop("pattern", "op")
 
@@ -85,11 +91,20 @@ def lookup_indicators(values: DataFrame, value: str, iocs: DataFrame, max_rows:
     known = iocs.where(F.length("ioc") > 0)
     exact = seen.join(known.select(F.col("ioc").alias("__v"), F.col("ioc")), "__v")
     misses = seen.join(exact.select("__v"), "__v", "left_anti").where(F.length("__v") >= 4)
+    few = bounded(known.select("ioc"), max_rows)
+    if few is not None:
+        near = misses.join(few, F.contains("__v", "ioc") | F.contains("ioc", "__v"))
+    else:
+        near = _either_way(misses, known, max_rows)
+    found = exact.unionByName(near.groupBy("__v").agg(F.min("ioc").alias("ioc"))).join(known, "ioc")
+    return join_lookup(v, found, "__v", "left", min_rows=hot_rows).drop("__v")
+
+
+def _either_way(misses: DataFrame, known: DataFrame, max_rows: int) -> DataFrame:
+    """(__v, ioc): values that contain an indicator or are contained in one."""
     holds = contained_pairs(misses.select(F.col("__v").alias("text")), known.select(F.col("ioc").alias("pattern")), max_rows=max_rows).select(F.col("text").alias("__v"), F.col("pattern").alias("ioc"))
     held = contained_pairs(known.select(F.col("ioc").alias("text")), misses.select(F.col("__v").alias("pattern")), max_rows=max_rows).select(F.col("pattern").alias("__v"), F.col("text").alias("ioc"))
-    near = holds.unionByName(held).groupBy("__v").agg(F.min("ioc").alias("ioc"))
-    found = exact.unionByName(near).join(known, "ioc")
-    return join_lookup(v, found, "__v", "left", min_rows=hot_rows).drop("__v")
+    return holds.unionByName(held)
 
 
 def lookup_equal(values: DataFrame, value: str, dim: DataFrame, key: str, default: dict[str, str]) -> DataFrame:

@@ -264,7 +264,7 @@ def line_alerts(spark, d) -> DataFrame:
     text = F.when(F.col("event_type") == "error", "Failed password for root").when(F.col("event_type") == "signup", "error in unit").otherwise("session opened")
     line = F.concat(F.lit("<34>"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host-"), (F.col("user_id") % 40).cast("string"), F.lit(" sshd "), text)
     events = D.decode_rows(e.select("event_id", "ts", line.alias("raw")), D.decode_syslog(F.col("raw"), 2024)).select("event_id", "ts", F.col("e.tags").alias("tags"), F.col("e.fields").alias("fields"), F.col("e.severity").alias("severity"))
-    return rules.threshold_alerts(rules.match_rules(events, LINE_RULES), "ts", ["rule_id", "corr_key"], F.col("threshold"), F.col("window_s"))
+    return rules.threshold_alerts(rules.match_rules(events, LINE_RULES), "ts", ["rule_id", "corr_key"], F.col("threshold"), F.col("window_s"), lengths=[r.window_s for r in LINE_RULES])
 
 
 @query("""
