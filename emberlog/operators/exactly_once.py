@@ -170,8 +170,8 @@ class IdentifierIndex:
     def _tell(self) -> None:
         """A new manifest; its one file appears whole or not at all."""
         self.version += 1
-        rows = [(self.prefixes, self.written, n, t) for n, t in self.runs] or [(self.prefixes, self.written, None, None)]
-        told = self.spark.createDataFrame(rows, "prefixes int, written int, run string, tier int")
+        rows = F.array(*[F.struct(F.lit(n).cast("string").alias("run"), F.lit(t).cast("int").alias("tier")) for n, t in self.runs or [(None, None)]])
+        told = self.spark.range(1).select(F.lit(self.prefixes).alias("prefixes"), F.lit(self.written).alias("written"), F.inline(rows))
         told.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={self.version}")
 
     def _paths(self, runs: Sequence[tuple[str, int]] | None = None) -> list[str]:
