@@ -197,6 +197,25 @@ def best_end(node: list[Option], costs: list[int]) -> int:
     return min(range(len(costs)), key=lambda k: (costs[k], node[k][0]))
 
 
+class Chain:
+    """The records of one source as one chain: ``settle`` gives (record, utc_us) on the path of least cost."""
+
+    def __init__(self, window_us: int):
+        self.window, self.records, self.nodes = window_us, [], []
+
+    def add(self, record: int, options: list[tuple[int, str]], received: int | None) -> None:
+        if options:
+            self.records.append(record)
+            self.nodes.append(weighed(options, received, self.window))
+
+    def settle(self) -> list[tuple[int, int]]:
+        if not self.nodes:
+            return []
+        costs, backs = forward(self.nodes, self.window)
+        path, _ = backward(backs, best_end(self.nodes[-1], costs))
+        return [(r, o[i][0]) for r, o, i in zip(self.records, self.nodes, path)]
+
+
 class Source:
     """The records of one source in a partition: settled between cuts, put aside at its ends."""
 
