@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 
+import json
 import os
-import socket
+import socketserver
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from emberlog.operators.snapshots import excluded_path
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(source, raw): non-empty lines of the files of a directory, not of its subdirectories; source is ``file:<name>``."""
@@ -33,6 +37,43 @@ def flatten_hits(responses: DataFrame, body: str) -> DataFrame:
     return responses.select(F.explode(F.from_json(body, schema)["hits"]["hits"]).alias("h")).select("h._id", "h._index", "h._score", F.col("h._source").alias("source"))
 
 
+def search_body(query: str, size: int = 100) -> str:
+    """The request of a search: a JSON query as it is, else as a query string; newest first."""
+    try:
+        given = json.loads(query)
+    except ValueError:
+        given = None
+    clause = given.get("query", given) if isinstance(given, dict) else {"query_string": {"query": query}}
+    return json.dumps({"size": size, "sort": [{"@timestamp": "desc"}], "query": clause})
+
+
+def flatten_indices(responses: DataFrame, body: str) -> DataFrame:
+    """(index, health, docs) of index listings held as JSON text; hidden indices are left out."""
+    rows = F.from_json(body, "array<map<string,string>>")
+    x = responses.select(F.explode(rows).alias("r"))
+    g = lambda k: F.element_at("r", F.lit(k))
+    return x.select(g("index").alias("index"), g("health").alias("health"), g("docs.count").try_cast("long").alias("docs")).where("index IS NOT NULL AND NOT startswith(index, '.')")
+
+
+def fired_alerts(responses: DataFrame, body: str) -> DataFrame:
+    """(name, severity, triggered_at, events) of fired-alert listings held as JSON text, those without a trigger left out."""
+    x = responses.select(F.explode(F.from_json(body, "struct<entry:array<struct<name:string,content:struct<severity:int,trigger_time:long,triggered_alert_count:long>>>>")["entry"]).alias("e"))
+    return x.where("e.content.triggered_alert_count > 0").select("e.name", F.col("e.content.severity").alias("severity"), F.timestamp_seconds("e.content.trigger_time").alias("triggered_at"), F.col("e.content.triggered_alert_count").alias("events"))
+
+
+def scan_files(spark: SparkSession, path: str, most_bytes: int = 10 << 20, excluded: list[str] | None = None, content: bool = False) -> DataFrame:
+    """(path, size, modified, [content]) of a tree's files of at most ``most_bytes``; paths with any of ``excluded`` in any
+    letter case, and database files, are left out. Without ``content`` the files are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    some = files.where((F.col("length") <= most_bytes) & ~excluded_path(F.col("path"), excluded or []))
+    return some.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+
+
+def ingest_lines(spark: SparkSession, lines: list[str], source: str) -> DataFrame:
+    """(source, raw) of lines a program hands over; blank ones are left out."""
+    return spark.createDataFrame([(source, x) for x in lines if x and x.strip()], "source string, raw string")
+
+
 def search_results(lines: DataFrame, line: str) -> DataFrame:
     """(raw, result) of newline-delimited search results: rows whose result has ``_raw``."""
     r = F.from_json(F.get_json_object(line, "$.result"), "map<string,string>")
@@ -120,38 +161,53 @@ class TailSource(DataSource):
 
 
 class SyslogCollector:
-    """Receives syslog by UDP (one message a datagram of up to 64 KiB) or TCP (one a line) and appends it to files that ``TailSource`` reads.
+    """Receives syslog by UDP (one message a datagram of up to 64 KiB) or TCP (one a line, any number of connections at
+    once) and appends it to files that ``TailSource`` reads, a file a sender. Runs from its making until ``close``.
 
-    A socket cannot be replayed, so messages are written before they count as received.
+    A socket cannot be replayed, so messages are written before they count as received; the folder should be a shared
+    one. A TCP line longer than 64 KiB is written as several.
     """
 
+    LINE = 65536
+
     def __init__(self, folder: str, host: str = "127.0.0.1", port: int = 0, tcp: bool = False):
-        self.folder, self.tcp = folder, tcp
-        self.sock = socket.socket(socket.AF_INET, socket.SOCK_STREAM if tcp else socket.SOCK_DGRAM)
-        self.sock.bind((host, port))
-        if tcp:
-            self.sock.listen()
-        self.port = self.sock.getsockname()[1]
+        self.folder, self.messages, self.lines, self._arrived = folder, 0, 0, threading.Condition()
+        collector = self
+
+        class Handler(socketserver.BaseRequestHandler):
+            def handle(self):
+                peer = self.client_address[0]
+                if tcp:
+                    with self.request.makefile("rb") as f:
+                        while line := f.readline(collector.LINE):
+                            collector._write(peer, line)
+                else:
+                    collector._write(peer, self.request[0].replace(b"\n", b" "))
+                with collector._arrived:
+                    collector.messages += 1
+                    collector._arrived.notify_all()
+
+        kind = socketserver.ThreadingTCPServer if tcp else socketserver.ThreadingUDPServer
+        self.server = kind((host, port), Handler, bind_and_activate=False)
+        self.server.daemon_threads, self.server.allow_reuse_address, self.server.max_packet_size = True, True, self.LINE
+        self.server.server_bind()
+        self.server.server_activate()
+        self.port = self.server.server_address[1]
+        threading.Thread(target=self.server.serve_forever, args=(0.1,), daemon=True).start()
+
+    def _write(self, peer: str, line: bytes) -> None:
+        text = line.rstrip(b"\r\n")
+        if text.strip():
+            with self._arrived, open(os.path.join(self.folder, f"syslog-{peer.replace(':', '_')}"), "ab") as out:
+                out.write(text + b"\n")
+                self.lines += 1
 
     def receive(self, messages: int, timeout: float = 10.0) -> int:
-        """Wait for so many messages (or connections, over TCP); returns the lines written."""
-        self.sock.settimeout(timeout)
-        n = 0
-        for _ in range(messages):
-            if self.tcp:
-                conn, peer = self.sock.accept()
-                with conn, conn.makefile("rb") as f:
-                    lines = [x for x in f.read().split(b"\n") if x.strip()]
-            else:
-                data, peer = self.sock.recvfrom(65536)
-                lines = [data.replace(b"\n", b" ")] if data.strip() else []
-            with open(os.path.join(self.folder, f"syslog-{peer[0]}"), "ab") as out:
-                for line in lines:
-                    out.write(line + b"\n")
-            n += len(lines)
-        return n
+        """Wait until so many messages (over TCP: closed connections) have come since the start; returns the lines written."""
+        with self._arrived:
+            self._arrived.wait_for(lambda: self.messages >= messages, timeout)
+            return self.lines
 
     def close(self) -> None:
-        self.sock.close()
-
-
+        self.server.shutdown()
+        self.server.server_close()

@@ -7,6 +7,7 @@ import random
 import socket
 import struct
 import threading
+import time
 
 import numpy as np
 import pytest
@@ -483,6 +484,64 @@ def test_tail_reader_and_collector(spark, tmp_path):
     assert logs.read_lines(spark, str(tmp_path)).count() == 3
 
 
+def test_tail_as_a_stream(spark, tmp_path):
+    """Lines appended while the query runs, one file after another, come once each."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.log").write_text("one\ntwo\nhal")
+    spark.dataSource.register(logs.TailSource)
+    q = stateful.to_tables(spark.readStream.format("emberlog-tail").load(str(folder)), out, str(tmp_path / "checkpoint"), "tail").trigger(processingTime="300 milliseconds").start()
+
+    def lines(n):
+        until = time.time() + 60
+        while time.time() < until:
+            try:
+                got = sorted(r.raw for r in spark.read.parquet(out).collect())
+            except Exception:  # noqa: BLE001 - nothing is written yet, or a batch is being written
+                got = []
+            if len(got) >= n:
+                return got
+            time.sleep(0.3)
+        return got
+
+    try:
+        assert lines(2) == ["one", "two"]
+        with open(folder / "a.log", "a") as f:
+            f.write("f\n")
+        (folder / "b.log").write_text("x\n")
+        assert lines(4) == ["half", "one", "two", "x"]
+    finally:
+        q.stop()
+
+
+def test_collector_takes_many_connections(tmp_path):
+    collector = logs.SyslogCollector(str(tmp_path), tcp=True)
+    open_ = [socket.create_connection(("127.0.0.1", collector.port), 5) for _ in range(5)]
+    for i, s in enumerate(open_):
+        s.sendall(f"<34>line {i}\n\n".encode())
+    open_[0].sendall(b"x" * 70_000 + b"\n")
+    for s in open_:
+        s.close()
+    assert collector.receive(5, 10) == 7
+    collector.close()
+    got = (tmp_path / "syslog-127.0.0.1").read_bytes().splitlines()
+    assert sorted(map(len, got)) == [10] * 5 + [4464, 65536]
+
+
+def test_sources_of_captures(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, size in (("a.txt", 3), ("B.TMP", 3), ("c.db", 3), ("d/e.bin", 3), ("big", 50)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = {os.path.basename(r.path) for r in logs.scan_files(spark, str(tmp_path), 10, [".tmp"]).collect()}
+    assert got == {"a.txt", "e.bin"}
+    assert json.loads(logs.search_body("a AND b"))["query"] == {"query_string": {"query": "a AND b"}} and json.loads(logs.search_body('{"match_all": {}}'))["query"] == {"match_all": {}}
+    body = spark.createDataFrame([('[{"index": "logs", "health": "green", "docs.count": "5"}, {"index": ".hidden"}]',), ("x",)], "body string")
+    assert [tuple(r) for r in logs.flatten_indices(body, "body").collect()] == [("logs", "green", 5)]
+    fired = spark.createDataFrame([('{"entry": [{"name": "a", "content": {"severity": 3, "trigger_time": 0, "triggered_alert_count": 2}}, {"name": "b", "content": {}}]}',)], "body string")
+    assert [(r.name, r.severity, r.events) for r in logs.fired_alerts(fired, "body").collect()] == [("a", 3, 2)]
+    assert [r.raw for r in logs.ingest_lines(spark, ["a", " ", None], "s").collect()] == ["a"]
+
+
 def file_stream(spark, tmp_path, rows, schema, files):
     src = str(tmp_path / "in")
     for n in range(files):
