@@ -130,10 +130,20 @@ def hit_ratio(checked: DataFrame, hit: Column, by: list[str] | None = None) -> D
     return n.withColumn("hit_ratio", F.round(F.col("hits") / (F.col("hits") + F.col("misses")), 6))
 
 
-def in_order(steps: DataFrame, key: list[str], place: str, time: str) -> DataFrame:
-    """(key, steps, ordered): whether the times of each key never go back in order of ``place``."""
-    pairs = steps.withColumn("__before", F.lag(time).over(Window.partitionBy(*key).orderBy(place)))
-    return pairs.groupBy(*key).agg(F.count("*").alias("steps"), F.coalesce(F.bool_and(F.col(time) >= F.col("__before")), F.lit(True)).alias("ordered"))
+def in_order(steps: DataFrame, key: list[str], place: str, time: str, parts: int | None = None) -> DataFrame:
+    """(key, steps, ordered): whether no step of a key is earlier than the one right before it in order of ``place``; a
+    step without time is neither earlier nor later. Nulls are a key of their own."""
+    rows = steps.select(*key, F.col(place).alias("__place"), _us(time).alias("__us")).withColumn("__k", F.to_json(F.struct(*key)))
+
+    def step(state, t: pa.Table):
+        before, now = t["__us"].to_pylist()[:-1], t["__us"].to_pylist()
+        pairs = zip([state, *before], now)
+        good = all(a is None or b is None or b >= a for a, b in pairs)
+        return now[-1], t.slice(0, 1).select(key).append_column("n", pa.array([len(now)], pa.int64())).append_column("good", pa.array([good]))
+
+    schema = T.StructType([*[steps.schema[k] for k in key], T.StructField("n", T.LongType()), T.StructField("good", T.BooleanType())])
+    pieces = scan_in_order(rows, "__k", ["__place"], step, schema, parts)
+    return pieces.groupBy(*key).agg(F.sum("n").alias("steps"), F.bool_and("good").alias("ordered"))
 
 
 def kill_chains(events: DataFrame, pid: str, time: str, tie: str, is_file: Column, is_process: Column, is_network: Column, detail: str, window_s: int) -> DataFrame:
@@ -212,17 +222,22 @@ def zscore_anomalies(samples: DataFrame, group: str, value: str, order: list[str
 
 
 
-def decayed_mean(samples: DataFrame, group: str, value: str, order: list[str], share: float = 0.01, last: int = 100) -> DataFrame:
+def decayed_mean(samples: DataFrame, group: str, value: str, order: list[str], share: float = 0.01, last: int = 100, hot_rows: int = 100_000) -> DataFrame:
     """Samples with ``decayed``: the mean of the ``last`` samples of the group so far, each pulled by ``share`` of the way
     to every sample after it.
 
     A sample k places back keeps (1 - share)^k of its distance, so the mean is a weighted sum over the frame and needs no
     state: with c = 1 - share, the value at place i is v[i] c^(n-i) + share * sum over j > i of v[j] c^(n-j).
     """
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(-(last - 1), 0)
     c = 1.0 - share
-    held = samples.withColumn("__v", F.collect_list(F.col(value).cast("double")).over(w))
+    g = samples.withColumn("__g", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))
+    hot = hot_keys(g, "__g", hot_rows)
+    frame = lambda df, w: df.withColumn("__v", F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-(last - 1), 0)))
+    held = frame(g.where(~F.col("__g").isin(hot)) if hot else g, Window.partitionBy("__g").orderBy(*order))
+    if hot:  # cut into cells that repeat the ``last`` rows of the cell before
+        cells = with_halo(numbered(g.where(F.col("__g").isin(hot)), "__g", order, "__row"), "__row", last)
+        held = held.unionByName(frame(cells, Window.partitionBy("__g", "cell").orderBy("__row")).where("own").drop("__row", "cell", "own"))
     weight = lambda i: F.pow(F.lit(c), F.size("__v") - 1 - i)
     # v[j] counts for itself c^(n-j), and in each of the j samples before it share * c^(n-j)
     total = F.aggregate(F.transform("__v", lambda x, i: x * weight(i) * (1 + share * i)), F.lit(0.0), lambda a, x: a + x)
-    return held.withColumn("decayed", total / F.size("__v")).drop("__v")
+    return held.withColumn("decayed", total / F.size("__v")).drop("__v", "__g")

@@ -102,7 +102,8 @@ def test_patterns_by_broadcast_and_by_index_agree(spark):
     texts = spark.createDataFrame([(word(r.randrange(9)),) for _ in range(200)] + [(None,)], "text string").coalesce(1)
     patterns = spark.createDataFrame([(word(r.randrange(6)),) for _ in range(80)] + [(None,)], "pattern string").coalesce(1)
     few, many = (sorted(map(tuple, intel.contained_pairs(texts, patterns, max_rows=m).collect())) for m in (10_000, 5))
-    want = {(t.text, p.pattern) for t in texts.collect() for p in patterns.collect() if t.text and p.pattern and p.pattern in t.text}
+    all_patterns = [p.pattern for p in patterns.collect()]
+    want = {(t.text, p) for t in texts.collect() for p in all_patterns if t.text and p and p in t.text}
     assert few == many == sorted(want)
     packages = texts.select(F.col("text").alias("name"), F.lit("1.2").alias("version"))
     cves = patterns.withColumns({"pattern": F.concat("pattern", F.when(F.length("pattern") % 2 == 0, "*").otherwise("")), "cve_id": F.concat(F.lit("C"), F.coalesce("pattern", F.lit("-"))), "op": F.lit("<"), "fixed": F.lit("2.0"), "cvss": F.lit(1.0)}).distinct()
@@ -318,6 +319,19 @@ def test_decayed_mean(spark):
         held = held[-10:]
         want[i] = sum(held) / len(held)
     assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    hot = correlate.decayed_mean(spark.createDataFrame(rows, "i int, g string, v double"), "g", "v", ["i"], 0.01, 10, hot_rows=20)
+    assert all(abs(x.decayed - want[x.i]) < 1e-9 for x in hot.collect()) and hot.count() == 40
+
+
+def test_order_of_steps(spark):
+    r, t0 = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(i, r.choice(["hot", "hot", "a", None]), t0 + dt.timedelta(seconds=i if r.random() < 0.99 else 0) if r.random() < 0.95 else None) for i in range(300)]
+    got = {x.k: (x.steps, x.ordered) for x in correlate.in_order(spark.createDataFrame(rows, "i int, k string, ts timestamp"), ["k"], "i", "ts", parts=9).collect()}
+    want = {}
+    for k in ("hot", "a", None):
+        times = [x[2] for x in rows if x[1] == k]
+        want[k] = (len(times), all(a is None or b is None or b >= a for a, b in zip(times, times[1:])))
+    assert got == want
 
 
 def test_decoders_with_separators_and_line_ends(spark):
