@@ -40,6 +40,16 @@ def burst_alerts(events: DataFrame, time: str, tie: str, kind: str, name: str, k
     return gate_events(fired, about, time, tie, suppress_ms * 1000).where("passes").withColumn("rule", F.lit(name)).drop("passes", "anchor_us")
 
 
+def correlation_alerts(events: DataFrame, rules: list[dict], time: str, tie: str, kind: str, about: str) -> DataFrame:
+    """``burst_alerts`` of each loaded correlation rule (``sources.feeds.load_correlation_rules``); a rule without event types takes all events."""
+    out = None
+    for r in rules:
+        some = events if r["kinds"] else events.withColumn("__kind", F.lit("any"))
+        one = burst_alerts(some, time, tie, kind if r["kinds"] else "__kind", r["name"], r["kinds"] or ["any"], r["window_s"], r["threshold"], r["severity"], r["suppress_ms"], about).drop("__kind")
+        out = one if out is None else out.unionByName(one)
+    return events.where(F.lit(False)).withColumns({"in_window": F.lit(0).cast("long"), "score": F.lit(0).cast("long"), "rule": F.lit("")}) if out is None else out
+
+
 def suppressed(alerts: DataFrame, rule: str, time: str, tie: str, suppress_s: int) -> DataFrame:
     """Alerts that pass the rule's suppression."""
     return gate_events(alerts, rule, time, tie, suppress_s * 1_000_000).where("passes").drop("passes", "anchor_us")

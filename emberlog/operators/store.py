@@ -164,3 +164,39 @@ def render_case(case: dict, events: DataFrame, indicators: DataFrame, form: str
         return f"<h1>{escape(str(case.get('title')))}</h1>" + items(f"{k}: {v}" for k, v in head) + "<h2>Events</h2>" + items(lines) + "<h2>Indicators</h2>" + items(found)
     mark = ("# ", "## ", "- ") if form == "md" else ("", "", "  ")
     return "\n".join([mark[0] + str(case.get("title")), *[f"{mark[2]}{k}: {v}" for k, v in head], mark[1] + "Events", *[mark[2] + x for x in lines], mark[1] + "Indicators", *[mark[2] + x for x in found]])
+
+
+def case_rows(alerts: DataFrame, least: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(case_events, case_iocs) of the alerts that become cases: what happened, and the source address where there is one."""
+    some = alerts.where(F.col("rule_severity") >= least)
+    events = some.select(F.concat(F.lit("SIEM: "), F.col("rule_id")).alias("case_title"), F.lit("alert").alias("event_type"), "alert_id", F.lit("siem").alias("source"))
+    ip = F.element_at("fields", F.lit("client_ip"))
+    iocs = some.where(ip.isNotNull()).select(F.concat(F.lit("SIEM: "), F.col("rule_id")).alias("case_title"), F.lit("ip").alias("type"), ip.alias("value")).distinct()
+    return events, iocs
+
+
+def investigations_of(actions: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(investigations, missing): a pending investigation for each alert and action whose playbook books(playbook) has, with the
+    alert it links to; actions of other playbooks are missing ones."""
+    known = books.select("playbook").where("playbook IS NOT NULL").distinct()
+    found = actions.join(known, "playbook", "left_semi")
+    rows = found.select(F.concat_ws("-", "alert_id", "playbook").alias("id"), "alert_id", "playbook", F.lit("pending").alias("status"), "params")
+    return rows, actions.join(known, "playbook", "left_anti")
+
+
+def pending_approvals(investigations: DataFrame, key: str, status: str, updated: str) -> DataFrame:
+    """Investigations whose last version waits for an analyst, the longest waiting first."""
+    waiting = newest_version(investigations, key, updated).where(F.lower(F.trim(status)) == "waiting_approval")
+    return waiting.orderBy(text_instant(updated).asc_nulls_first(), key)
+
+
+def findings(results: DataFrame, by: str, agent: str, output: str) -> DataFrame:
+    """(by, findings, indicators, summary) of an investigation's results given as JSON: agents with a verdict that is not clean
+    or unknown, the distinct indicators named, and both as one line."""
+    g = lambda p: F.get_json_object(output, f"$.{p}")
+    verdict = F.lower(F.coalesce(g("verdict"), g("reputation"), F.lit("")))
+    bad = F.when(~verdict.isin("", "clean", "unknown"), F.concat_ws(": ", agent, verdict))
+    named = F.array_compact(F.array(g("indicator"), g("ip"), g("hash"), g("domain")))
+    n = results.where(F.try_parse_json(output).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_set(bad)).alias("findings"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(named)))).alias("indicators"), F.count("*").alias("__n"))
+    summary = F.concat_ws("; ", F.format_string("%d results", "__n"), F.array_join("findings", ", "))
+    return n.withColumn("summary", summary).drop("__n")

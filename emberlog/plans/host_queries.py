@@ -380,6 +380,54 @@ def hunts_advanced(spark, d):
     return store.advance(o, "next_run", "every_s", F.col("next_run")).drop("every_s")
 
 
+@query(f"""WITH {_J}, e AS (SELECT try_cast({_S('process.pid')} AS BIGINT) AS pid, {_S('file.path')} AS path, {_S('network.remote_ip')} AS ip, {_S('network.remote_port')} AS port FROM j WHERE {_S('type')} IS NOT NULL)
+SELECT CASE WHEN pid IS NOT NULL THEN 'pid:' || pid WHEN path IS NOT NULL THEN 'file:' || substr(sha256(path), 1, 8) WHEN ip IS NOT NULL THEN concat_ws(':', 'net', ip, port) END AS key, count(*) AS n FROM e WHERE coalesce(CAST(pid AS VARCHAR), path, ip) IS NOT NULL GROUP BY 1""")
+def event_keys(spark, d):
+    g = lambda p: F.col(f"e.{p}")
+    e = queue_events(spark, d).where("e.type IS NOT NULL AND (e.process.pid IS NOT NULL OR e.file.path IS NOT NULL OR e.network.remote_ip IS NOT NULL)")
+    key = correlate.event_key(g("process.pid"), g("file.path"), g("network.remote_ip"), g("network.remote_port"), text_instant(g("timestamp")))
+    return e.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+
+
+CORRELATION_RULES = '[{"name": "burst", "window": 21600000000000, "threshold": 30, "severity": 3, "event_types": ["error", "click"], "suppress_ms": 3600000}]'
+
+
+@query(E.SQL["correlator_bursts"])
+def correlation_rule_file(spark, d):
+    e = table(spark, d, "events").select("event_id", "ts", "event_type", (F.col("user_id") % 3).alias("about"))
+    out = correlate.correlation_alerts(e, feeds.load_correlation_rules(CORRELATION_RULES), "ts", "event_id", "event_type", "about")
+    return out.select("about", "event_id", "in_window", "score", "rule")
+
+
+_FIRED = "SELECT *, count(*) OVER (PARTITION BY user_id % 40 ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS k FROM events WHERE event_type = 'error'"
+
+
+@query(f"SELECT 'MULTIPLE_FAILED_LOGINS-' || epoch_us(ts) || '-ip-reputation' AS id, 'MULTIPLE_FAILED_LOGINS-' || epoch_us(ts) AS alert_id, 'ip-reputation' AS playbook, 'pending' AS status FROM ({_FIRED}) WHERE k >= 3")
+def alert_investigations(spark, d):
+    a = E.line_alerts(spark, d).withColumn("alert_id", rules.alert_id(F.col("rule_id"), F.col("ts")))
+    books = spark.createDataFrame([("ip-reputation",), ("file-analysis",)], "playbook string")
+    return store.investigations_of(rules.actions_of(a, E.LINE_RULES), books)[0].drop("params")
+
+
+@query(f"SELECT 'SIEM: MULTIPLE_FAILED_LOGINS' AS case_title, 'alert' AS event_type, 'MULTIPLE_FAILED_LOGINS-' || epoch_us(ts) AS alert_id, 'siem' AS source FROM ({_FIRED}) WHERE k >= 3")
+def alert_case_events(spark, d):
+    return store.case_rows(E.line_alerts(spark, d).withColumn("alert_id", rules.alert_id(F.col("rule_id"), F.col("ts"))))[0]
+
+
+@query("""WITH u AS (SELECT id, max(try_cast(replace(replace(updated_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS last FROM investigations WHERE id IS NOT NULL GROUP BY 1)
+SELECT DISTINCT i.id FROM investigations i JOIN u ON i.id = u.id AND try_cast(replace(replace(i.updated_at, 'T', ' '), 'Z', '') AS TIMESTAMP) IS NOT DISTINCT FROM u.last WHERE lower(trim(i.status)) = 'waiting_approval'""")
+def pending_approvals(spark, d):
+    return store.pending_approvals(table(spark, d, "investigations"), "id", "status", "updated_at").select("id")
+
+
+@query("""WITH r AS (SELECT task_id, agent, lower(coalesce(json_extract_string(output, '$.verdict'), json_extract_string(output, '$.reputation'), '')) AS v FROM results WHERE json_valid(output)),
+n AS (SELECT task_id, count(*) AS n, coalesce(list_sort(list(DISTINCT concat_ws(': ', agent, v)) FILTER (v NOT IN ('', 'clean', 'unknown'))), []) AS f FROM r GROUP BY 1)
+SELECT task_id, n || ' results; ' || array_to_string(f, ', ') AS summary, CAST(len(f) AS INTEGER) AS findings FROM n""")
+def investigation_findings(spark, d):
+    f = store.findings(table(spark, d, "results"), "task_id", "agent", "output")
+    return f.select("task_id", "summary", F.size("findings").alias("findings"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -6,6 +6,7 @@ import os
 import random
 import socket
 import struct
+import sys
 import threading
 import time
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import decoders as D
 from emberlog.functions.versions import package_matches
-from emberlog.operators import compliance, content_scan, correlate, gate, intel, playbook, process_tree, rule_sets, rules, snapshots, store
+from emberlog.operators import compliance, content_scan, correlate, gate, intel, playbook, process_tree, rule_sets, rules, sidecar, snapshots, store
 from emberlog.operators.ordered import numbered, with_halo
 from emberlog.operators.skew import join_lookup
 from emberlog.plans import engine_queries
@@ -450,6 +451,33 @@ def test_feeds_on_odd_bodies(spark):
     assert (v.cve_id, v.cvss, v.severity, v.affected) == ("C", 0.0, "LOW", [])
 
 
+SIDECAR = """
+import json, sys, time
+for line in sys.stdin:
+    c = json.loads(line)
+    x = c["params"].get("input", {}).get("v")
+    if c["method"] == "info":
+        a = {"id": c["id"], "result": {"name": "double"}}
+    elif x is None:
+        a = {"id": c["id"], "error": "no input"}
+    elif x == 7:
+        time.sleep(30)
+    elif x == 8:
+        sys.exit(1)
+    else:
+        a = {"id": c["id"], "result": {"double": 2 * x}}
+    print(json.dumps(a), flush=True)
+"""
+
+
+def test_sidecar(spark, tmp_path):
+    (tmp_path / "s.py").write_text(SIDECAR)
+    df = spark.createDataFrame([(i, i if i != 3 else None) for i in range(12)], "id int, v int").coalesce(1)
+    got = {r.id: (r.result, r.error) for r in sidecar.run_sidecar(df, "id", ["v"], [sys.executable, str(tmp_path / "s.py")], "double", 2.0).collect()}
+    assert got[5] == ('{"double": 10}', None) and got[3] == (None, "no input") and got[7][1] == "no answer in time" and got[8][1] and got[11][0] == '{"double": 22}' and len(got) == 12
+    assert sidecar.run_sidecar(df.where("false"), "id", ["v"], ["no-such-program"], "x").count() == 0
+
+
 def test_case_report_and_approvals(spark):
     events = spark.createDataFrame([("2024-01-01", "note", "<b>")], "created_at string, event_type string, content string")
     found = spark.createDataFrame([("ip", "1.2.3.4")], "type string, value string")
